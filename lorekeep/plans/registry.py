@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+MODULES = ("facts", "logs", "aggregates", "usage", "joins", "graph", "search", "state", "verify", "movement", "text", "star")
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under a name, with its oracle."""
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with its oracle."""
 
     def add(fn):
-        QUERIES[name] = fn
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {fn.__name__}")
+        QUERIES[fn.__name__] = fn
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[fn.__name__] = sql
         return fn
 
     return add
 
 
-from lorekeep.plans import facts  # noqa: E402, F401
+def load() -> None:
+    """Import the modules that register queries."""
+    for m in MODULES:
+        importlib.import_module(f"lorekeep.plans.{m}")
