@@ -93,3 +93,31 @@ def keyset_page(log: DataFrame, after: tuple[int, int] | None, limit: int = 50)
 def without_vectors(df: DataFrame) -> DataFrame:
     """df less its columns of number arrays (vectors)."""
     return df.drop(*[n for n, t in df.dtypes if t in ("array<float>", "array<double>")])
+
+
+def findings(df: DataFrame, status: str | None = None, source: str | None = None, severity: str | None = None) -> DataFrame:
+    """Findings by what is given (severity in any case), the most severe first, then the oldest."""
+    from lorekeep.functions.expr import severity_rank
+
+    x = where_given(df, status=status, source=source, severity=None if severity is None else severity.upper())
+    return x.orderBy(severity_rank(F.col("severity")), "created_at", "id")
+
+
+def latest(df: DataFrame, n: int, at: str = "created_at", where: Column | None = None, key: str = "id") -> DataFrame:
+    """The n newest rows: a report."""
+    return (df if where is None else df.filter(where)).orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def sampled(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """n rows at random, the same ones for the same seed, whatever the partitioning: a sampling operator."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def raw_sql(tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """The user's SQL over the tables, which are bound by name for this query alone."""
+    return next(iter(tables.values())).sparkSession.sql(sql, **tables)
+
+
+def stale_markers(markers: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Markers older than the limit."""
+    return markers.filter(micros_of(F.col("ts")) < micros_of(as_of) - hours * 3_600_000_000)

@@ -99,3 +99,9 @@ def latest_marker(markers: DataFrame) -> DataFrame:
     at = F.try_to_timestamp("ts")
     order = F.struct(at.isNotNull().alias("parsed"), F.unix_micros(at).alias("us"), F.when(at.isNull(), F.col("ord")).otherwise(-F.col("ord")).alias("o"))
     return markers.groupBy("owner").agg(F.max_by("ts", order).alias("ts"))
+
+
+def divergence(entries: DataFrame, lineage: DataFrame) -> DataFrame:
+    """tenant, path, ids of entries that a moved path has more than one of: lineage (entry_id, path) meets entries (id, project_id)."""
+    x = entries.join(lineage.select("entry_id", F.lower(F.regexp_replace("path", r"[\\/]+", "/")).alias("path")), F.col("id") == F.col("entry_id"))
+    return x.groupBy(F.col("project_id").alias("tenant"), "path").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)

@@ -223,3 +223,56 @@ def carryover(threads: DataFrame, deltas: DataFrame, as_of: Column) -> tuple[Dat
     hit = F.col("g_key").isNotNull() & live()
     x = x.withColumn("carryover_status", F.when(hit & (F.col("g_kind") == "resolved"), "resolved").otherwise(F.col("carryover_status")))
     return closed(x, hit, as_of, "superseded").drop("g_key", "g_kind"), d
+
+
+def edited(old: DataFrame, new: DataFrame, key: list[str], text: str, vector: str = "embedding") -> DataFrame:
+    """old with new texts by key; a text that changes without a vector of its own loses the old one."""
+    n = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns])
+    on = F.lit(True)
+    for c in key:
+        on = on & (F.col(c) == F.col(f"n_{c}"))
+    x = old.join(n, on, "left")
+    changed = F.col(f"n_{text}").isNotNull() & ~F.col(f"n_{text}").eqNullSafe(F.col(text))
+    own = F.col(f"n_{vector}") if vector in new.columns else F.lit(None)
+    v = F.when(changed, own).otherwise(F.coalesce(own, F.col(vector)) if vector in new.columns else F.col(vector))
+    return x.select(*[(v if c == vector else F.coalesce(f"n_{c}", c) if c == text else F.col(c)).alias(c) for c in old.columns])
+
+
+def revived(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """entities after names (project_id, name, entity_type) are created: a suppressed entity of the name comes back, new names are added,
+    with ``outcome``: revived, created, or NULL for those untouched."""
+    key = ["project_id", "name"]
+    x = flagged(entities, names, *key)
+    back = F.col("hit") & F.col("suppressed")
+    old = x.withColumn("outcome", F.when(back, "revived")).withColumn("suppressed", F.col("suppressed") & ~F.col("hit")).drop("hit")
+    fresh = flagged(names, entities, *key).filter("not hit").drop("hit")
+    missing = [F.lit(None).cast(t).alias(c) for c, t in entities.dtypes if c not in names.columns and c != "suppressed"]
+    fresh = fresh.select(*names.columns, *missing, F.lit(False).alias("suppressed"), F.lit("created").alias("outcome"))
+    return old.unionByName(fresh.dropDuplicates(key))
+
+
+def replaced_exactly_one(facts: DataFrame, orders: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(facts after, report): orders (order_id, project_id, subject, predicate) close their live fact if there is exactly one; others change nothing."""
+    k = ["project_id", "subject", "predicate"]
+    n = facts.filter(live()).groupBy(*[F.col(c).alias(f"l_{c}") for c in k]).agg(F.count("*").alias("n_live"))
+    on = F.lit(True)
+    for c in k:
+        on = on & (F.col(c) == F.col(f"l_{c}"))
+    report = orders.join(n, on, "left").select(*orders.columns, F.coalesce("n_live", F.lit(0)).alias("n_live")).withColumn("state", F.when(F.col("n_live") == 1, "applied").when(F.col("n_live") == 0, "not_found").otherwise("ambiguous"))
+    x = flagged(facts, report.filter("state = 'applied'"), *k)
+    return closed(x, F.col("hit") & live(), as_of, "superseded").drop("hit"), report
+
+
+def contract_versions(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """history (name, version, body) and a next version of every change (name, body) that differs from the newest one."""
+    top = history.groupBy(F.col("name").alias("t_name")).agg(F.max(F.struct("version", "body")).alias("t"))
+    x = changes.join(top, F.col("name") == F.col("t_name"), "left").filter(~F.col("body").eqNullSafe(F.col("t.body")))
+    return history.unionByName(x.select("name", (F.coalesce("t.version", F.lit(0)) + 1).cast("int").alias("version"), "body"))
+
+
+def rolled_back(history: DataFrame, orders: DataFrame) -> DataFrame:
+    """history and, for every order (name, to_version), a copy of that version as the newest one."""
+    old = history.select(F.col("name").alias("o_name"), F.col("version").alias("o_version"), F.col("body").alias("o_body"))
+    x = orders.join(old, (F.col("name") == F.col("o_name")) & (F.col("to_version") == F.col("o_version"))).select("name", F.col("o_body").alias("body"))
+    top = history.groupBy(F.col("name").alias("t_name")).agg(F.max("version").alias("top"))
+    return history.unionByName(x.join(top, F.col("name") == F.col("t_name")).select("name", (F.col("top") + 1).cast("int").alias("version"), "body"))

@@ -76,3 +76,24 @@ def column_differences(old: DataFrame, new: DataFrame, key: str, columns: list[s
     n = new.select(F.col(key).alias("n_key"), *[F.col(c).alias(f"n_{c}") for c in columns])
     names = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"n_{c}")), F.lit(c)) for c in columns]))
     return old.join(n, F.col(key) == F.col("n_key")).select(key, F.array_join(names, ",").alias("differs")).filter("differs != ''")
+
+
+def line_changes(old: DataFrame, new: DataFrame, key: str, text: str = "body") -> DataFrame:
+    """key, change (added or removed), line, n: lines that one version has more often than the other."""
+    side = lambda df, s: df.select(F.col(key), F.explode(F.split(text, "\n")).alias("line")).groupBy(key, "line").agg(F.sum(F.lit(s)).alias("d"))
+    x = side(new, 1).unionByName(side(old, -1)).groupBy(key, "line").agg(F.sum("d").alias("d")).filter("d != 0")
+    return x.select(key, F.when(F.col("d") > 0, "added").otherwise("removed").alias("change"), "line", F.abs("d").alias("n"))
+
+
+def manifest(df: DataFrame, by: str, key: str, columns: list[str], buckets: int = 64) -> DataFrame:
+    """slice, n and fingerprint of every slice of a table, by digests of ranges of its keys' hash (see ``fingerprint``)."""
+    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), row_hash(*columns).alias("h")))), lambda x: x["h"]), "")
+    per = df.groupBy(F.col(by).alias("slice"), bucket.alias("bucket")).agg(F.count("*").alias("n"), F.md5(rows).alias("d"))
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
+    return per.groupBy("slice").agg(F.sum("n").alias("n"), F.md5(every).alias("digest"))
+
+
+def manifest_rewritten(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with the slices of new in place of its own of the same name, NULL slices too."""
+    return old.join(new.select(F.col("slice").alias("n_slice")), F.col("slice").eqNullSafe(F.col("n_slice")), "left_anti").unionByName(new)

@@ -9,6 +9,7 @@ from lorekeep.operators import filters, search
 from lorekeep.operators.aggregates import top_per_group
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import AS_OF_TS, as_of, facts, with_tables
+from lorekeep.sources.tables import table
 
 AGE = f"date_diff('microsecond', last_reinforced, {AS_OF_TS}) / 86400e6"
 DECAYED = f"confidence * exp(-decay_rate * ({AGE}))"
@@ -136,3 +137,31 @@ def promotion_candidates(spark, sf_dir):
 def latest_session(spark, sf_dir):
     x = facts(spark, sf_dir)
     return x.groupBy("subject").agg(F.max_by("session_id", "created_at").alias("last_session"), F.max(micros_of(F.col("created_at"))).alias("last_us"))
+
+
+@query("""SELECT o_orderkey AS id, upper(split_part(o_orderpriority, '-', 2)) AS severity FROM orders WHERE o_orderstatus = 'F' AND upper(split_part(o_orderpriority, '-', 2)) = 'HIGH'""")
+def findings_by_severity(spark, sf_dir):
+    """A listing by status and severity, in any case."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.upper(F.split_part("o_orderpriority", F.lit("-"), F.lit(2))).alias("severity"), F.col("o_orderdate").alias("created_at"))
+    return filters.findings(o, status="F", severity="high").select("id", "severity")
+
+
+@query(with_tables("facts", """SELECT * FROM (SELECT 'pinned' AS part, id FROM facts WHERE pinned ORDER BY created_at DESC, id DESC LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'suppressed', id FROM facts WHERE suppressed ORDER BY created_at DESC, id DESC LIMIT 5) UNION ALL SELECT * FROM (SELECT 'error', id FROM facts WHERE predicate = 'error' ORDER BY created_at DESC, id DESC LIMIT 5)"""))
+def status_view(spark, sf_dir):
+    """The five newest of three kinds."""
+    f = facts(spark, sf_dir)
+    part = lambda name, where: filters.latest(f, 5, where=where).select(F.lit(name).alias("part"), "id")
+    return part("pinned", F.col("pinned")).unionByName(part("suppressed", F.col("suppressed"))).unionByName(part("error", F.col("predicate") == "error"))
+
+
+@query(with_tables("facts", "SELECT predicate, count(*) AS n, round(avg(value), 6) AS mean FROM facts WHERE pinned GROUP BY predicate"))
+def user_sql(spark, sf_dir):
+    """The user's own SQL over the store's tables."""
+    return filters.raw_sql({"facts": facts(spark, sf_dir)}, "SELECT predicate, count(*) AS n, round(avg(value), 6) AS mean FROM {facts} WHERE pinned GROUP BY predicate")
+
+
+@query(with_tables("facts", """SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM facts WHERE created_at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR"""))
+def stale_markers(spark, sf_dir):
+    m = facts(spark, sf_dir).select("id", F.col("created_at").alias("ts"))
+    return filters.stale_markers(m, F.lit("2024-01-20").cast("timestamp_ntz")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))

@@ -106,3 +106,13 @@ def reclassified_rows(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("t"), F.pmod("p_size", F.lit(4))).alias("tenant"))
     own = p.withColumn("tenant", F.when(F.pmod("p_partkey", F.lit(6)) == 0, "stale").otherwise(F.col("tenant")))
     return movement.reclassified(own, p, "p_partkey")
+
+
+@query("""SELECT tenant, path, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM (SELECT doc_id AS id, source AS tenant, 'notes/' || lang || '/' || (doc_id % 9) AS path FROM documents) GROUP BY tenant, path HAVING count(DISTINCT id) > 1""")
+def path_divergence(spark, sf_dir):
+    """Paths that several entries of a tenant claim, slashes and case aside."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("Notes"), F.when(F.pmod(k, F.lit(2)) == 0, "\\").otherwise("//"), "lang", F.lit("/"), F.pmod(k, F.lit(9)))
+    x = movement.divergence(d.select(k.alias("id"), F.col("source").alias("project_id")), d.select(k.alias("entry_id"), path.alias("path")))
+    return x.select("tenant", "path", F.array_join("ids", ",").alias("ids"))

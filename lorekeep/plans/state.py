@@ -210,3 +210,44 @@ def operator_pins(spark, sf_dir):
     have = f.filter(live() & F.col("pinned")).select(*k, "pinned")
     want = f.filter(F.pmod("id", F.lit(41)) == 0).select(*k).distinct().withColumn("pinned", F.lit(True))
     return state.inserted_only(have, want, k)
+
+
+@query(with_tables("entries", """SELECT id, CASE WHEN id % 4 = 1 THEN upper(name) ELSE name END AS name, CASE WHEN id % 4 = 1 AND upper(name) <> name THEN CASE WHEN id % 8 = 1 THEN 'new' END ELSE 'old' END AS embedding FROM entries"""))
+def edited_entries(spark, sf_dir):
+    """A new text without a vector clears the old vector (here a word)."""
+    from lorekeep.sources.domain import entries
+
+    e = entries(spark, sf_dir).select("id", "name", F.lit("old").alias("embedding"))
+    new = e.filter(F.pmod("id", F.lit(4)) == 1).select("id", F.upper("name").alias("name"), F.when(F.pmod("id", F.lit(8)) == 1, "new").alias("embedding"))
+    return state.edited(e, new, ["id"], "name")
+
+
+@query(with_tables("entities", """SELECT name, suppressed AND NOT hit AS suppressed, CASE WHEN hit AND suppressed THEN 'revived' END AS outcome FROM (SELECT *, id % 2 = 0 AS hit FROM entities)
+UNION ALL SELECT 'new_' || n_name, false, 'created' FROM nation"""))
+def revived_entities(spark, sf_dir):
+    """Created names: suppressed ones come back, unknown ones are added."""
+    from lorekeep.sources.domain import entities
+
+    e = entities(spark, sf_dir)
+    names = e.filter(F.pmod("id", F.lit(2)) == 0).select("project_id", "name", "entity_type").unionByName(table(spark, sf_dir, "nation").select(F.lit("geo").alias("project_id"), F.concat(F.lit("new_"), "n_name").alias("name"), F.lit("nation").alias("entity_type")))
+    return state.revived(e, names).select("name", "suppressed", "outcome")
+
+
+@query(with_tables("facts", """SELECT order_id, n_live, CASE WHEN n_live = 1 THEN 'applied' WHEN n_live = 0 THEN 'not_found' ELSE 'ambiguous' END AS state FROM (
+  SELECT c.id AS order_id, count(f.id) AS n_live FROM facts c LEFT JOIN facts f ON f.project_id = c.project_id AND f.subject = c.subject AND f.predicate = c.predicate AND NOT f.suppressed AND f.invalid_at IS NULL
+  WHERE c.id % 53 = 5 GROUP BY c.id)"""))
+def optimistic_updates(spark, sf_dir):
+    """An update applies only if exactly one live fact is meant."""
+    f = facts(spark, sf_dir)
+    orders = f.filter(F.pmod("id", F.lit(53)) == 5).select(F.col("id").alias("order_id"), "project_id", "subject", "predicate")
+    return state.replaced_exactly_one(f, orders, as_of())[1].select("order_id", "n_live", "state")
+
+
+@query("""WITH h AS (SELECT 'c' || (n_nationkey % 5) AS name, CAST(n_nationkey // 5 + 1 AS INTEGER) AS version, 'b' || (n_nationkey % 7) AS body FROM nation)
+SELECT * FROM h UNION ALL SELECT 'c' || s, CAST(coalesce((SELECT max(version) FROM h WHERE name = 'c' || s), 0) + 1 AS INTEGER), 'b1' FROM (SELECT unnest(range(0, 7)) AS s)
+WHERE (SELECT max_by(body, version) FROM h WHERE name = 'c' || s) IS DISTINCT FROM 'b1'""")
+def contract_versions(spark, sf_dir):
+    """A change that says the same is none."""
+    k = F.col("n_nationkey")
+    h = table(spark, sf_dir, "nation").select(F.concat(F.lit("c"), F.pmod(k, F.lit(5))).alias("name"), (F.floor(k / 5) + 1).cast("int").alias("version"), F.concat(F.lit("b"), F.pmod(k, F.lit(7))).alias("body"))
+    return state.contract_versions(h, spark.range(7).select(F.concat(F.lit("c"), "id").alias("name"), F.lit("b1").alias("body")))

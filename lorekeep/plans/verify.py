@@ -85,3 +85,22 @@ def column_differences(spark, sf_dir):
     k = F.col("c_custkey")
     n = c.withColumn("c_name", F.when(F.pmod(k, F.lit(50)) == 1, F.lower("c_name")).otherwise(F.col("c_name"))).withColumn("c_nationkey", F.when(F.pmod(k, F.lit(75)) > 1, F.col("c_nationkey")))
     return verify.column_differences(c, n, "c_custkey", ["c_name", "c_nationkey"])
+
+
+@query("""WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'tail' ELSE replace(text, 'tion', 'sion') END, chr(10))) AS line FROM documents)
+SELECT change, count(*) AS lines, CAST(sum(abs(d)) AS BIGINT) AS n FROM (SELECT doc_id, line, sum(d) AS d, CASE WHEN sum(d) > 0 THEN 'added' ELSE 'removed' END AS change FROM (SELECT *, 1 AS d FROM n UNION ALL SELECT *, -1 FROM o) GROUP BY doc_id, line HAVING sum(d) <> 0) GROUP BY change""")
+def line_changes(spark, sf_dir):
+    """Lines that a version adds or removes, counted."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    new = d.withColumn("body", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("body", F.lit("\ntail"))).otherwise(F.replace("body", F.lit("tion"), F.lit("sion"))))
+    return verify.line_changes(d, new, "doc_id").groupBy("change").agg(F.count("*").alias("lines"), F.sum("n").alias("n"))
+
+
+@query("SELECT o_orderstatus AS slice, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1 UNION ALL SELECT 'P', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 2 = 0")
+def rewritten_manifest(spark, sf_dir):
+    """One slice of a manifest is replaced; fingerprints are left out here, as their row hash has no SQL twin."""
+    o = table(spark, sf_dir, "orders")
+    cols = ["o_orderkey", "o_custkey"]
+    old = verify.manifest(o, "o_orderstatus", "o_orderkey", cols)
+    new = verify.manifest(o.filter((F.col("o_orderstatus") == "P") & (F.pmod("o_orderkey", F.lit(2)) == 0)), "o_orderstatus", "o_orderkey", cols)
+    return verify.manifest_rewritten(old, new).select("slice", "n")

@@ -205,3 +205,46 @@ def test_usage_scopes():
     for bad in ({"granularity": "x"}, {"by": "pr"}, {"by": "role"}, {"granularity": "feature", "session": "s"}, {"granularity": "feature", "by": "role"}):
         with pytest.raises(ValueError):
             usage.usage(None, None, None, "p", **bad)
+
+
+def test_embedding(spark):
+    from lorekeep.operators import enrich
+
+    rows = [(1, "one", None), (2, "  ", None), (3, "bad", None), (4, "kept", [9.0, 9.0]), (5, "zero", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, embedding array<float>").coalesce(1)
+
+    def embedder(texts):
+        if "bad" in texts:
+            raise RuntimeError("down")
+        return [[0.0, 0.0, 0.0] if t == "zero" else [float(len(t)), 1.0, 2.0] for t in texts]
+
+    got = {r["id"]: r["embedding"] for r in enrich.embedded(df, "text", embedder, 2).collect()}
+    assert got == {1: [3.0, 1.0], 2: None, 3: None, 4: [9.0, 9.0], 5: None, 6: None}
+
+    def write(t):
+        return {"one": " a line ", "bad": 1 / 0 if t == "bad" else "", "kept": ""}.get(t)
+
+    lines = {r["id"]: r["blurb"] for r in enrich.generated(df, "text", write).collect()}
+    assert lines == {1: "a line", 2: None, 3: None, 4: None, 5: None, 6: None}
+    x = spark.createDataFrame([("a", [1.0, 3.0]), ("a", [3.0, 5.0]), ("b", [0.0, 2.0])], "k string, embedding array<double>")
+    assert {r["k"]: r["embedding"] for r in enrich.mean_pooled(x, "k").collect()} == {"a": [2.0, 4.0], "b": [0.0, 2.0]}
+    assert [r[0] for r in x.filter("k = 'b'").select(enrich.normalised(F.col("embedding"), 1)).collect()] == [[0.0]]
+    with pytest.raises(ValueError):
+        enrich.one_provider(x.withColumnRenamed("k", "provider"))
+
+
+def test_rollback(spark):
+    from lorekeep.operators import state
+
+    h = spark.createDataFrame([("c", 1, "x"), ("c", 2, "y")], "name string, version int, body string")
+    got = sorted(tuple(r) for r in state.rolled_back(h, spark.createDataFrame([("c", 1), ("d", 1)], "name string, to_version int")).collect())
+    assert got == [("c", 1, "x"), ("c", 2, "y"), ("c", 3, "x")]
+
+
+def test_sampled(spark):
+    from lorekeep.operators import filters
+
+    x = spark.range(1000)
+    pick = lambda d: {r["id"] for r in filters.sampled(d, 3, 7).collect()}
+    assert pick(x) == pick(x.repartition(5)) and len(pick(x)) == 3
+    assert filters.without_vectors(x.withColumn("v", F.array(F.lit(1.0)))).columns == ["id"]
