@@ -82,11 +82,11 @@ def outcome_rates(spark, sf_dir):
     return aggregates.outcome_rates(outcomes(spark, sf_dir), 30)
 
 
-@query("""SELECT c_mktsegment, quantile_cont(c_acctbal, 0.5) AS p50, quantile_cont(c_acctbal, 0.95) AS p95, count(c_acctbal) AS n FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.95), 6) AS p95, count(c_acctbal) AS n FROM customer GROUP BY c_mktsegment""")
 def latency_quantiles(spark, sf_dir):
     """Interpolated quantiles by group."""
     x = aggregates.quantiles(table(spark, sf_dir, "customer"), "c_acctbal", [0.5, 0.95], "c_mktsegment")
-    return x.select("c_mktsegment", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"), "n")
+    return x.select("c_mktsegment", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
 @query("""WITH s AS (SELECT doc_id, CAST(length(text) AS INTEGER) AS len FROM documents), m AS (SELECT quantile_cont(len, 0.5) AS median FROM s)
