@@ -6,9 +6,10 @@ segments of the hash range with its exact content.  A band has more segments tha
 sizes can differ in elements, so that linked sets agree on a segment and share a tile, while a passage that
 many documents have fills no segment on its own.
 
-In every tile, all nodes are compared with a pivot, the node that shares most tiles; what is then not
-in one component is compared block by block.  A comparison first bounds the overlap from above by bit
-counts of hashed bitmap signatures, and intersects the sorted arrays only if the bound passes.  Nothing
+Of tiles with the same nodes one is kept.  In every tile, all nodes are compared with a pivot, the node that
+shares most tiles; what is then not in one component is compared block by block.  A comparison first
+bounds the overlap from above by bit counts of hashed bitmap signatures, which are small and travel with
+the nodes; the sorted arrays are made only for nodes of pairs that pass, and intersected.  Nothing
 is capped; only pairs that are linked already, through others, are left out.
 """
 
@@ -25,8 +26,8 @@ from lorekeep.llm.components import components
 
 NGRAM = 4
 PERCENT = 85
-BITMAP_LOG2 = 24  # bits of the signature of all nodes in tiles: 2 MB, whatever the input
-SALTS = 16
+BITMAP_LOG2 = 24  # bits of the map of texts to make arrays of: 2 MB, whatever the input
+SALTS = 64  # copies of a node's row, at most, for the pairs that it is in
 BLOCK = 128  # nodes in a block of what is compared without a pivot
 
 
@@ -111,13 +112,15 @@ def _sets(batches, n):
 
 
 def set_rows(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node of every row."""
+    """doc_id, text_hash, n_shingles, node, bits (see ``signature``) of every row."""
+    names = ["doc_id", "text_hash", "n_shingles", "node", "bits"]
 
     def run(batches):
         for cols, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "n_shingles", "node"])
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, *own], names=names)
 
-    return docs.select(docs["doc_id"].cast("long"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
+    return docs.select(docs["doc_id"].cast("long"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bits binary")
 
 
 def shared_tiles(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -162,40 +165,47 @@ def shared_tiles(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> Dat
     return rows.repartition(parts, "tile").sortWithinPartitions("tile", "node").mapInArrow(keep, "tile long, node long")
 
 
-def node_arrays(docs: DataFrame, nodes: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(node, elements, bits) of the given nodes: sorted arrays and hashed bitmap signatures.
+def distinct_tiles(tiles: DataFrame) -> DataFrame:
+    """(tile, node) of one tile for every set of nodes that tiles have: documents with a passage in common share many tiles."""
+    x = tiles.groupBy("tile").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    one = x.groupBy("n", "h1", "h2").agg(F.min("tile").alias("t")).select("t")
+    return tiles.join(one, F.col("tile") == F.col("t"), "left_semi")
 
-    Which nodes those are goes to the tasks as a bitmap of fixed size; what passes it by chance is joined away.
+
+def node_arrays(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(node, elements): the sorted sets of the wanted nodes (node, text_hash), text_hash being that of one of a node's texts.
+
+    Which texts those are goes to the tasks as a bitmap of fixed size, so that the other texts aren't
+    looked into; what passes it by chance is joined away.
     """
-    at = F.expr(f"node & {(1 << BITMAP_LOG2) - 1}L")
-    pieces = nodes.select(F.bitmap_bucket_number(at + 1).alias("k"), F.bitmap_bit_position(at + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    at = F.expr(f"text_hash & {(1 << BITMAP_LOG2) - 1}L")
+    pieces = wanted.select(F.bitmap_bucket_number(at + 1).alias("k"), F.bitmap_bit_position(at + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     size = 4096
     bitmap = bytearray(((1 << BITMAP_LOG2) // (8 * size) + 2) * size)
     for r in pieces:
         bitmap[(r["k"] - 1) * size : r["k"] * size] = bytes(r["bits"])
-    wanted = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    sent = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
     def run(batches):
-        have, seen = wanted.value, set()
-        for _, sets in _sets(batches, n):
-            out = []
-            for s in sets:
-                if len(s):
-                    node = node_of(s)
-                    k = node & ((1 << BITMAP_LOG2) - 1)
-                    if have[k >> 3] >> (k & 7) & 1 and node not in seen:
+        have, seen = np.frombuffer(sent.value, np.uint8), set()
+        for b in batches:
+            k = b.column(0).to_numpy() & ((1 << BITMAP_LOG2) - 1)
+            for _, sets in _sets([b.filter(pa.array((have[k >> 3] >> (k & 7) & 1) == 1))], n):
+                out = []
+                for s in sets:
+                    if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
-                        out.append((node, np.sort(s.view(np.int64)), signature(s)))
-            for i in range(0, len(out), 64):
-                x = out[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.list_(pa.int64())), pa.array([r[2] for r in x], pa.binary())], names=["node", "elements", "bits"])
+                        out.append((node, np.sort(s.view(np.int64))))
+                for i in range(0, len(out), 64):
+                    x = out[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.list_(pa.int64()))], names=["node", "elements"])
 
-    found = docs.select("text").mapInArrow(run, "node long, elements array<long>, bits binary")
-    return found.join(nodes.withColumnRenamed("node", "want"), F.col("node") == F.col("want"), "left_semi").dropDuplicates(["node"])
+    found = docs.select(F.xxhash64("text"), "text").mapInArrow(run, "node long, elements array<long>")
+    return found.join(wanted.select(F.col("node").alias("want")), F.col("node") == F.col("want"), "left_semi").dropDuplicates(["node"])
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of 256 to 2**15 bits, about four for an element."""
+    """A bitmap of 2**8 to 2**15 bits, four to eight for an element: with fewer, many pairs pass that aren't linked."""
     bits = 1 << min(15, max(8, int(4 * len(s) - 1).bit_length()))
     x = np.zeros(bits, dtype=np.uint8)
     x[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -206,98 +216,120 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return x if len(x) == words else np.bitwise_or.reduce(x.reshape(-1, words), axis=0)
 
 
-def linked(a: np.ndarray, b: np.ndarray, bits_a: bytes, bits_b: bytes, percent: int) -> bool:
-    """Is 100 * intersection >= percent * union?  Sizes and bit counts bound the intersection before it is made."""
-    na, nb = len(a), len(b)
+def _needed(na: int, nb: int, percent: int) -> int:
+    """The least intersection with which sets of these sizes are linked."""
+    return -(-percent * (na + nb) // (100 + percent))
+
+
+def may_link(na: int, nb: int, bits_a: bytes, bits_b: bytes, percent: int) -> bool:
+    """Can sets of these sizes and signatures be linked?  Bits that only one side has bound the intersection from above."""
     if 100 * min(na, nb) < percent * max(na, nb):
         return False
-    need = -(-percent * (na + nb) // (100 + percent))
     x, y = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
     words = min(len(x), len(y))
     x, y = _fold(x, words), _fold(y, words)
     both = x & y
-    if na - int(np.bitwise_count(x ^ both).sum()) < need or nb - int(np.bitwise_count(y ^ both).sum()) < need:
-        return False
-    if na > nb:
-        a, b, na, nb = b, a, nb, na
+    most = min(na - int(np.bitwise_count(x ^ both).sum()), nb - int(np.bitwise_count(y ^ both).sum()))
+    return most >= _needed(na, nb, percent)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Is 100 * intersection >= percent * union, of sorted arrays?"""
+    if len(a) > len(b):
+        a, b = b, a
     at = np.searchsorted(b, a)
-    at[at == nb] = nb - 1
-    return int((b[at] == a).sum()) >= need
+    at[at == len(b)] = len(b) - 1
+    return int((b[at] == a).sum()) >= _needed(len(a), len(b), percent)
+
+
+def _with_sides(pairs: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
+    """pairs (a, b) with the columns of nodes of both ends, as <column>_a and <column>_b.
 
+    a may be in very many pairs: they are dealt out over SALTS copies of its row, of which only those that
+    some pair asks for are made.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    asked = dealt.select(F.col("a").alias("node_a"), F.col("salt").alias("salt_a")).distinct()
+    side_a = nodes.join(asked, F.col("node") == F.col("node_a")).select("node_a", "salt_a", *[F.col(c).alias(f"{c}_a") for c in cols])
+    side_b = nodes.select(F.col("node").alias("node_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    x = dealt.join(side_b, F.col("b") == F.col("node_b")).join(side_a, (F.col("a") == F.col("node_a")) & (F.col("salt") == F.col("salt_a")))
+    return x.select("a", "b", *[f"{c}_{e}" for c in cols for e in "ab"])
+
+
+def candidates(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that may be linked by the sizes and signatures in info (node, n_shingles, bits)."""
+
+    def run(batches):
+        for b in batches:
+            a_, b_, na, nb, xa, xb = b.columns
+            ok = pa.array(map(may_link, na.to_pylist(), nb.to_pylist(), xa.to_pylist(), xb.to_pylist(), [percent] * b.num_rows), pa.bool_())
+            yield pa.RecordBatch.from_arrays([a_.filter(ok), b_.filter(ok)], names=["a", "b"])
 
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked; a may be in very many pairs, so its rows are dealt out over SALTS copies of its array."""
-    pivots = pairs.select(F.col("a").alias("pivot")).distinct()
-    salted = arrays.join(pivots, F.col("node") == F.col("pivot"), "left_semi").select(F.col("node").alias("node_a"), F.col("elements").alias("el_a"), F.col("bits").alias("bits_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_a"))
-    x = pairs.join(arrays.select(F.col("node").alias("node_b"), F.col("elements").alias("el_b"), F.col("bits").alias("bits_b")), F.col("b") == F.col("node_b"))
-    x = x.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, (F.col("a") == F.col("node_a")) & (F.col("salt") == F.col("salt_a")))
+    return _with_sides(pairs, info, "n_shingles", "bits").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that are linked, by their sorted arrays, which are made anew for the nodes that pairs name."""
+    named = pairs.select(F.col("a").alias("named")).unionByName(pairs.select(F.col("b").alias("named"))).distinct()
+    wanted = checkpoint(info.join(named, F.col("node") == F.col("named"), "left_semi").select("node", "text_hash"))
+    arrays = checkpoint(node_arrays(docs, wanted, n))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 p = b.slice(lo, 256)
-                a_, b_, la, lb, ba, bb = p.columns
-                ok = [linked(la[i].values.to_numpy(), lb[i].values.to_numpy(), ba[i].as_py(), bb[i].as_py(), percent) for i in range(p.num_rows)]
-                m = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a_.filter(m), b_.filter(m)], names=["a", "b"])
+                a_, b_, la, lb = p.columns
+                ok = pa.array([linked(la[i].values.to_numpy(), lb[i].values.to_numpy(), percent) for i in range(p.num_rows)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a_.filter(ok), b_.filter(ok)], names=["a", "b"])
 
-    return x.select("a", "b", "el_a", "el_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return _with_sides(pairs, arrays, "elements").mapInArrow(run, "a long, b long")
 
 
-def _rest(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of a tile that are not in one component yet: tiles (tile, node, comp), blocks against blocks."""
+def _rest(tiles: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a tile, may be linked and aren't in one component yet: tiles (tile, node, comp), blocks against blocks."""
     mixed = tiles.groupBy("tile").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 != c1").select(F.col("tile").alias("t"), "n")
     rows = tiles.join(mixed, F.col("tile") == F.col("t"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, mine).alias("i"), F.greatest(k, mine).alias("j"))))
-    rows = rows.join(arrays.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("tile", "node", "comp", "elements", "bits", mine.alias("mine"), pair.alias("at"))
+    side = info.select(F.col("node").alias("node_"), "n_shingles", "bits")
+    rows = rows.join(side, F.col("node") == F.col("node_")).select("tile", "node", "comp", "n_shingles", "bits", mine.alias("mine"), pair.alias("at"))
 
     def run(t: pa.Table) -> pa.Table:
-        node, comp, mine = (t.column(c).to_numpy() for c in ("node", "comp", "mine"))
-        el = [x.values.to_numpy() for x in t.column("elements")]
+        node, comp, size, mine = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
         bits = t.column("bits").to_pylist()
         within = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        root = {c: c for c in comp.tolist()}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
         out = []
-        order = np.argsort([len(x) for x in el], kind="stable")
-        for p in range(len(order)):
-            for q in range(p + 1, len(order)):
-                i, j = order[p], order[q]
-                if 100 * len(el[i]) < percent * len(el[j]):
+        order = np.argsort(size, kind="stable").tolist()
+        for p, i in enumerate(order):
+            for j in order[p + 1 :]:
+                if 100 * size[i] < percent * size[j]:
                     break
-                if within or mine[i] != mine[j]:
-                    ci, cj = find(int(comp[i])), find(int(comp[j]))
-                    if ci != cj and linked(el[i], el[j], bits[i], bits[j], percent):
-                        root[ci] = cj
-                        out.append((int(node[i]), int(node[j])))
+                if comp[i] != comp[j] and (within or mine[i] != mine[j]) and may_link(int(size[i]), int(size[j]), bits[i], bits[j], percent):
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return rows.select("tile", "node", "comp", "elements", "bits", "mine", "at.i", "at.j").groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.select("tile", "node", "comp", "n_shingles", "bits", "mine", "at.i", "at.j").groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def set_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): set_rows of docs, and (node, root) of the nodes that are linked with a smaller one."""
     rows = checkpoint(set_rows(docs, n))
     tiles = checkpoint(shared_tiles(docs, n, percent))
-    arrays = checkpoint(node_arrays(docs, tiles.select("node").distinct(), n))
     weight = tiles.groupBy("node").count().select(F.col("node").alias("node_"), "count")
-    weighed = tiles.join(weight, F.col("node") == F.col("node_"))
-    pivot = weighed.groupBy("tile").agg(F.max(F.struct("count", "node")).alias("p")).select(F.col("tile").alias("t"), F.col("p.node").alias("a"))
-    pairs = checkpoint(tiles.join(pivot, F.col("tile") == F.col("t")).filter("a != node").select("a", F.col("node").alias("b")).distinct())
-    edges = checkpoint(verified(pairs, arrays, percent))
+    info = checkpoint(rows.join(weight, F.col("node") == F.col("node_"), "left_semi").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")))
+    tiles = checkpoint(distinct_tiles(tiles).join(weight, F.col("node") == F.col("node_")).select("tile", "node", "count"))
+    pivot = tiles.groupBy("tile").agg(F.max(F.struct("count", "node")).alias("p")).select(F.col("tile").alias("t"), F.col("p.node").alias("a"))
+    pairs = tiles.join(pivot, F.col("tile") == F.col("t")).filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    edges = checkpoint(verified(checkpoint(candidates(pairs, info, percent)), docs, info, n, percent))
     roots = components(edges)
     known = tiles.join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("tile", "node", F.coalesce("root", "node").alias("comp"))
-    more = checkpoint(_rest(known, arrays, percent).distinct())
+    more = checkpoint(_rest(known, info, percent).distinct())
     if more.first() is not None:
-        roots = components(edges.unionByName(more))
-    return rows, roots
+        more = checkpoint(verified(more, docs, info, n, percent))
+        if more.first() is not None:
+            roots = components(edges.unionByName(more))
+    return rows.drop("bits"), roots
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -327,3 +359,16 @@ def without_near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERC
     x = x.join(stay, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("w_h") == F.col("w_hash")))
     x = x.withColumn("w_n", F.row_number().over(Window.partitionBy("doc_id", "w_h").orderBy(F.lit(1)))).filter("w_n = 1 or w_empty")
     return x.select(*[docs[c] for c in docs.columns])
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.root = e.a)
+SELECT c.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id GROUP BY c.doc_id"""
