@@ -57,6 +57,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_ngram_join, op4_warc_fixity, op5_maxent_lm, op6_chat_windows, op7_exact_dedup, op8_pii, op9_audio_features, op10_language_crf)}
 ORACLE_SQL = {
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op4_warc_fixity": warc_fixity.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -165,6 +165,10 @@ def test_ngram_join(spark, sf):
     check_join(docs_of(spark, sf))
 
 
+def test_ngram_join_sql(spark, sf, duck):
+    same_as_sql(queries.op3_ngram_join(spark, sf), duck, ngram_join.ORACLE_SQL)
+
+
 def test_ngram_join_odd(spark, odd):
     check_join(odd)
     assert ngram_join.near_duplicates(odd.limit(0)).count() == 0
