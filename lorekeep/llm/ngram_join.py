@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm._spark import checkpoint
+from lorekeep.llm._spark import checkpoint, free
 from lorekeep.llm._tokens import mix, slices
 from lorekeep.llm.components import components
 
@@ -172,25 +173,34 @@ def distinct_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.join(one, F.col("tile") == F.col("t"), "left_semi")
 
 
-def node_arrays(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(node, elements): the sorted sets of the wanted nodes (node, text_hash), text_hash being that of one of a node's texts.
-
-    Which texts those are goes to the tasks as a bitmap of fixed size, so that the other texts aren't
-    looked into; what passes it by chance is joined away.
-    """
+def _text_map(wanted: DataFrame):
+    """Broadcast bitmap of fixed size of the text hashes in wanted (text_hash): made in pieces, on the executors."""
     at = F.expr(f"text_hash & {(1 << BITMAP_LOG2) - 1}L")
     pieces = wanted.select(F.bitmap_bucket_number(at + 1).alias("k"), F.bitmap_bit_position(at + 1).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     size = 4096
     bitmap = bytearray(((1 << BITMAP_LOG2) // (8 * size) + 2) * size)
     for r in pieces:
         bitmap[(r["k"] - 1) * size : r["k"] * size] = bytes(r["bits"])
-    sent = docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    return wanted.sparkSession.sparkContext.broadcast(bytes(bitmap))
+
+
+def _on_map(have: np.ndarray, hashes: pa.Array) -> pa.Array:
+    k = hashes.to_numpy() & ((1 << BITMAP_LOG2) - 1)
+    return pa.array((have[k >> 3] >> (k & 7) & 1) == 1)
+
+
+def node_arrays(docs: DataFrame, wanted: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(node, elements): the sorted sets of the wanted nodes (node, text_hash), text_hash being that of one of a node's texts.
+
+    Which texts those are goes to the tasks as a bitmap of fixed size, so that the other texts aren't
+    looked into; what passes it by chance is joined away.
+    """
+    sent = _text_map(wanted)
 
     def run(batches):
         have, seen = np.frombuffer(sent.value, np.uint8), set()
         for b in batches:
-            k = b.column(0).to_numpy() & ((1 << BITMAP_LOG2) - 1)
-            for _, sets in _sets([b.filter(pa.array((have[k >> 3] >> (k & 7) & 1) == 1))], n):
+            for _, sets in _sets([b.filter(_on_map(have, b.column(0)))], n):
                 out = []
                 for s in sets:
                     if len(s) and (node := node_of(s)) not in seen:
@@ -349,16 +359,35 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
 
 
 def without_near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs, whole, less all but one (the smallest doc_id) of each group of linked documents."""
+    """Rows of docs, whole, less all but one (the smallest doc_id) of each group of linked documents.
+
+    Rows that go, or repeat one that stays, are marked on a bitmap of text hashes; only the rows that it marks
+    are shuffled, to meet the exact decisions, and all others pass where they are.
+    """
     rows, roots = set_components(docs, n, percent)
-    full = rows.filter("n_shingles > 0").select("node", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("who"))
-    ids = full.groupBy("node").agg(F.min("who").alias("who")).join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("who", F.coalesce("root", "node").alias("root"))
-    stay = ids.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.id").alias("w_id"), F.col("who.hash").alias("w_hash"), F.lit(False).alias("w_empty"))
-    stay = checkpoint(stay.unionByName(rows.filter("n_shingles = 0").select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), F.lit(True).alias("w_empty")).distinct()))
-    x = docs.withColumn("w_h", F.xxhash64("text"))
-    x = x.join(stay, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("w_h") == F.col("w_hash")))
-    x = x.withColumn("w_n", F.row_number().over(Window.partitionBy("doc_id", "w_h").orderBy(F.lit(1)))).filter("w_n = 1 or w_empty")
-    return x.select(*[docs[c] for c in docs.columns])
+    full = rows.filter("n_shingles > 0")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    ids = full.groupBy("node").agg(F.min(who).alias("who")).join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("who", F.coalesce("root", "node").alias("root"))
+    stay = ids.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.id").alias("w_id"), F.col("who.hash").alias("w_hash"))
+    keys = full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    decided = keys.join(stay, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left")
+    touched = checkpoint(decided.filter("w_hash is null or n > 1").select("doc_id", "text_hash", F.col("w_hash").isNotNull().alias("stays")))
+    sent = _text_map(touched)
+    h, t_id, t_hash, stays, place = free(docs, "text_hash", "touched_id", "touched_hash", "stays", "place")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+
+    def rows_of(marked: bool) -> DataFrame:
+        def run(batches):
+            have = np.frombuffer(sent.value, np.uint8)
+            for b in batches:
+                on = _on_map(have, b.column(b.num_columns - 1))
+                yield b.filter(on if marked else pa.compute.invert(on))
+
+        return hashed.mapInArrow(run, hashed.schema)
+
+    x = rows_of(True).join(touched.toDF(t_id, t_hash, stays), F.col("doc_id").eqNullSafe(F.col(t_id)) & (F.col(h) == F.col(t_hash)), "left").filter(F.coalesce(stays, F.lit(True)))
+    x = x.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(1)))).filter(F.col(stays).isNull() | (F.col(place) == 1))
+    return rows_of(False).select(docs.columns).union(x.select(docs.columns))
 
 
 ORACLE_SQL = r"""
