@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 CACHE = 150_000  # segments in one of the two generations
 LONG = 256  # longer segments aren't kept
-PAIRS = 1_000_000
+PAIRS = 500_000
 BATCH_TEXTS = 200  # texts per output batch, to bound memory
 
 
@@ -50,7 +50,7 @@ class PieceBPE:
         self.automaton.make_automaton()
         apart = not any("\n" in p or re.search("[^▁]▁", p) for p in self.id)
         self.segment = re.compile(r"\n+|▁+[^▁\n]*|[^▁\n]+" if apart else r"(?s).+").findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # of a * (number of pieces) + b
         self.alone: dict[int, bool] = {}
         self.young: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
@@ -78,17 +78,17 @@ class PieceBPE:
 
     def fits(self, a: int, b: int) -> bool:
         """Is (a, b) the encoding of their joined text?"""
-        ok = self.pairs.get((a, b))
+        ok = self.pairs.get(a * len(self.piece) + b)
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+            ok = self.pairs[a * len(self.piece) + b] = self.merge(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
         return ok
 
     def segment_ids(self, text: str) -> list[int]:
         """Ids of a text in which spaces are ▁, by the table of last tokens."""
         last: list[int | None] = [None] * (len(text) + 1)
-        length, pairs, fits = self.length, self.pairs, self.fits
+        length, pairs, fits, n = self.length, self.pairs, self.fits, len(self.piece)
         for end, b in self.automaton.iter(text):
             if last[end + 1] is None:
                 a = last[end + 1 - length[b]]
@@ -96,7 +96,7 @@ class PieceBPE:
                     if (end + 1 == length[b] or text[end - length[b]] not in self.id) and self.stands(b):
                         last[end + 1] = b
                 else:
-                    ok = pairs.get((a, b))
+                    ok = pairs.get(a * n + b)
                     if fits(a, b) if ok is None else ok:
                         last[end + 1] = b
         out: list[int] = []
