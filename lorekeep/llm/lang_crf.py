@@ -25,8 +25,9 @@ PER_LANG = 300  # labelled documents of a language that are learned from, at mos
 BITS = 16  # of feature numbers
 ROUNDS = 12
 RATE = 0.4
-SHARDS = 6
-SLICE = 1 << 22
+SHARDS = 6  # tasks of a round, each of which sends the driver one gradient
+SALTS = 64
+SLICE = 1 << 21  # bytes of text worked on at once
 MIN_SCORE = 0.5  # what a document must reach to be kept by ``accepted``
 
 
@@ -95,8 +96,10 @@ def forward_backward(z: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs:
     base = np.concatenate([[0], np.cumsum(active)])
     step = np.repeat(np.arange(n[0]), active)
     place = first[order][np.arange(base[-1]) - base[step]] + step
-    e = np.exp(z[place] - z[place].max(axis=1, keepdims=True)).astype(np.float64)
-    a = np.exp(trans).astype(np.float64)
+    e = z[place]
+    e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    a = np.exp(trans).astype(e.dtype)
     alpha, beta = np.empty_like(e), np.empty_like(e)
     at, k = base.tolist(), active.tolist()
     now = e[: k[0]] / e[: k[0]].sum(axis=1, keepdims=True)
@@ -106,7 +109,7 @@ def forward_backward(z: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs:
         now /= now.sum(axis=1, keepdims=True)
         alpha[at[t] : at[t + 1]] = now
     a_back = a.T.copy()
-    now = np.ones((k[-1], labels))
+    now = np.ones((k[-1], labels), e.dtype)
     beta[at[-2] : at[-1]] = now
     expected = np.zeros((labels, labels))
     for t in range(n[0] - 2, -1, -1):
@@ -117,11 +120,12 @@ def forward_backward(z: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs:
         now = ahead @ a_back
         now /= now.sum(axis=1, keepdims=True)
         if k[t] > k[t + 1]:
-            now = np.concatenate([now, np.ones((k[t] - k[t + 1], labels))])
+            now = np.concatenate([now, np.ones((k[t] - k[t + 1], labels), e.dtype)])
         beta[at[t] : at[t + 1]] = now
-    p = alpha * beta
-    out = np.zeros(z.shape)
-    out[place] = p / p.sum(axis=1, keepdims=True)
+    alpha *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    out = np.zeros_like(z)
+    out[place] = alpha
     return out, expected
 
 
@@ -166,11 +170,16 @@ def _gradient(batches, weights, trans):
 
 
 def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(text, lang): per_lang rows of each language, by hash, of those whose crc32 of the id mod 4 isn't 2."""
+    """(text, lang): per_lang rows of each language, by hash, of those whose crc32 of the id mod 4 isn't 2.
+
+    The least hashes are found in SALTS parts of a language first, so that no task's rows grow with the table.
+    """
     k = F.xxhash64("doc_id", "text")
     x = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy("k", "doc_id")
-    chosen = x.select("doc_id", "lang", k.alias("k")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang).select(F.col("k").alias("k_")).distinct()
+    part = Window.partitionBy("lang", "part").orderBy("k", "doc_id")
+    whole = Window.partitionBy("lang").orderBy("k", "doc_id")
+    few = x.select("doc_id", "lang", k.alias("k")).withColumn("part", F.pmod("k", F.lit(SALTS))).withColumn("r", F.row_number().over(part)).filter(F.col("r") <= per_lang)
+    chosen = few.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= per_lang).select(F.col("k").alias("k_")).distinct()
     return x.join(F.broadcast(chosen), k == F.col("k_"), "left_semi").select("text", "lang")
 
 
@@ -187,7 +196,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> tu
     if not langs:
         return langs, weights, trans
     number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    shards = checkpoint(sample.select("text", number.alias("label")).repartition(SHARDS, F.xxhash64("text")))
+    shards = checkpoint(sample.select("text", number.alias("label")).repartition(SHARDS, F.xxhash64("text"))).coalesce(SHARDS)
     w_sum, t_sum = np.zeros(weights.shape), np.zeros(trans.shape)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((weights, trans))
@@ -233,7 +242,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
                     f = Features(words)
                     p, _ = forward_backward(f.scores(weights)[f.back], words.first, trans)
                     p *= f.letters[f.back][:, None]
-                    total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(p, axis=0)])
+                    total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(p, axis=0, dtype=np.float64)])
                     per = total[words.first[1:]] - total[words.first[:-1]]
                     best, size = per.argmax(axis=1), per.sum(axis=1)
                     for i in np.flatnonzero(size > 0.5).tolist():
