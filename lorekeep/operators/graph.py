@@ -48,8 +48,9 @@ def traverse(edges: DataFrame, seeds: list[str], depth: int = 2, direction: str
 
 
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """name, community of each node, by weighted label propagation over undirected edges.
+    """name, community, settled of each node, by weighted label propagation over undirected edges, to a fixed point or for so many rounds.
 
+    ``settled`` says of all nodes whether the fixed point was reached, that is whether a further round would change no label.
     NULL or zero weights count as 1, edges to unknown nodes don't count.  In every round a node takes the
     label of the greatest summed weight among its neighbours and itself (its own label weighs as much as its heaviest edge,
     which keeps two-sided graphs from swapping labels for ever), the smallest of those that tie.  Nodes without edges stay alone.
@@ -62,16 +63,16 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFra
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
     own = both.groupBy("u").agg(F.max("w").alias("w")).select("u", F.col("u").alias("v"), "w")
     links = checkpoint(both.unionByName(own))
-    label = names.select(F.col("name").alias("node"), F.col("name").alias("community"))
+    label, settled = names.select(F.col("name").alias("node"), F.col("name").alias("community")), False
     for _ in range(rounds):
         votes = links.join(label, F.col("v") == F.col("node")).groupBy("u", "community").agg(F.round(F.sum("w"), 9).alias("w"))
         won = votes.groupBy(F.col("u").alias("won")).agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"))
-        new = checkpoint(label.join(won, F.col("node") == F.col("won"), "left").select("node", F.coalesce("best.community", "community").alias("community")))
-        same = new.join(label.withColumnRenamed("node", "node2").withColumnRenamed("community", "c2"), F.col("node") == F.col("node2")).filter("community != c2").isEmpty()
-        label = new
-        if same:
+        now = F.coalesce("best.community", "community")
+        new = checkpoint(label.join(won, F.col("node") == F.col("won"), "left").select("node", now.alias("community"), (now != F.col("community")).alias("moved")))
+        label, settled = new.drop("moved"), new.filter("moved").isEmpty()
+        if settled:
             break
-    return label.withColumnRenamed("node", "name")
+    return label.withColumnRenamed("node", "name").withColumn("settled", F.lit(settled))
 
 
 def siblings(members: DataFrame, hits: list[str], limit: int) -> DataFrame:

@@ -64,9 +64,8 @@ def community_siblings(spark, sf_dir):
 
 @query()
 def graph_communities(spark, sf_dir):
-    """Communities of nations and suppliers by label propagation (iterative: no SQL form)."""
-    e = edges(spark, sf_dir).filter(F.col("edge_type").isin("contains", "trades_with", "has_supplier"))
-    return graph.communities(e, entities(spark, sf_dir).filter("entity_type != 'customer'"))
+    """Communities of all entities over all edges by label propagation (iterative: no SQL form)."""
+    return graph.communities(edges(spark, sf_dir), entities(spark, sf_dir))
 
 
 @query("""SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey""")
