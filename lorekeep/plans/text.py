@@ -61,6 +61,12 @@ def secrets_in_documents(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.filter(text.secret_kinds(F.col("text")), lambda k: k.isin("email", "token")), ",").alias("kinds")).filter("kinds != ''")
 
 
+@query()
+def secret_kinds_of_documents(spark, sf_dir):
+    """All kinds of secrets in every text as it is, percent-decoded or in base64 (no SQL form of the decoding: tested by brute force)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.secret_kinds(F.col("text")), ",").alias("kinds"))
+
+
 @query(with_tables("exchange", """SELECT id, CASE WHEN length(t) = 0 THEN 'unknown' WHEN shut AND NOT op THEN 'closed' WHEN op AND NOT shut THEN 'open' ELSE 'unknown' END AS status FROM (SELECT id, t, regexp_matches(t, '(?i)\\b(done|closed|resolved|fixed|shipped|merged)\\b') AS shut, regexp_matches(t, '(?i)\\b(open|todo|pending|blocked|in progress|wip)\\b') AS op
   FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'Done in ' || id WHEN 1 THEN 'still OPEN' WHEN 2 THEN 'fixed, but pending' WHEN 3 THEN '' ELSE 'abandoned' END AS t FROM exchange))"""))
 def status_cells(spark, sf_dir):

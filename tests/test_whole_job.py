@@ -1,13 +1,14 @@
 """What the engine's queries must not leave out."""
 
+import base64
+import re
 from collections import defaultdict
+from urllib.parse import quote, unquote
 
-import pytest
-from pyspark.sql import functions as F
-
-from lorekeep.operators import graph
+from lorekeep.operators import graph, text
 from lorekeep.plans import registry
 from lorekeep.sources.domain import edges, entities
+from lorekeep.sources.tables import table
 
 registry.load()
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,39 @@ def test_communities_say_whether_they_settled(spark):
         assert {r["name"]: r["community"] for r in got} == want and {r["settled"] for r in got} == {settled}
         flags.append(settled)
     assert flags == [False, False, True]
+
+
+def brute_secrets(t):
+    """Kinds in a text, percent-decoded (as a whole, or not at all) and in its base64 runs."""
+    t = t or ""
+    parts = [t]
+    if not re.search(r"%(?![0-9A-Fa-f]{2})", t):
+        try:
+            parts.append(unquote(t.replace("+", " "), errors="strict"))
+        except UnicodeDecodeError:
+            pass
+    for run in re.findall(r"\b[A-Za-z0-9+/]{24,}={0,2}", t, re.A):
+        try:
+            parts.append(base64.b64decode(run, validate=True).decode())
+        except ValueError:
+            pass
+    return [k for k, p in sorted(text.SECRETS.items()) if any(re.search(p, x, re.A) for x in parts)]
+
+
+def test_secrets_of_all_kinds_and_documents(spark, tmp_path):
+    """Every document has a row, and each kind is found as it is, percent-decoded and in base64."""
+    said = {"connection": "postgres://me:pass@db", "email": "ann@example.org", "home_path": "/home/ann", "token": "sk-abcdefghijklmnop1234", "uuid": "123e4567-e89b-12d3-a456-426614174000"}
+    texts = [None, "", "nothing here"]
+    for kind, secret in said.items():
+        coded = base64.b64encode(f"padding {secret} and more padding".encode()).decode()
+        texts += [f"see {secret} x", "see " + quote(secret, safe="").replace("-", "%2D").replace(".", "%2E") + " x", f"see {coded} x"]
+        assert all(kind in brute_secrets(t) for t in texts[-3:])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kinds"] for r in registry.QUERIES["secret_kinds_of_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(brute_secrets(t)) for i, t in enumerate(texts)}
+
+
+def test_secrets_of_the_tables(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    got = sorted((r["doc_id"], r["kinds"]) for r in registry.QUERIES["secret_kinds_of_documents"](spark, SF).collect())
+    assert got == sorted((r["doc_id"], ",".join(brute_secrets(r["text"]))) for r in docs)
