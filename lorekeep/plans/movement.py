@@ -48,6 +48,15 @@ def filled_from_parent(spark, sf_dir):
     return movement.filled(known, "tenant", parents, on="o_orderkey", value="o_orderpriority", key="l_orderkey").select("l_orderkey", "l_linenumber", "tenant")
 
 
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_suppkey % 4 > 0 THEN 'line' END, o_orderpriority) AS tenant FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def lines_filled_from_parent(spark, sf_dir):
+    """Every child's missing tenant is its parent's."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.pmod("l_suppkey", F.lit(4)) > 0, "line").alias("tenant"))
+    parents = table(spark, sf_dir, "orders")
+    known = x.join(parents.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return movement.filled(known, "tenant", parents, on="o_orderkey", value="o_orderpriority", key="l_orderkey").select("l_orderkey", "l_linenumber", "tenant")
+
+
 @query("SELECT count(*) AS n_before, count(*) AS n_after, count(*) FILTER (doc_id % 3 = 0) AS n_null, count(*) FILTER (doc_id % 3 = 0) = 0 AS passed FROM documents")
 def not_null_gate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -201,6 +201,34 @@ def carryover_threads(spark, sf_dir):
     return state.carryover(*_threads(spark, sf_dir), as_of())[0].select("id", "key", "suppressed", "carryover_status")
 
 
+ALL_THREADS = """threads AS (SELECT s_suppkey AS id, 'T' || (CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey - 1 ELSE s_suppkey END) AS key, s_suppkey % 13 = 0 AS suppressed FROM supplier),
+deltas AS (SELECT s_suppkey AS n, CASE s_suppkey % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'updated' ELSE 'added' END AS kind, (CASE WHEN s_suppkey % 7 = 0 THEN 'X' ELSE 'T' END) || s_suppkey AS key FROM supplier),
+o AS (SELECT key, count(*) AS c FROM threads WHERE NOT suppressed GROUP BY key),
+d AS (SELECT n, kind, deltas.key, CASE WHEN kind = 'added' THEN 'applied' WHEN c IS NULL THEN 'zero_match' WHEN c > 1 THEN 'ambiguous' ELSE 'applied' END AS state FROM deltas LEFT JOIN o ON o.key = deltas.key)"""
+
+
+def _all_threads(spark, sf_dir):
+    """All suppliers as threads, some of which share a key, and as deltas, some of which match none."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    none = F.lit(None)
+    shared = F.when(F.pmod(k, F.lit(4)) == 0, k - 1).otherwise(k)
+    threads = s.select(k.alias("id"), F.concat(F.lit("T"), shared).alias("key"), (F.pmod(k, F.lit(13)) == 0).alias("suppressed"), none.cast("timestamp_ntz").alias("invalid_at"), none.cast("string").alias("suppression_kind"), F.lit("open").alias("carryover_status"))
+    kind = F.when(F.pmod(k, F.lit(3)) == 0, "resolved").when(F.pmod(k, F.lit(3)) == 1, "updated").otherwise("added")
+    return threads, s.select(k.alias("n"), kind.alias("kind"), F.concat(F.when(F.pmod(k, F.lit(7)) == 0, "X").otherwise("T"), k).alias("key"))
+
+
+@query(f"WITH {ALL_THREADS} SELECT n, kind, key, state FROM d")
+def all_carryover_report(spark, sf_dir):
+    """What each delta met, over all keys."""
+    return state.carryover(*_all_threads(spark, sf_dir), as_of())[1]
+
+
+@query(f"""WITH {ALL_THREADS} SELECT id, t.key, suppressed OR g.kind IS NOT NULL AS suppressed, CASE WHEN g.kind = 'resolved' THEN 'resolved' ELSE 'open' END AS carryover_status
+FROM threads t LEFT JOIN (SELECT DISTINCT key, kind FROM d WHERE state = 'applied' AND kind <> 'added') g ON g.key = t.key AND NOT t.suppressed""")
+def all_carryover_threads(spark, sf_dir):
+    return state.carryover(*_all_threads(spark, sf_dir), as_of())[0].select("id", "key", "suppressed", "carryover_status")
+
+
 @query(with_tables("facts", f"""SELECT * FROM (SELECT project_id, subject, predicate, object, pinned FROM facts WHERE NOT suppressed AND invalid_at IS NULL AND pinned
   UNION ALL SELECT DISTINCT c.project_id, c.subject, c.predicate, c.object, true FROM facts c WHERE c.id % 41 = 0 AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.project_id = c.project_id AND f.subject = c.subject AND f.predicate = c.predicate AND f.object = c.object AND f.pinned AND NOT f.suppressed AND f.invalid_at IS NULL))"""))
 def operator_pins(spark, sf_dir):

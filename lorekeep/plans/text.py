@@ -92,6 +92,17 @@ def changed_for_reingest(spark, sf_dir):
     return d.filter(F.pmod("doc_id", F.lit(3)) == 1).join(old, (F.col("doc_id") == F.col("o_id")) & (F.col("sha") == F.col("o_sha")), "left_anti")
 
 
+@query("""WITH old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 2 THEN replace(text, 'e', 'E') || '.' ELSE text END) AS sha FROM documents WHERE doc_id % 7 <> 3)
+SELECT doc_id, sha256(text) AS sha FROM documents d WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = d.doc_id AND old.sha = sha256(d.text))""")
+def documents_to_reingest(spark, sf_dir):
+    """All texts against the last run, in which some were different and some missing: only those are read in again."""
+    d = table(spark, sf_dir, "documents")
+    was = F.when(F.pmod("doc_id", F.lit(5)) == 2, F.concat(F.replace("text", F.lit("e"), F.lit("E")), F.lit("."))).otherwise(F.col("text"))
+    old = d.filter(F.pmod("doc_id", F.lit(7)) != 3).select(F.col("doc_id").alias("o_id"), F.sha2(was, 256).alias("o_sha"))
+    new = d.select("doc_id", F.sha2("text", 256).alias("sha"))
+    return new.join(old, (F.col("doc_id") == F.col("o_id")) & (F.col("sha") == F.col("o_sha")), "left_anti")
+
+
 @query("""SELECT count(*) AS n, count(DISTINCT text || '|' || coalesce(lang, 'NULL') || '|' || coalesce(source, 'NULL')) AS n_distinct FROM documents""")
 def distinct_rows(spark, sf_dir):
     """Rows and distinct row hashes."""

@@ -96,3 +96,20 @@ def test_secrets_of_the_tables(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text").collect()
     got = sorted((r["doc_id"], r["kinds"]) for r in registry.QUERIES["secret_kinds_of_documents"](spark, SF).collect())
     assert got == sorted((r["doc_id"], ",".join(brute_secrets(r["text"]))) for r in docs)
+
+
+def test_every_text_is_compared_for_reingest(spark):
+    """Altered and missing texts of the whole table come back, in all residues of doc_id, and no other."""
+    ids = [r["doc_id"] for r in table(spark, SF, "documents").select("doc_id").collect()]
+    got = sorted(r["doc_id"] for r in registry.QUERIES["documents_to_reingest"](spark, SF).collect())
+    assert got == sorted(i for i in ids if i % 5 == 2 or i % 7 == 3) and {i % 3 for i in got} == {0, 1, 2}
+
+
+def test_every_line_and_key_takes_part(spark):
+    """As many rows as the tables have, and every outcome of a delta occurs."""
+    sf = "/root/testdata/sf0.01"
+    suppliers = table(spark, sf, "supplier").count()
+    report = registry.QUERIES["all_carryover_report"](spark, sf).collect()
+    assert len(report) == suppliers and {r["state"] for r in report} == {"applied", "zero_match", "ambiguous"}
+    assert registry.QUERIES["all_carryover_threads"](spark, sf).count() == suppliers
+    assert registry.QUERIES["lines_filled_from_parent"](spark, sf).count() == table(spark, sf, "lineitem").count()
