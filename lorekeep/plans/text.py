@@ -54,6 +54,15 @@ def document_sections(spark, sf_dir):
     return text.sections(table(spark, sf_dir, "benchmark").select(k, doc.alias("text")), "item_id")
 
 
+@query("""SELECT item_id, ord, level, number, title, content FROM (SELECT item_id, 0 AS ord, 0 AS level, '0' AS number, '(preamble)' AS title, 'lead ' || item_id AS content FROM benchmark UNION ALL SELECT item_id, 1, 1, '1.2', '1.2 First', regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM benchmark
+  UNION ALL SELECT item_id, 2, 3, '', 'Last ' || item_id, 'end' FROM benchmark)""")
+def whole_document_sections(spark, sf_dir):
+    """Sections at headings outside fences, of whole texts."""
+    k = F.col("item_id")
+    doc = F.concat(F.lit("lead "), k, F.lit("\n# 1.2 First\n"), "text", F.lit("\n```\n# not a heading\n```\n### Last "), k, F.lit("\nend\n"))
+    return text.sections(table(spark, sf_dir, "benchmark").select(k, doc.alias("text")), "item_id")
+
+
 @query("""SELECT doc_id, kinds FROM (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '\\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}') THEN 'token' END) AS kinds FROM documents) WHERE kinds <> ''""")
 def secrets_in_documents(spark, sf_dir):
     """Kinds of secrets in each text as it is, percent-decoded or in base64."""
@@ -84,6 +93,13 @@ def text_keys(spark, sf_dir):
     return b.select("item_id", intent_key(said).alias("key"), compare_key(F.col("text")).alias("cmp"), subject_key(F.substring("text", 1, 9)).alias("subject"))
 
 
+@query()
+def whole_text_keys(spark, sf_dir):
+    """Intent keys, comparison keys and canonical subjects of whole texts of any length, with colons or not (tested by brute force)."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", intent_key(t).alias("key"), compare_key(t).alias("cmp"), subject_key(t).alias("subject"))
+
+
 @query("""SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 3 = 1 EXCEPT SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 6 = 1""")
 def changed_for_reingest(spark, sf_dir):
     """Texts whose digest differs from that of the last run: only these are read in again."""

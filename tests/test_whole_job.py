@@ -1,6 +1,7 @@
 """What the engine's queries must not leave out."""
 
 import base64
+import hashlib
 import re
 from collections import defaultdict
 from urllib.parse import quote, unquote
@@ -113,3 +114,38 @@ def test_every_line_and_key_takes_part(spark):
     assert len(report) == suppliers and {r["state"] for r in report} == {"applied", "zero_match", "ambiguous"}
     assert registry.QUERIES["all_carryover_threads"](spark, sf).count() == suppliers
     assert registry.QUERIES["lines_filled_from_parent"](spark, sf).count() == table(spark, sf, "lineitem").count()
+
+
+def brute_keys(t):
+    """(intent key, comparison key, subject) of a text."""
+    one = re.sub(r"\s+", " ", t or "", flags=re.A).strip(" ")
+    at = one.find(":") + 1
+    if 1 < at <= 60 and one[at : at + 1] == " ":
+        key = one[: at - 1].strip(" ")
+    elif len(one.encode()) <= 1000:
+        key = one
+    else:
+        cut = one.encode()[:987].decode(errors="ignore")
+        cut = (cut[: cut.rindex(" ")] if " " in cut else cut).rstrip(" ")
+        key = f"{cut} …#{hashlib.sha256(one.encode()).hexdigest()[:8]}"
+    return key, re.sub(r"[.!?;]+$", "", one.lower()), None if t is None else one.lower()
+
+
+def test_keys_of_whole_texts(spark, tmp_path):
+    """Long texts, colons near and far, and white space, none left out."""
+    texts = ["KEY: rest", "  The  plan :  to go", ": none", "a:b", "w" * 70 + ": far", "word " * 300, "w" * 1500, "é" * 700, "é ü " * 400 + "end!?", "Short one.;", "", None, "KEY: " + "long " * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["key"], r["cmp"], r["subject"]) for r in registry.QUERIES["whole_text_keys"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute_keys(t) for i, t in enumerate(texts)}
+
+
+def test_keys_of_the_tables(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    got = {r["doc_id"]: (r["key"], r["cmp"], r["subject"]) for r in registry.QUERIES["whole_text_keys"](spark, SF).collect()}
+    assert len(docs) == len(got) and got == {r["doc_id"]: brute_keys(r["text"]) for r in docs}
+    assert any("…#" in k for k, *_ in got.values())
+
+
+def test_sections_of_whole_texts(spark):
+    rows = registry.QUERIES["whole_document_sections"](spark, SF).filter("ord = 1").collect()
+    assert max(len(r["content"]) for r in rows) > 20
