@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one only where it is unset, as in tests)."""
+    """df written to the folder in spark.checkpoint.dir (a temporary one only where it is unset and Spark is local, as in tests)."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
     return df.checkpoint(eager=True)

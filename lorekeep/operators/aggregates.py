@@ -72,12 +72,46 @@ def fingerprint(df: DataFrame, key: str, columns: list[str], buckets: int = 1024
 def length_outliers(sections: DataFrame, length: Column, key: str = "name") -> DataFrame:
     """Sections longer than twice or shorter than half the median."""
     x = sections.select(key, length.alias("len"))
-    return x.crossJoin(x.agg(F.percentile("len", 0.5).alias("median"))).filter((F.col("len") > 2 * F.col("median")) | (F.col("len") < 0.5 * F.col("median")))
+    return x.crossJoin(quantiles(x, "len", [0.5]).select(F.col("p50").alias("median"))).filter((F.col("len") > 2 * F.col("median")) | (F.col("len") < 0.5 * F.col("median")))
+
+
+STEPS = 256  # ranges of values between powers of two, by which quantiles look for their ranks
 
 
 def quantiles(df: DataFrame, value: str, points: list[float], *by: str) -> DataFrame:
-    """Linearly interpolated quantiles p<percent> of each group."""
-    return df.groupBy(*by).agg(*[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in points], F.count(value).alias("n"))
+    """Linearly interpolated quantiles p<percent> of each group, exact, and n, how many values there are.
+
+    Equal values are counted first; counts of ranges of values, at most some 500000 a group, tell in which ranges the ranks lie, and
+    only the values of these are ordered.  A group of any size is thus never in one task.
+    """
+    def same(names: list[str]) -> Column:
+        on = F.lit(True)
+        for k in names:
+            on = on & F.col(k).eqNullSafe(F.col(k + "_q"))
+        return on
+
+    v = F.col("v")
+    counts = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).groupBy(*by, "v").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("span", F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * STEPS))
+    spans = counts.groupBy(*by, "span").agg(F.sum("n").alias("m"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("m").over(group.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.withColumn("before", before).withColumn("total", F.sum("m").over(group))
+    places = {p: F.lit(p) * (F.col("total") - 1) for p in points}
+    ranks = [f(places[p]) for p in points for f in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for r in ranks:
+        hit = hit | ((r >= F.col("before")) & (r < F.col("before") + F.col("m")))
+    wanted = spans.filter(hit).select(*[F.col(k).alias(k + "_q") for k in (*by, "span")], "before", "total")
+    x = counts.join(wanted, same([*by, "span"]))
+    first = F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy(*by, "span").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("first", first)
+    at = lambda r: F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("n")), v))
+    found = x.groupBy(*by).agg(*[f for p in points for f in (at(F.floor(places[p])).alias(f"lo{p}"), at(F.ceil(places[p])).alias(f"hi{p}"))], F.max("total").alias("total"))
+    between = [(F.col(f"`lo{p}`") + (F.col(f"`hi{p}`") - F.col(f"`lo{p}`")) * (places[p] - F.floor(places[p]))).alias(f"p{round(p * 100)}") for p in points]
+    found = found.select(*[F.col(k).alias(k + "_q") for k in by], *between)
+    every = df.groupBy(*by).agg(F.count(value).alias("n"))
+    return every.join(found, same(list(by)), "left").select(*by, *[f"p{round(p * 100)}" for p in points], "n")
 
 
 def retrieval_quality(hits: DataFrame, leak_score: float = 0.5) -> DataFrame:

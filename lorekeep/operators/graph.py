@@ -12,38 +12,41 @@ from lorekeep.functions.recovery import checkpoint
 MAX_DEPTH = 5
 
 
-def walks(edges: DataFrame, seeds: list[str], depth: int, direction: str = "out") -> DataFrame:
-    """entity_name, depth, weight, from_e, edge_type, to_e of every simple path of 1 to depth edges from a seed.
+def walks(edges: DataFrame, seeds: list[str], depth: int, direction: str = "out", project: str | None = None) -> DataFrame:
+    """entity_name, depth, weight, edge_from, edge_type, edge_to of every simple path of 1 to depth edges from a seed.
 
-    Unrolled joins, one a level.  A path is a row, as the answer needs the last edge of each.
+    Unrolled joins, one a level.  A path is a row, as the answer needs the last edge of each.  With a project, only
+    its edges are walked.
     """
+    if project is not None:
+        edges = edges.filter(F.col("project_id") == project)
     depth = max(1, min(MAX_DEPTH, depth))
     a, b = ("from_entity", "to_entity") if direction == "out" else ("to_entity", "from_entity")
-    e = edges.select(F.col(a).alias("near"), F.col(b).alias("far"), F.col("weight").alias("w"), F.col("from_entity").alias("from_e"), "edge_type", F.col("to_entity").alias("to_e"))
-    at = e.filter(F.col("near").isin(*seeds) & (F.col("far") != F.col("near"))).select(F.col("far").alias("entity_name"), F.lit(1).alias("depth"), F.col("w").alias("weight"), "from_e", "edge_type", "to_e", F.array("near", "far").alias("path"))
+    e = edges.select(F.col(a).alias("near"), F.col(b).alias("far"), F.col("weight").alias("w"), F.col("from_entity").alias("edge_from"), "edge_type", F.col("to_entity").alias("edge_to"))
+    at = e.filter(F.col("near").isin(*seeds) & (F.col("far") != F.col("near"))).select(F.col("far").alias("entity_name"), F.lit(1).alias("depth"), F.col("w").alias("weight"), "edge_from", "edge_type", "edge_to", F.array("near", "far").alias("path"))
     levels = [at]
     for k in range(2, depth + 1):
         here = levels[-1].select("entity_name", "path")
-        at = here.join(e, F.col("entity_name") == F.col("near")).filter(~F.array_contains("path", F.col("far"))).select(F.col("far").alias("entity_name"), F.lit(k).alias("depth"), F.col("w").alias("weight"), "from_e", "edge_type", "to_e", F.array_append("path", F.col("far")).alias("path"))
+        at = here.join(e, F.col("entity_name") == F.col("near")).filter(~F.array_contains("path", F.col("far"))).select(F.col("far").alias("entity_name"), F.lit(k).alias("depth"), F.col("w").alias("weight"), "edge_from", "edge_type", "edge_to", F.array_append("path", F.col("far")).alias("path"))
         levels.append(at)
     return reduce(DataFrame.unionByName, levels).drop("path")
 
 
-def traverse(edges: DataFrame, seeds: list[str], depth: int = 2, direction: str = "out", limit: int | None = None) -> DataFrame:
+def traverse(edges: DataFrame, seeds: list[str], depth: int = 2, direction: str = "out", limit: int | None = None, project: str | None = None) -> DataFrame:
     """Nodes within depth of the seeds: least depth, greatest known last weight, and a representative edge.
 
     ``both`` unites the walks along and against the edges; no path mixes them.  Suppressed edges count.
     """
     ways = ["out", "in"] if direction == "both" else [direction]
-    steps = reduce(DataFrame.unionByName, [walks(edges, seeds, depth, w) for w in ways]).filter(~F.col("entity_name").isin(*seeds))
+    steps = reduce(DataFrame.unionByName, [walks(edges, seeds, depth, w, project) for w in ways]).filter(~F.col("entity_name").isin(*seeds))
     # min_by of a struct: depth, then weight downwards with NULL first, then names, so that ties are settled
-    order = F.struct("depth", F.when(F.col("weight").isNull(), F.lit(float("-inf"))).otherwise(-F.col("weight")).alias("w"), "from_e", "edge_type", "to_e")
+    order = F.struct("depth", F.when(F.col("weight").isNull(), F.lit(float("-inf"))).otherwise(-F.col("weight")).alias("w"), "edge_from", "edge_type", "edge_to")
     x = steps.groupBy("entity_name").agg(
         F.min("depth").alias("min_depth"),
         F.max("weight").alias("max_weight"),
         F.min(order).alias("rep"),
     )
-    x = x.select("entity_name", "min_depth", "max_weight", F.col("rep.from_e").alias("rep_from"), F.col("rep.edge_type").alias("rep_edge_type"), F.col("rep.to_e").alias("rep_to"))
+    x = x.select("entity_name", "min_depth", "max_weight", F.col("rep.edge_from").alias("rep_from"), F.col("rep.edge_type").alias("rep_edge_type"), F.col("rep.edge_to").alias("rep_to"))
     return x if limit is None else x.orderBy("min_depth", F.desc_nulls_first("max_weight"), "entity_name").limit(limit)
 
 
@@ -83,12 +86,22 @@ def siblings(members: DataFrame, hits: list[str], limit: int) -> DataFrame:
 
 
 def thread_roots(log: DataFrame) -> DataFrame:
-    """id, root, depth of every message, by pointer doubling: a thread of n messages takes log n joins."""
-    x = log.select("id", F.coalesce("parent_id", "id").alias("root"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    """id, root, depth of every message, by pointer doubling: a thread of n messages takes log n joins.
+
+    Messages that answer each other in a circle, and those below them, have no root: their root and depth are NULL.
+    """
+    x = log.select("id", F.coalesce("parent_id", "id").alias("root"), F.when(F.col("parent_id").isNull() | (F.col("parent_id") == F.col("id")), 0).otherwise(1).cast("long").alias("depth"))
     x = checkpoint(x)
-    while True:
+    for _ in range(x.count().bit_length() + 1):  # as many doublings as the longest possible thread needs
         up = x.select(F.col("id").alias("up_id"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"))
-        new = checkpoint(x.join(up, F.col("root") == F.col("up_id"), "left").select("id", F.coalesce("up_root", "root").alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), (F.coalesce("up_root", "root") != F.col("root")).alias("moved")))
+        root = F.coalesce("up_root", "root")
+        new = checkpoint(x.join(up, F.col("root") == F.col("up_id"), "left").select("id", root.alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), (root != F.col("root")).alias("moved")))
         x = new.drop("moved")
         if new.filter("moved").isEmpty():
-            return x
+            break
+    # what circles may come to rest on a message that isn't a thread's first
+    first = log.filter("parent_id is null or parent_id = id").select(F.col("id").alias("first_id"))
+    missing = log.select(F.col("id").alias("known_id"))
+    y = x.join(first, F.col("root") == F.col("first_id"), "left").join(missing, F.col("root") == F.col("known_id"), "left")
+    whole = F.col("first_id").isNotNull() | F.col("known_id").isNull()
+    return y.select("id", F.when(whole, F.col("root")).alias("root"), F.when(whole, F.col("depth")).alias("depth"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+FEW_WINDOWS = 1000
+
+
 def renamed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select([F.col(c).alias(c + suffix) for c in df.columns])
 
@@ -28,9 +31,16 @@ def with_chunk_counts(entries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def written_in_window(rows: DataFrame, windows: DataFrame, at: str, now: Column) -> DataFrame:
-    """Rows written inside any window [enabled, disabled or now]; few windows, of a checked number, many rows."""
-    w = windows.select(F.col("enabled_at").alias("w0"), F.coalesce(F.col("disabled_at"), now).alias("w1"))
-    return rows.join(w, (F.col(at) >= F.col("w0")) & (F.col(at) <= F.col("w1")), "left_semi")
+    """Rows written inside any window [enabled, disabled or now].
+
+    Up to FEW_WINDOWS windows go to all tasks; more are dealt out by the days that they touch, and rows meet those of their day.
+    """
+    w = windows.select(F.col("enabled_at").alias("w0"), F.coalesce(F.col("disabled_at"), now).alias("w1")).filter("w0 <= w1").distinct()
+    inside = (F.col(at) >= F.col("w0")) & (F.col(at) <= F.col("w1"))
+    if w.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
+        return rows.join(F.broadcast(w), inside, "left_semi")
+    days = w.withColumn("w_day", F.explode(F.sequence(F.to_date("w0"), F.to_date("w1"))))
+    return rows.join(days, (F.to_date(F.col(at)) == F.col("w_day")) & inside, "left_semi")
 
 
 def missing(rows: DataFrame, other: DataFrame, left: str, right: str) -> DataFrame:

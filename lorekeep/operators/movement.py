@@ -39,8 +39,11 @@ def reclassified(own: DataFrame, routed: DataFrame, key: str) -> DataFrame:
 
 
 def filled(df: DataFrame, column: str, lookup: DataFrame, on: str, value: str, key: str, otherwise: str | None = None) -> DataFrame:
-    """df whose NULLs in column are filled by the value of a lookup, whose column ``on`` meets df's ``key``, then by a constant."""
-    m = lookup.select(F.col(on).alias("m_key"), F.col(value).alias("m_value"))
+    """df whose NULLs in column are filled by the value of a lookup, whose column ``on`` meets df's ``key``, then by a constant.
+
+    Of lookup rows with one key, the smallest value counts.
+    """
+    m = lookup.groupBy(F.col(on).alias("m_key")).agg(F.min(value).alias("m_value"))
     x = df.join(m, F.col(key) == F.col("m_key"), "left")
     return x.withColumn(column, F.coalesce(column, "m_value", F.lit(otherwise).cast("string"))).drop("m_key", "m_value")
 

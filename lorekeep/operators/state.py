@@ -175,7 +175,11 @@ def evolved_budgets(budgets: DataFrame, rates: DataFrame, step: int = 100, floor
 
 
 def reality_tagged(facts: DataFrame, probes: DataFrame) -> DataFrame:
-    """Facts tagged by what a probe (p_subject, p_predicate, p_value) found: verified, mismatch, or unverifiable where it found nothing."""
+    """Facts tagged by what a probe (p_subject, p_predicate, p_value) found: verified, mismatch, or unverifiable where it found nothing.
+
+    Of probes that ask the same, the one with the greatest value counts.
+    """
+    probes = probes.groupBy("p_subject", "p_predicate").agg(F.max("p_value").alias("p_value"))
     x = facts.join(probes, (F.col("subject") == F.col("p_subject")) & (F.col("predicate") == F.col("p_predicate")), "left")
     tag = F.when(F.col("p_subject").isNull(), F.col("reality_check")).when(F.col("p_value").isNull(), "unverifiable").when(F.col("p_value") == F.col("object"), "verified").otherwise("mismatch")
     return x.withColumn("reality_check", tag).drop("p_subject", "p_predicate", "p_value")

@@ -10,22 +10,21 @@ from lorekeep.sources.domain import edges, entities, with_tables
 from lorekeep.sources.tables import table
 
 
-def _walk_sql(direction: str, seeds: str, depth: int) -> str:
-    a, b = ("from_entity", "to_entity") if direction == "out" else ("to_entity", "from_entity")
-    w = f"walk_{direction}"
-    return f"""{w}(entity_name, depth, weight, from_e, edge_type, to_e, path) AS (
-  SELECT s, 0, CAST(1 AS DOUBLE), '', '', '', [s] FROM (SELECT unnest([{seeds}]) AS s)
-  UNION ALL SELECT e.{b}, t.depth + 1, e.weight, e.from_entity, e.edge_type, e.to_entity, list_append(t.path, e.{b})
-  FROM edges e JOIN {w} t ON e.{a} = t.entity_name WHERE t.depth + 1 <= {depth} AND NOT list_contains(t.path, e.{b}))"""
+def _paths_sql(direction: str, seeds: str, depth: int) -> str:
+    """Simple paths by their first edge and what follows: the node reached, the nodes seen, the number of edges, the last edge."""
+    near, far = ("from_entity", "to_entity") if direction == "out" else ("to_entity", "from_entity")
+    last = "struct_pack(w := e.weight, a := e.from_entity, kind := e.edge_type, b := e.to_entity)"
+    return f"""paths_{direction}(tip, seen, hops, edge) AS (
+  SELECT {far}, [{near}, {far}], 1, {last} FROM edges e WHERE {near} IN ({seeds}) AND {near} <> {far}
+  UNION ALL SELECT e.{far}, p.seen || [e.{far}], p.hops + 1, {last} FROM edges e, paths_{direction} p WHERE p.tip = e.{near} AND p.hops < {depth} AND list_position(p.seen, e.{far}) IS NULL)"""
 
 
 def _traverse_sql(directions: list[str], seeds: list[str], depth: int, limit: str = "") -> str:
     s = ", ".join(f"'{x}'" for x in seeds)
-    every = " UNION ALL ".join(f"SELECT * FROM walk_{d}" for d in directions)
-    rep = "row_number() OVER (PARTITION BY entity_name ORDER BY depth, weight DESC NULLS FIRST, from_e, edge_type, to_e) AS r"
-    body = f"""SELECT entity_name, CAST(min(depth) AS INTEGER) AS min_depth, max(weight) AS max_weight, max(from_e) FILTER (r = 1) AS rep_from, max(edge_type) FILTER (r = 1) AS rep_edge_type, max(to_e) FILTER (r = 1) AS rep_to
-FROM (SELECT *, {rep} FROM ({every}) WHERE depth > 0 AND entity_name NOT IN ({s})) GROUP BY entity_name{limit}"""
-    return with_tables("edges", body, *[_walk_sql(d, s, depth) for d in directions], recursive=True)
+    every = " UNION ALL ".join(f"SELECT tip, hops, edge FROM paths_{d}" for d in directions)
+    body = f"""SELECT tip AS entity_name, CAST(min(hops) AS INTEGER) AS min_depth, max(edge.w) AS max_weight, min(r).edge.a AS rep_from, min(r).edge.kind AS rep_edge_type, min(r).edge.b AS rep_to
+FROM (SELECT tip, hops, edge, struct_pack(h := hops, v := coalesce(-edge.w, CAST('-infinity' AS DOUBLE)), edge := struct_pack(a := edge.a, kind := edge.kind, b := edge.b)) AS r FROM ({every}) WHERE tip NOT IN ({s})) GROUP BY tip{limit}"""
+    return with_tables("edges", body, *[_paths_sql(d, s, depth) for d in directions], recursive=True)
 
 
 LIMIT = "\nORDER BY min_depth, max_weight DESC NULLS FIRST, entity_name LIMIT 25"

@@ -55,10 +55,10 @@ def united_names(spark, sf_dir):
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(rank() OVER w AS INTEGER) AS place, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running, lag(o_orderkey) OVER w AS before
-FROM orders WHERE o_orderstatus = 'P' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def customer_order_windows(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    x = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    x = table(spark, sf_dir, "orders")
     return x.select("o_custkey", "o_orderkey", F.rank().over(w).alias("place"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.lag("o_orderkey").over(w).alias("before"))
 
 

@@ -45,12 +45,12 @@ def wiki_links(spark, sf_dir):
     return text.wiki_links(table(spark, sf_dir, "benchmark").select(k, doc.alias("text")), "item_id")
 
 
-@query("""SELECT item_id, ord, level, number, title, content FROM (SELECT item_id, 0 AS ord, 0 AS level, '0' AS number, '(preamble)' AS title, 'lead ' || item_id AS content FROM benchmark UNION ALL SELECT item_id, 1, 1, '1.2', '1.2 First', trim(substring(text, 1, 20)) FROM benchmark
+@query("""SELECT item_id, ord, level, number, title, content FROM (SELECT item_id, 0 AS ord, 0 AS level, '0' AS number, '(preamble)' AS title, 'lead ' || item_id AS content FROM benchmark UNION ALL SELECT item_id, 1, 1, '1.2', '1.2 First', regexp_replace(text, '^\\s+|\\s+$', '', 'g') FROM benchmark
   UNION ALL SELECT item_id, 2, 3, '', 'Last ' || item_id, 'end' FROM benchmark)""")
 def document_sections(spark, sf_dir):
     """Sections at headings outside fences."""
     k = F.col("item_id")
-    doc = F.concat(F.lit("lead "), k, F.lit("\n# 1.2 First\n"), F.substring("text", 1, 20), F.lit("\n```\n# not a heading\n```\n### Last "), k, F.lit("\nend\n"))
+    doc = F.concat(F.lit("lead "), k, F.lit("\n# 1.2 First\n"), "text", F.lit("\n```\n# not a heading\n```\n### Last "), k, F.lit("\nend\n"))
     return text.sections(table(spark, sf_dir, "benchmark").select(k, doc.alias("text")), "item_id")
 
 
@@ -63,11 +63,12 @@ def whole_document_sections(spark, sf_dir):
     return text.sections(table(spark, sf_dir, "benchmark").select(k, doc.alias("text")), "item_id")
 
 
-@query("""SELECT doc_id, kinds FROM (SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '\\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}') THEN 'token' END) AS kinds FROM documents) WHERE kinds <> ''""")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\\b(?:postgres(?:ql)?|mysql|mongodb|redis)://[^\\s:@/]+:[^\\s@/]+@') THEN 'connection' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}') THEN 'email' END,
+  CASE WHEN regexp_matches(text, '(?:/home/|/Users/|C:\\\\Users\\\\)[A-Za-z0-9._-]+') THEN 'home_path' END, CASE WHEN regexp_matches(text, '\\b(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}') THEN 'token' END,
+  CASE WHEN regexp_matches(text, '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b') THEN 'uuid' END) AS kinds FROM documents""")
 def secrets_in_documents(spark, sf_dir):
-    """Kinds of secrets in each text as it is, percent-decoded or in base64."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(F.filter(text.secret_kinds(F.col("text")), lambda k: k.isin("email", "token")), ",").alias("kinds")).filter("kinds != ''")
+    """All kinds of secrets in every text as it is, percent-decoded or in base64 (the SQL has the raw form; these texts hold no other)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.secret_kinds(F.col("text")), ",").alias("kinds"))
 
 
 @query()
@@ -85,12 +86,17 @@ def status_cells(spark, sf_dir):
     return exchange(spark, sf_dir).select("id", text.status_of(t).alias("status"))
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'TASK ' || item_id ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS key, regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[.!?;]+$', '') AS cmp, lower(trim(regexp_replace(substring(text, 1, 9), '\\s+', ' ', 'g'))) AS subject FROM benchmark WHERE length(text) < 900 AND strpos(text, ':') = 0""")
+@query("""SELECT item_id, CASE WHEN colon > 1 AND colon <= 60 AND substring(t, colon + 1, 1) = ' ' THEN trim(left(t, colon - 1)) WHEN strlen(t) <= 1000 THEN t
+  ELSE rtrim(CASE WHEN strpos(cut, ' ') > 0 THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END) || ' …#' || left(sha256(t), 8) END AS key,
+  regexp_replace(lower(body), '[.!?;]+$', '') AS cmp, lower(body) AS subject
+FROM (SELECT *, strpos(t, ':') AS colon, CASE WHEN strlen(t) > 1000 THEN left(t, list_max(list_filter(range(0, 988), lambda n: strlen(left(t, n)) <= 987))) END AS cut
+  FROM (SELECT item_id, body, CASE WHEN item_id % 2 = 0 THEN trim('TASK ' || item_id || ': ' || body) WHEN item_id % 3 = 0 THEN trim(body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body) ELSE body END AS t
+    FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM benchmark)))""")
 def text_keys(spark, sf_dir):
-    """Intent keys, comparison keys and canonical subjects."""
-    b = table(spark, sf_dir, "benchmark").filter((F.length("text") < 900) & (F.instr("text", ":") == 0))
-    said = F.when(F.pmod("item_id", F.lit(2)) == 0, F.concat(F.lit("  TASK "), "item_id", F.lit(": "), "text")).otherwise(F.col("text"))
-    return b.select("item_id", intent_key(said).alias("key"), compare_key(F.col("text")).alias("cmp"), subject_key(F.substring("text", 1, 9)).alias("subject"))
+    """Intent keys, comparison keys and canonical subjects of whole texts: with a key and a colon, as they are, and eight times over, beyond the byte limit."""
+    t, k = F.col("text"), F.col("item_id")
+    said = F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("  TASK "), k, F.lit(": "), t)).when(F.pmod(k, F.lit(3)) == 0, F.array_join(F.array_repeat(t, 8), " \n ")).otherwise(t)
+    return table(spark, sf_dir, "benchmark").select(k, intent_key(said).alias("key"), compare_key(t).alias("cmp"), subject_key(t).alias("subject"))
 
 
 @query()
@@ -100,12 +106,15 @@ def whole_text_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", intent_key(t).alias("key"), compare_key(t).alias("cmp"), subject_key(t).alias("subject"))
 
 
-@query("""SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 3 = 1 EXCEPT SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 6 = 1""")
+@query("""WITH old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 1 THEN text || '.' ELSE text END) AS sha FROM documents WHERE doc_id % 9 <> 4)
+SELECT doc_id, sha256(text) AS sha FROM documents d WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = d.doc_id AND old.sha = sha256(d.text))""")
 def changed_for_reingest(spark, sf_dir):
-    """Texts whose digest differs from that of the last run: only these are read in again."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    old = d.filter(F.pmod("doc_id", F.lit(6)) == 1).select(F.col("doc_id").alias("o_id"), F.col("sha").alias("o_sha"))
-    return d.filter(F.pmod("doc_id", F.lit(3)) == 1).join(old, (F.col("doc_id") == F.col("o_id")) & (F.col("sha") == F.col("o_sha")), "left_anti")
+    """Texts whose digest differs from that of the last run, in which some texts had another end and some were missing: only these are read in again."""
+    d = table(spark, sf_dir, "documents")
+    was = F.when(F.pmod("doc_id", F.lit(4)) == 1, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    old = d.filter(F.pmod("doc_id", F.lit(9)) != 4).select(F.col("doc_id").alias("o_id"), F.sha2(was, 256).alias("o_sha"))
+    new = d.select("doc_id", F.sha2("text", 256).alias("sha"))
+    return new.join(old, (F.col("doc_id") == F.col("o_id")) & (F.col("sha") == F.col("o_sha")), "left_anti")
 
 
 @query("""WITH old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 2 THEN replace(text, 'e', 'E') || '.' ELSE text END) AS sha FROM documents WHERE doc_id % 7 <> 3)

@@ -149,3 +149,66 @@ def test_keys_of_the_tables(spark):
 def test_sections_of_whole_texts(spark):
     rows = registry.QUERIES["whole_document_sections"](spark, SF).filter("ord = 1").collect()
     assert max(len(r["content"]) for r in rows) > 20
+
+
+def test_threads_in_a_circle(spark):
+    """Replies in a circle, and what hangs below them, have no root; other threads keep theirs."""
+    from lorekeep.operators import graph
+
+    rows = [(1, 2), (2, 3), (3, 1), (4, 1), (5, None), (6, 5), (7, 6), (8, 99), (9, 10), (10, 9), (11, 11), (12, 11)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in graph.thread_roots(spark.createDataFrame(rows, "id long, parent_id long")).collect()}
+    none = (None, None)
+    assert got == {1: none, 2: none, 3: none, 4: none, 5: (5, 0), 6: (5, 1), 7: (5, 2), 8: (99, 1), 9: none, 10: none, 11: (11, 0), 12: (11, 1)}
+
+
+def test_walks_stay_in_a_project(spark):
+    from lorekeep.operators import graph
+
+    rows = [("p", "a", "x", "b", 1.0), ("q", "b", "x", "c", 1.0), ("p", "b", "x", "d", 1.0), ("q", "a", "x", "e", 1.0)]
+    e = spark.createDataFrame(rows, "project_id string, from_entity string, edge_type string, to_entity string, weight double")
+    names = lambda p: {r["entity_name"] for r in graph.traverse(e, ["a"], 3, project=p).collect()}
+    assert names("p") == {"b", "d"} and names("q") == {"e"} and names(None) == {"b", "c", "d", "e"}
+
+
+def test_repeated_lookups_multiply_no_rows(spark):
+    from lorekeep.operators import movement, state
+
+    df = spark.createDataFrame([(1, None, "k"), (2, "t", "k"), (3, None, "m")], "id int, tenant string, key string")
+    lookup = spark.createDataFrame([("k", "b"), ("k", "a"), (None, "z")], "l string, v string")
+    assert sorted(movement.filled(df, "tenant", lookup, "l", "v", "key", "none").select("id", "tenant").collect()) == [(1, "a"), (2, "t"), (3, "none")]
+    facts = spark.createDataFrame([("s", "p", "o", None)], "subject string, predicate string, object string, reality_check string")
+    probes = spark.createDataFrame([("s", "p", "o"), ("s", "p", "a"), ("s", "p", None)], "p_subject string, p_predicate string, p_value string")
+    assert [r["reality_check"] for r in state.reality_tagged(facts, probes).collect()] == ["verified"]
+
+
+def test_windows_beyond_the_broadcast(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from lorekeep.operators import joins
+
+    t0 = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, t0 + timedelta(hours=7 * i)) for i in range(300)], "id int, at timestamp_ntz")
+    windows = spark.createDataFrame([(t0 + timedelta(hours=50 * i), t0 + timedelta(hours=50 * i + 11) if i % 5 else None) for i in range(1, 40, 3)], "enabled_at timestamp_ntz, disabled_at timestamp_ntz")
+    now = F.lit(t0 + timedelta(hours=100)).cast("timestamp_ntz")
+    few = sorted(r["id"] for r in joins.written_in_window(rows, windows, "at", now).collect())
+    monkeypatch.setattr(joins, "FEW_WINDOWS", 2)
+    assert few and few == sorted(r["id"] for r in joins.written_in_window(rows, windows, "at", now).collect())
+
+
+def test_quantiles_of_skewed_groups(spark):
+    import numpy as np
+
+    from lorekeep.operators import aggregates
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(0, 1e6, 999)] + [("b", 5.0)] * 700 + [("b", -1e300), ("c", None), (None, 1.5), (None, 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in aggregates.quantiles(df, "v", [0.0, 0.25, 0.5, 0.95], "g").collect()}
+    for g in ("a", "b", None):
+        vs = [v for k, v in rows if k == g and v is not None]
+        want = np.quantile(vs, [0.0, 0.25, 0.5, 0.95])
+        assert np.allclose([got[g][c] for c in ("p0", "p25", "p50", "p95")], want) and got[g]["n"] == len(vs)
+    assert got["c"]["p50"] is None and got["c"]["n"] == 0
+    assert aggregates.quantiles(df, "v", [0.5]).collect()[0]["n"] == len(rows) - 1
