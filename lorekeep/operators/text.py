@@ -124,12 +124,23 @@ def secret_kinds(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(every.rlike(p), F.lit(k)) for k, p in sorted(SECRETS.items())]))
 
 
-FUNCTION_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+# fixed values: the words that count as function words
+FUNCTION_WORDS = (
+    "a", "an", "the",
+    "is", "are", "was", "were", "be", "been", "being",
+    "of", "to", "in", "for", "and", "or", "but",
+    "with", "that", "this", "it", "as", "at", "on", "by",
+    "we", "he", "she", "they", "i",
+    "have", "has", "had", "do", "does", "did",
+    "if", "so", "its", "our",
+    "from", "also", "about", "after", "where", "which", "who",
+    "there", "when", "than", "into", "up",
+)
 
 
 def function_word_ratio(text: Column) -> Column:
     """Share of function words among a text's words; 0 without words."""
-    words = F.filter(F.split(F.lower(text), "[^a-z']+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9']+"), lambda w: w != "")
     n = F.size(words)
     return F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS))) / n).otherwise(0.0)
 

@@ -97,3 +97,9 @@ def manifest(df: DataFrame, by: str, key: str, columns: list[str], buckets: int
 def manifest_rewritten(old: DataFrame, new: DataFrame) -> DataFrame:
     """old with the slices of new in place of its own of the same name, NULL slices too."""
     return old.join(new.select(F.col("slice").alias("n_slice")), F.col("slice").eqNullSafe(F.col("n_slice")), "left_anti").unionByName(new)
+
+
+def stale_unreconciled(facts: DataFrame, annotate_only: list[str]) -> DataFrame:
+    """Live facts that reality contradicts: their columns and ``excluded``, true of predicates that only annotate, which are counted but not reported as stale."""
+    stale = F.coalesce(~F.col("suppressed"), F.lit(False)) & F.col("invalid_at").isNull() & (F.col("reality_check") == "mismatch")
+    return facts.filter(stale).withColumn("excluded", F.coalesce(F.col("predicate").isin(*annotate_only), F.lit(False)))

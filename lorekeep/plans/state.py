@@ -149,6 +149,18 @@ def reality_tags(spark, sf_dir):
     return state.reality_tagged(f, p).select("id", "reality_check")
 
 
+@query(with_tables("facts", """SELECT f.id, f.predicate, f.predicate = 'click' AS excluded FROM facts f
+LEFT JOIN (SELECT subject, predicate, CASE WHEN min(id) % 3 > 0 THEN min_by(object, id) END AS v FROM facts WHERE id % 7 = 0 GROUP BY ALL) p ON p.subject = f.subject AND p.predicate = f.predicate
+WHERE NOT f.suppressed AND f.invalid_at IS NULL AND CASE WHEN p.subject IS NULL THEN reality_check = 'mismatch' ELSE p.v <> f.object END"""))
+def stale_facts(spark, sf_dir):
+    """Live facts that a probe contradicts, those of an annotating predicate set apart."""
+    from lorekeep.operators import verify
+
+    f = facts(spark, sf_dir)
+    p = f.filter(F.pmod("id", F.lit(7)) == 0).groupBy(F.col("subject").alias("p_subject"), F.col("predicate").alias("p_predicate")).agg(F.when(F.pmod(F.min("id"), F.lit(3)) > 0, F.min_by("object", "id")).alias("p_value"))
+    return verify.stale_unreconciled(state.reality_tagged(f, p), ["click"]).select("id", "predicate", "excluded")
+
+
 @query(with_tables("facts", f"""SELECT id, CASE WHEN predicate = 'view' THEN 'click' ELSE predicate END AS predicate, suppressed OR hit AS suppressed, CASE WHEN hit THEN epoch_us({AS_OF_TS}) ELSE {US} END AS invalid_us
 FROM (SELECT *, predicate = 'view' AND NOT suppressed AND invalid_at IS NULL AND EXISTS (SELECT 1 FROM facts g WHERE g.project_id = f.project_id AND g.subject = f.subject AND g.predicate = 'click' AND NOT g.suppressed AND g.invalid_at IS NULL) AS hit FROM facts f)"""))
 def renamed_predicate(spark, sf_dir):

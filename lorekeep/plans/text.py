@@ -17,8 +17,8 @@ def document_chunks(spark, sf_dir):
     return text.chunked(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'with'))) / len(w) ELSE 0 END, 6) AS ratio
-FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z'']+'), lambda x: x <> '') AS w FROM documents)""")
+@query(f"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN {text.FUNCTION_WORDS})) / len(w) ELSE 0 END, 6) AS ratio
+FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9'']+'), lambda x: x <> '') AS w FROM documents)""")
 def function_word_ratios(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"), F.round(text.function_word_ratio(F.col("text")), 6).alias("ratio"))
 

@@ -101,3 +101,26 @@ def test_drain(spark, tmp_path):
         q = exchange.drain(exchange.tail(spark, str(tmp_path / "q"), "id long, payload string"), handle, str(tmp_path / "done"), str(tmp_path / "err"), str(tmp_path / "c"))
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "done")).count() == 15 and spark.read.parquet(str(tmp_path / "err")).count() == 5
+
+
+def test_payload_limits(spark):
+    """Every limit of a payload is told apart, by field and place."""
+    import json
+
+    fine = {"session_id": "s", "tldr": "x" * 4000, "assertions": [{"subject": "a", "predicate": "is", "object": "b", "source": "doc_quoted"}], "retrieval_outcome": "success"}
+    bad = {
+        "session_id": "s", "tldr": "x" * 4001, "open_threads": ["a", "b" * 4001], "resolved_threads": ["c"] * 201, "retrieval_outcome": "fine",
+        "entities": [{"name": "n", "entity_type": "t"}, {"name": "n"}, {"name": "n" * 1001, "entity_type": "t"}],
+        "assertions": [{"subject": "a", "predicate": "odd", "object": "b", "source": "hearsay"}],
+        "edges": [{"from_entity": "a", "to_entity": "b"}], "decisions": [{"topic": "é" * 1001}],
+    }
+    df = spark.createDataFrame([(0, json.dumps(fine)), (1, json.dumps(bad))], "i int, value string")
+    got = {r["i"]: r for r in readers.payloads(df, predicates=["is"]).collect()}
+    assert got[0]["errors"] == [] and got[0]["warnings"] == []
+    assert set(got[1]["errors"]) == {
+        "tldr is too long", "open_threads[1] is too long", "resolved_threads has too many items", "retrieval_outcome is unknown", "entities[1] is incomplete",
+        "entities[2].name is too long", "assertions[0].source is unknown", "an edge is incomplete", "decisions[0].topic is too long",
+    }
+    assert got[1]["warnings"] == ["assertions[0].predicate is not registered: odd"]
+    strict = {r["i"]: r for r in readers.payloads(df, predicates=["is"], strict=True).collect()}
+    assert "assertions[0].predicate is not registered: odd" in strict[1]["errors"] and strict[1]["warnings"] == []
