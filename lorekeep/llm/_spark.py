@@ -1,22 +1,35 @@
-"""Checkpoints in the shared folder, and free column names."""
+"""Checkpoints in the shared folder, free column names, and rows of documents by decisions on them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000  # rows of a small table, about 50 bytes each, that may be sent to all executors
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Take spark.checkpoint.dir from the session; only where it is unset (tests) make a folder."""
+    """Take spark.checkpoint.dir from the session; only where it is unset and Spark is local (tests) make a folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
+
 
+def checkpoint(df: DataFrame, fewer: int = 0) -> DataFrame:
+    """df written to the shared checkpoint folder: its lineage is cut, and later reads agree with each other.
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder: its lineage is cut, and later reads agree with each other."""
-    checkpoint_folder(df.sparkSession)
+    fewer, for tables much smaller than documents, makes at most that many times fewer files than there are shuffle
+    partitions, but two for each core: tiny files cost more than they hold.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    if fewer:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     return df.checkpoint(eager=True)
 
 
@@ -29,3 +42,30 @@ def free(df: DataFrame, *names: str) -> list[str]:
         used.add(n.lower())
         out.append(n)
     return out
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table that can be read twice, for the side of a join with documents: broadcast if its rows are few, else hashed where they are shuffled to."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def row_hash(docs: DataFrame):
+    """What with doc_id tells rows of docs apart."""
+    return F.xxhash64(docs["text"])
+
+
+def without_rows(docs: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows of docs, whole, less those that touched names: touched (doc_id, row_hash, stays), each key once, can be read twice.
+
+    Of rows with a key that stays, one stays; rows with other keys go; rows that touched doesn't name all stay, and
+    pass where they are if touched is small.
+    """
+    d, h, stays, n = free(docs, "key_id", "key_hash", "stays", "n")
+    t = touched.toDF(d, h, stays)
+    on = docs["doc_id"].eqNullSafe(F.col(d)) & (row_hash(docs) == F.col(h))
+    rest = docs.join(small(t), on, "left_anti")
+    again = t.filter(F.col(stays))
+    if again.first() is None:
+        return rest
+    one = docs.join(small(again), on).withColumn(n, F.row_number().over(Window.partitionBy(d, h).orderBy(F.lit(1)))).filter(F.col(n) == 1)
+    return rest.unionByName(one.select(*[one[f"`{c}`"] for c in docs.columns]))

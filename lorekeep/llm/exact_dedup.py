@@ -1,25 +1,30 @@
 """7. Exact dedup: a tree-merge of sorted digest runs.
 
-Every partition's rows make a run, sorted by digest, of one entry for each text: the best row, the
-number of rows, and the number of those that tie with the best.  In each round, FAN neighbouring
-runs exchange their entries by digest and are merged; an entry is merged with another only when
-digest, length and a second, independent hash agree, and the best row is settled again at every
-level.  A text of which a third of all rows are copies thus reaches any task as at most FAN entries.
-What the last round finds goes back down the same tree to the rows.
+Every partition's rows, sorted by digest, make a run of one entry for each text: the best row and the
+number of rows.  In each round, FAN neighbouring runs are exchanged and merged into one, and as runs get
+fewer they are cut into as many more ranges of the digest, so that every round keeps all tasks busy and no task
+ever holds more than its share (a butterfly of log(partitions) rounds).  A merge reads its runs in digest order
+as a stream; entries are merged only when digest, length and a second, independent hash agree, and the best row
+is settled again at every level.  A text of which a third of all rows are copies thus reaches any task of a
+round as at most FAN entries; of the rows, a task gets those of FAN partitions at most.  What the last round finds of
+texts with copies goes back down the levels to the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm._spark import checkpoint
+from lorekeep.llm._spark import checkpoint, row_hash, without_rows
 
 SPACE = r"[\x20\x09-\x0D]"
 FAN = 16  # runs that are merged at once
-RUN_ROWS = 1 << 14  # about so many rows in a run, RUNS at least
-RUNS = 256
+RANGE_BITS = 32  # leading bits of the digest that ranges are made of
 _TEXT = ["digest", "check_hash", "check_len"]
+_BEST = ["best_points", "best_id", "best_row"]
+ENTRY = "run long, place long, digest binary, check_hash long, check_len int, best_points int, best_id long, best_row long, n long"
 
 
 def normalised(text: Column) -> Column:
@@ -28,41 +33,85 @@ def normalised(text: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, points, digest, check_hash, check_len of each row."""
-    norm = normalised(F.col("text"))
-    return docs.select(
-        "doc_id",
-        F.coalesce(F.length("text"), F.lit(0)).alias("points"),
+    """doc_id, points, row_hash, digest, check_hash, check_len and row (which has the partition in its leading bits) of each row, written out."""
+    norm = normalised(docs["text"])
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        F.coalesce(F.length(docs["text"]), F.lit(0)).alias("points"),
+        row_hash(docs).alias("row_hash"),
         F.unhex(F.sha2(norm, 256)).alias("digest"),
         F.xxhash64(norm).alias("check_hash"),
         F.length(norm).alias("check_len"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return checkpoint(rows, fewer=4)
 
 
-def _merge(runs: DataFrame, run: Column) -> DataFrame:
-    """Merge sorted runs into the run named by ``run``: one entry a text, with its best row and counts."""
-    best = F.max(F.struct("best_points", "best_id", "best_row")).alias("best")
-    return (
-        runs.groupBy(run.alias("run"), *_TEXT)
-        .agg(best, F.sum("n").alias("n"))
-        .select("run", *_TEXT, F.col("best.best_points").alias("best_points"), F.col("best.best_id").alias("best_id"), F.col("best.best_row").alias("best_row"), "n")
-    )
+def _words(digest: pa.Array) -> np.ndarray:
+    """[rows, 4]: a column of 32-byte digests as integers."""
+    start = np.frombuffer(digest.buffers()[1], np.int32)[digest.offset] if len(digest) else 0
+    return np.frombuffer(digest.buffers()[2] or b"", np.uint64)[start // 8 : start // 8 + 4 * len(digest)].reshape(-1, 4)
+
+
+def _merged(batches):
+    """Entries of sorted runs, merged: rows of one run and text follow each other, the best first; only n is summed."""
+    held = None  # the last entry so far, which the next batch may go on with
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        keys = np.column_stack([_words(b.column(2)).view(np.int64), *(b.column(i).to_numpy().astype(np.int64) for i in (0, 3, 4))])
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        n = pa.array(np.add.reduceat(b.column(8).to_numpy(), first))
+        out = pa.RecordBatch.from_arrays([*b.take(pa.array(first)).columns[:8], n], schema=b.schema)
+        if len(first) > 1:
+            yield out.slice(0, len(first) - 1)
+        held = out.slice(len(first) - 1)
+    if held is not None:
+        yield held
 
 
-def tree_merge(rows: DataFrame, n_rows: int) -> list[DataFrame]:
-    """The levels of the tree, leaf runs first; rows has ``run`` from 0 to the number of runs.
+def _sorted_merge(entries: DataFrame) -> DataFrame:
+    order = ["run", *_TEXT, *(F.desc(c) for c in _BEST)]
+    return entries.sortWithinPartitions(*order).mapInArrow(_merged, ENTRY)
 
-    ``best_id`` is the complement of doc_id, so that the greatest has the smallest doc_id, null last.
+
+def tree_merge(rows: DataFrame) -> list[DataFrame]:
+    """The levels of the tree, runs of single partitions first: entries (run, place, the text, its best row, n), each text once a run.
+
+    ``best_id`` and ``best_row`` are complements, so that the greatest has the smallest doc_id, null last, then the first row.
+    ``place`` is the run's range of digests that an entry was merged in.
     """
-    runs = max(RUNS, -(-n_rows // RUN_ROWS))
-    leaf = rows.select(F.pmod("row", F.lit(runs)).alias("run"), *_TEXT, F.col("points").alias("best_points"), F.bitwise_not("doc_id").alias("best_id"), F.bitwise_not("row").alias("best_row"), F.lit(1).cast("long").alias("n"))
-    levels = [_merge(leaf, F.col("run"))]
+    leading = F.conv(F.hex(F.substring("digest", 1, RANGE_BITS // 8)), 16, 10).cast("long")
+    runs = many = rows.rdd.getNumPartitions()
+    leaf = rows.select(
+        F.shiftright("row", 33).alias("run"), F.lit(0).cast("long").alias("place"), *_TEXT, F.col("points").alias("best_points"),
+        F.bitwise_not("doc_id").alias("best_id"), F.bitwise_not("row").alias("best_row"), F.lit(1).cast("long").alias("n"),
+    )
+    levels = [_sorted_merge(leaf)]
     while runs > 1:
         runs = -(-runs // FAN)
-        levels.append(_merge(levels[-1], F.floor(F.col("run") / FAN)))
+        ranges = -(-many // runs)
+        place = F.shiftright(leading * ranges, RANGE_BITS)
+        up = levels[-1].withColumn("run", F.floor(F.col("run") / FAN)).withColumn("place", place)
+        levels.append(checkpoint(_sorted_merge(up.repartition(many, "run", "place"))))
     return levels
 
 
+def decided(rows: DataFrame) -> DataFrame:
+    """The rows whose text has copies, with best_id, best_row and group_size of their text.
+
+    The last level's entries of more than one row go down again, from a merged run to the FAN runs it came from.
+    """
+    levels = tree_merge(rows)
+    found = levels[-1].filter("n > 1").select("run", *_TEXT, "best_id", "best_row", F.col("n").alias("group_size"))
+    for level in reversed(levels[:-1]):
+        below = level.select("run", F.floor(F.col("run") / FAN).alias("up"), *_TEXT)
+        found = below.join(found.withColumnRenamed("run", "up"), ["up", *_TEXT]).drop("up")
+    return rows.withColumn("run", F.shiftright("row", 33)).join(found, ["run", *_TEXT]).select("row", "doc_id", "row_hash", "best_id", "best_row", "group_size")
+
+
 def dedup_decisions(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text).
 
@@ -70,35 +119,27 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
     most code points stays, then the smallest doc_id (null last); of rows that repeat both, one
     stays.  Null texts count as empty, and all empty texts are equal.  An empty table gives no rows.
     """
-    rows = checkpoint(digests(docs).withColumn("row", F.monotonically_increasing_id()))
-    n_rows = rows.count()
-    levels = tree_merge(rows, n_rows)
-    found = levels[-1].drop("run").withColumnRenamed("n", "group_size").withColumn("up", F.lit(0).cast("long"))
-    for level in reversed(levels[:-1]):  # down again: from a merged run to the FAN runs that it came from
-        below = level.select("run", F.floor(F.col("run") / FAN).alias("up"), *_TEXT)
-        found = below.join(found.select("up", *_TEXT, "best_id", "best_row", "group_size"), ["up", *_TEXT]).drop("up").withColumnRenamed("run", "up")
-    runs = max(RUNS, -(-n_rows // RUN_ROWS))
-    x = rows.withColumn("up", F.pmod("row", F.lit(runs))).join(found, ["up", *_TEXT])
-    return x.select(
+    rows = digests(docs)
+    more = decided(rows).select(F.col("row").alias("row_"), "best_id", "best_row", "group_size")
+    single = F.col("row_").isNull()
+    return rows.join(more, F.col("row") == F.col("row_"), "left").select(
         "doc_id",
-        F.bitwise_not("best_id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        (F.col("row") == F.bitwise_not("best_row")).alias("kept"),
+        F.when(single, F.col("doc_id")).otherwise(F.bitwise_not("best_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (single | (F.col("row") == F.bitwise_not("best_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, whole.
+    """The rows of docs that stay, whole, with any extra columns as they are.
 
-    The winners, one a text, are joined by (digest, doc_id): no group of copies meets in one task.
+    Only decisions on rows that have copies are joined with the documents.
     """
-    slim = checkpoint(digests(docs).withColumn("row", F.monotonically_increasing_id()))
-    best = tree_merge(slim, slim.count())[-1].select(F.col("digest").alias("w_digest"), F.bitwise_not("best_id").alias("w_id"), F.col("best_points").alias("w_points"))
-    x = docs.withColumn("w_d", F.unhex(F.sha2(normalised(F.col("text")), 256))).withColumn("w_p", F.coalesce(F.length("text"), F.lit(0)))
-    x = x.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("w_d") == F.col("w_digest")) & (F.col("w_p") == F.col("w_points")))
-    x = x.withColumn("w_n", F.row_number().over(Window.partitionBy("doc_id", "w_d").orderBy(F.lit(1)))).filter("w_n = 1")
-    return x.select(*[docs[c] for c in docs.columns])
+    copies = decided(digests(docs))
+    stays = F.max(F.col("row") == F.bitwise_not("best_row")).alias("stays")
+    touched = copies.groupBy("doc_id", "row_hash").agg(stays, F.count("*").alias("n")).filter("not stays or n > 1").select("doc_id", "row_hash", "stays")
+    return without_rows(docs, checkpoint(touched, fewer=16))
 
 
 ORACLE_SQL = r"""
