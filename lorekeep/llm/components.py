@@ -14,16 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     Each round moves every node's neighbours to the smallest of them; a few rounds, of the order of
     the logarithm of a component's size, make stars.  Only a count and a checksum reach the driver.
     """
-    e = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = checkpoint(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), fewer=16)
     sign = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = checkpoint(large)
         down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = checkpoint(small.filter("a != b").distinct())
+        e = checkpoint(small.filter("a != b").distinct(), fewer=16)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == tuple(now):
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -4,7 +4,8 @@ Texts become sets of hashed 4-word shingles; equal sets are one node.  Nodes mee
 a band of sizes, narrow enough that linked sets lie in the same or the next band, and one of the band's
 segments of the hash range with its exact content.  A band has more segments than linked sets of its
 sizes can differ in elements, so that linked sets agree on a segment and share a tile, while a passage that
-many documents have fills no segment on its own.
+many documents have fills no segment on its own.  Empty segments make no tiles: a set that has more of them than the band
+allows for is cut again, by other hashes, up to LAYERS times, and then puts its least elements in tiles.
 
 Of tiles with the same nodes one is kept.  In every tile, all nodes are compared with a pivot, the node that
 shares most tiles; what is then not in one component is compared block by block.  A comparison first
@@ -18,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm._spark import checkpoint, free
+from lorekeep.llm._spark import checkpoint, without_rows
 from lorekeep.llm._tokens import mix, slices
 from lorekeep.llm.components import components
 
@@ -29,7 +30,8 @@ NGRAM = 4
 PERCENT = 85
 BITMAP_LOG2 = 24  # bits of the map of texts to make arrays of: 2 MB, whatever the input
 SALTS = 64  # copies of a node's row, at most, for the pairs that it is in
-BLOCK = 128  # nodes in a block of what is compared without a pivot
+BLOCK = 512  # nodes in a block of what is compared without a pivot
+LAYERS = 6  # ways of cutting a set of which too many segments are empty
 
 
 def shingles(words, n: int) -> list[np.ndarray]:
@@ -76,12 +78,11 @@ class Bands:
     def segments(self, band: int) -> tuple[int, int, np.ndarray]:
         """(number, empty ones allowed for, inner bounds) of a band's segments.
 
-        Linked sets whose smaller one is in the band differ in at most d elements, so of d + 1 + e
-        segments they agree on e + 1; sets with more than e empty ones also put those in tiles.
+        Linked sets whose smaller one is in the band differ in at most d elements, so of d + 1 + e segments they agree
+        on e + 1, one of which isn't empty if either set has at most e empty ones.
         """
         if band not in self._kept:
-            most = int(self.lo[band + 1]) - 1
-            d = (most * 100 // self.percent) * (100 - self.percent) // 100
+            d = self.differ(band)
             e = 1 + int(2 * (d + 1) * np.exp(-float(self.lo[band]) / (d + 1))) if d else 0
             m = d + 1 + e
             bounds = np.array([(k << 64) // m for k in range(1, m)], dtype=np.uint64)
@@ -90,18 +91,33 @@ class Bands:
             self._kept[band] = (m, e, bounds)
         return self._kept[band]
 
+    def differ(self, band: int) -> int:
+        """Elements in which linked sets can differ at most, the smaller one being in the band."""
+        most = int(self.lo[band + 1]) - 1
+        return (most * 100 // self.percent) * (100 - self.percent) // 100
+
     def tiles(self, s: np.ndarray) -> np.ndarray:
-        """Signed 64-bit names of a set's tiles, in its own band and the band below."""
+        """Signed 64-bit names of a set's tiles, in its own band and the band below.
+
+        Two linked sets that both have too many empty segments in every layer share one of their least d + 1
+        elements: before the least element that they share, each has at most d.
+        """
         own, out = self.of(len(s)), []
-        total = np.zeros(len(s) + 1, dtype=np.uint64)
-        np.cumsum(mix(s, 3), out=total[1:])
         for band in {own, max(0, own - 1)}:
             m, e, bounds = self.segments(band)
-            edge = np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]])
-            content = total[edge[1:]] - total[edge[:-1]]
-            keys = mix(content + mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40), 5), 9)
-            full = edge[1:] > edge[:-1]
-            out.append(keys if m - int(full.sum()) > e else keys[full])
+            for layer in range(LAYERS + 1):
+                if layer == LAYERS:
+                    out.append(mix(s[: self.differ(band) + 1] + mix(np.array([band], dtype=np.uint64), 6), 10))
+                    break
+                x = np.sort(mix(s, 70 + layer)) if layer else s
+                total = np.zeros(len(x) + 1, dtype=np.uint64)
+                np.cumsum(mix(x, 3), out=total[1:])
+                edge = np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]])
+                full = np.flatnonzero(edge[1:] > edge[:-1])
+                content = total[edge[full + 1]] - total[edge[full]]
+                out.append(mix(content + mix(full.astype(np.uint64) + np.uint64((band << 40) + (layer << 56)), 5), 9))
+                if m - len(full) <= e:
+                    break
         return np.concatenate(out).view(np.int64)
 
 
@@ -222,25 +238,28 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(x, bitorder="little").tobytes()
 
 
-def _fold(x: np.ndarray, words: int) -> np.ndarray:
-    return x if len(x) == words else np.bitwise_or.reduce(x.reshape(-1, words), axis=0)
+def _matrix(bits: pa.Array, words: int = 0) -> np.ndarray:
+    """[rows, words]: signatures as integers, folded to the shortest of them or to so many words."""
+    off = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+    data, size = np.frombuffer(bits.buffers()[2], np.uint8), np.diff(off)
+    words = words or int(size.min()) // 8
+    out = np.empty((len(bits), words), np.uint64)
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        out[at] = np.bitwise_or.reduce(data[off[at][:, None] + np.arange(n)].view(np.uint64).reshape(len(at), -1, words), axis=1)
+    return out
 
 
-def _needed(na: int, nb: int, percent: int) -> int:
+def _needed(na, nb, percent: int):
     """The least intersection with which sets of these sizes are linked."""
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def may_link(na: int, nb: int, bits_a: bytes, bits_b: bytes, percent: int) -> bool:
-    """Can sets of these sizes and signatures be linked?  Bits that only one side has bound the intersection from above."""
-    if 100 * min(na, nb) < percent * max(na, nb):
-        return False
-    x, y = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
-    words = min(len(x), len(y))
-    x, y = _fold(x, words), _fold(y, words)
-    both = x & y
-    most = min(na - int(np.bitwise_count(x ^ both).sum()), nb - int(np.bitwise_count(y ^ both).sum()))
-    return most >= _needed(na, nb, percent)
+def _may_link(na, nb, x, y, percent: int) -> np.ndarray:
+    """Can sets of these sizes and signatures (in the last axis) be linked?  Bits that only one side has bound the intersection from above."""
+    both = np.bitwise_count(x & y).sum(axis=-1, dtype=np.int64)
+    most = np.minimum(na + both - np.bitwise_count(x).sum(axis=-1, dtype=np.int64), nb + both - np.bitwise_count(y).sum(axis=-1, dtype=np.int64))
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most >= _needed(na, nb, percent))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -271,9 +290,14 @@ def candidates(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> Dat
 
     def run(batches):
         for b in batches:
-            a_, b_, na, nb, xa, xb = b.columns
-            ok = pa.array(map(may_link, na.to_pylist(), nb.to_pylist(), xa.to_pylist(), xb.to_pylist(), [percent] * b.num_rows), pa.bool_())
-            yield pa.RecordBatch.from_arrays([a_.filter(ok), b_.filter(ok)], names=["a", "b"])
+            for lo in range(0, b.num_rows, 512):
+                a_, b_, na, nb, xa, xb = b.slice(lo, 512).columns
+                na, nb, ok = na.to_numpy(), nb.to_numpy(), np.zeros(len(a_), bool)
+                words = np.minimum(*(pa.compute.binary_length(x).to_numpy() for x in (xa, xb))) // 8
+                for w in np.unique(words).tolist():
+                    at = np.flatnonzero(words == w)
+                    ok[at] = _may_link(na[at], nb[at], _matrix(xa.take(pa.array(at)), w), _matrix(xb.take(pa.array(at)), w), percent)
+                yield pa.RecordBatch.from_arrays([a_.filter(pa.array(ok)), b_.filter(pa.array(ok))], names=["a", "b"])
 
     return _with_sides(pairs, info, "n_shingles", "bits").mapInArrow(run, "a long, b long")
 
@@ -281,8 +305,8 @@ def candidates(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> Dat
 def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that are linked, by their sorted arrays, which are made anew for the nodes that pairs name."""
     named = pairs.select(F.col("a").alias("named")).unionByName(pairs.select(F.col("b").alias("named"))).distinct()
-    wanted = checkpoint(info.join(named, F.col("node") == F.col("named"), "left_semi").select("node", "text_hash"))
-    arrays = checkpoint(node_arrays(docs, wanted, n))
+    wanted = checkpoint(info.join(named, F.col("node") == F.col("named"), "left_semi").select("node", "text_hash"), fewer=16)
+    arrays = checkpoint(node_arrays(docs, wanted, n), fewer=4)
 
     def run(batches):
         for b in batches:
@@ -305,38 +329,70 @@ def _rest(tiles: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     side = info.select(F.col("node").alias("node_"), "n_shingles", "bits")
     rows = rows.join(side, F.col("node") == F.col("node_")).select("tile", "node", "comp", "n_shingles", "bits", mine.alias("mine"), pair.alias("at"))
 
-    def run(t: pa.Table) -> pa.Table:
-        node, comp, size, mine = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "mine"))
-        bits = t.column("bits").to_pylist()
-        within = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        out = []
-        order = np.argsort(size, kind="stable").tolist()
-        for p, i in enumerate(order):
-            for j in order[p + 1 :]:
-                if 100 * size[i] < percent * size[j]:
-                    break
-                if comp[i] != comp[j] and (within or mine[i] != mine[j]) and may_link(int(size[i]), int(size[j]), bits[i], bits[j], percent):
-                    out.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return rows.select("tile", "node", "comp", "n_shingles", "bits", "mine", "at.i", "at.j").groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
+    def run(batches):
+        held = None  # the last block's rows so far
+        for b in batches:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if b.num_rows:
+                last = int(_starts(b)[-1])
+                yield _block_pairs(b.slice(0, last), percent)
+                held = b.slice(last)
+        if held is not None:
+            yield _block_pairs(held, percent)
+
+    rows = rows.select("tile", "at.i", "at.j", "node", "comp", "n_shingles", "mine", "bits")
+    parts = max(1, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """First rows of the runs of equal (tile, i, j)."""
+    keys = np.column_stack([b.column(k).to_numpy() for k in range(3)])
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+
+
+def _block_pairs(b: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Pairs of nodes in each block of a batch of whole blocks: row r meets row r + d of its block, in the order of sizes, for all blocks at once."""
+    found = [np.zeros((2, 0), np.int64)]
+    if b.num_rows:
+        first = _starts(b)
+        block = np.repeat(np.arange(len(first)), np.diff(np.append(first, b.num_rows)))
+        within, node, comp, size, mine = (b.column(1).to_numpy() == b.column(2).to_numpy(), *(b.column(k).to_numpy() for k in range(3, 7)))
+        words = np.minimum.reduceat(pa.compute.binary_length(b.column(7)).to_numpy() // 8, first)[block]
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            at = at[np.lexsort((size[at], block[at]))]
+            x, n, g = _matrix(b.column(7).take(pa.array(at)), w), size[at], block[at]
+            left, d = np.arange(len(at)), 1
+            while len(left := left[left + d < len(at)]):
+                left = left[(g[left] == g[left + d]) & (percent * n[left + d] <= 100 * n[left])]  # those behind are larger still
+                p, q = at[left], at[left + d]
+                test = left[(comp[p] != comp[q]) & (within[p] | (mine[p] != mine[q]))]
+                for lo in range(0, len(test), (1 << 19) // w):
+                    k = test[lo : lo + (1 << 19) // w]
+                    k = k[_may_link(n[k], n[k + d], x[k], x[k + d], percent)]
+                    found.append(np.stack([node[at[k]], node[at[k + d]]]))
+                d += 1
+    pairs = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
 
 
 def set_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): set_rows of docs, and (node, root) of the nodes that are linked with a smaller one."""
-    rows = checkpoint(set_rows(docs, n))
-    tiles = checkpoint(shared_tiles(docs, n, percent))
+    rows = checkpoint(set_rows(docs, n), fewer=4)
+    tiles = checkpoint(shared_tiles(docs, n, percent), fewer=4)
     weight = tiles.groupBy("node").count().select(F.col("node").alias("node_"), "count")
-    info = checkpoint(rows.join(weight, F.col("node") == F.col("node_"), "left_semi").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")))
-    tiles = checkpoint(distinct_tiles(tiles).join(weight, F.col("node") == F.col("node_")).select("tile", "node", "count"))
+    info = checkpoint(rows.join(weight, F.col("node") == F.col("node_"), "left_semi").groupBy("node").agg(F.min("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")), fewer=4)
+    tiles = checkpoint(distinct_tiles(tiles).join(weight, F.col("node") == F.col("node_")).select("tile", "node", "count"), fewer=4)
     pivot = tiles.groupBy("tile").agg(F.max(F.struct("count", "node")).alias("p")).select(F.col("tile").alias("t"), F.col("p.node").alias("a"))
     pairs = tiles.join(pivot, F.col("tile") == F.col("t")).filter("a != node").select("a", F.col("node").alias("b")).distinct()
-    edges = checkpoint(verified(checkpoint(candidates(pairs, info, percent)), docs, info, n, percent))
+    edges = checkpoint(verified(checkpoint(candidates(pairs, info, percent), fewer=16), docs, info, n, percent), fewer=16)
     roots = components(edges)
     known = tiles.join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("tile", "node", F.coalesce("root", "node").alias("comp"))
-    more = checkpoint(_rest(known, info, percent).distinct())
+    more = checkpoint(_rest(known, info, percent).distinct(), fewer=16)
     if more.first() is not None:
-        more = checkpoint(verified(more, docs, info, n, percent))
+        more = checkpoint(verified(more, docs, info, n, percent), fewer=16)
         if more.first() is not None:
             roots = components(edges.unionByName(more))
     return rows.drop("bits"), roots
@@ -353,7 +409,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     full = rows.filter("n_shingles > 0")
     ids = full.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy(F.col("root").alias("r")).agg(F.min("least_id").alias("component_id"))
-    of = checkpoint(ids.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("of_node"), "component_id"))
+    of = checkpoint(ids.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("of_node"), "component_id"), fewer=16)
     found = full.join(of, F.col("node") == F.col("of_node")).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -361,33 +417,19 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
 def without_near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Rows of docs, whole, less all but one (the smallest doc_id) of each group of linked documents.
 
-    Rows that go, or repeat one that stays, are marked on a bitmap of text hashes; only the rows that it marks
-    are shuffled, to meet the exact decisions, and all others pass where they are.
+    Of rows that repeat in doc_id and text, one stays; extra columns stay as they are.  Only decisions on rows
+    that go, or repeat one that stays, are joined with the documents.
     """
     rows, roots = set_components(docs, n, percent)
     full = rows.filter("n_shingles > 0")
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    ids = full.groupBy("node").agg(F.min(who).alias("who")).join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("who", F.coalesce("root", "node").alias("root"))
-    stay = ids.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.id").alias("w_id"), F.col("who.hash").alias("w_hash"))
-    keys = full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
-    decided = keys.join(stay, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left")
-    touched = checkpoint(decided.filter("w_hash is null or n > 1").select("doc_id", "text_hash", F.col("w_hash").isNotNull().alias("stays")))
-    sent = _text_map(touched)
-    h, t_id, t_hash, stays, place = free(docs, "text_hash", "touched_id", "touched_hash", "stays", "place")
-    hashed = docs.withColumn(h, F.xxhash64("text"))
-
-    def rows_of(marked: bool) -> DataFrame:
-        def run(batches):
-            have = np.frombuffer(sent.value, np.uint8)
-            for b in batches:
-                on = _on_map(have, b.column(b.num_columns - 1))
-                yield b.filter(on if marked else pa.compute.invert(on))
-
-        return hashed.mapInArrow(run, hashed.schema)
-
-    x = rows_of(True).join(touched.toDF(t_id, t_hash, stays), F.col("doc_id").eqNullSafe(F.col(t_id)) & (F.col(h) == F.col(t_hash)), "left").filter(F.coalesce(stays, F.lit(True)))
-    x = x.withColumn(place, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(1)))).filter(F.col(stays).isNull() | (F.col(place) == 1))
-    return rows_of(False).select(docs.columns).union(x.select(docs.columns))
+    ids = full.groupBy("node").agg(F.min(who).alias("who"), F.count("*").alias("rows")).join(roots.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left").select("node", "who", "rows", F.coalesce("root", "node").alias("root"))
+    stay = ids.groupBy(F.col("root").alias("r")).agg(F.min("who").alias("first"), F.sum("rows").alias("rows_in_all")).filter("rows_in_all > 1")
+    of = checkpoint(ids.join(stay, F.col("root") == F.col("r")).select(F.col("node").alias("of_node"), F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash")), fewer=16)
+    x = full.join(of, F.col("node") == F.col("of_node"))
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("stays")
+    touched = x.groupBy("doc_id", "text_hash").agg(stays, F.count("*").alias("n")).filter("not stays or n > 1").select("doc_id", "text_hash", "stays")
+    return without_rows(docs, checkpoint(touched, fewer=16))
 
 
 ORACLE_SQL = r"""
