@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21  # bytes of text worked on at once; one longer text makes a slice of its own
+SLICE = 1 << 19  # bytes of text worked on at once; one longer text makes a slice of its own
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -60,19 +60,27 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_BASE, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power(_BACK, n + 1)[self.start])
+        """64-bit hash of each word, worked out for about SLICE bytes at once, however long a text is."""
+        out, a = np.empty(len(self.start), np.uint64), 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.end, self.start[a] + SLICE, side="right")))
+            lo, hi = int(self.start[a]), int(self.end[b - 1])
+            total = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.data[lo:hi]] * _power(_BASE, hi - lo), out=total[1:])
+            start, end = self.start[a:b] - lo, self.end[a:b] - lo
+            out[a:b] = mix((total[end] - total[start]) * _power(_BACK, hi - lo + 1)[start])
+            a = b
+        return out
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of each slice of a string array."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
-    off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.null_count:
+        texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
     a = 0
@@ -80,3 +88,4 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tup
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
         yield a, b, Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
         a = b
+    pa.default_memory_pool().release_unused()  # what earlier batches took goes back to the system

@@ -27,8 +27,8 @@ ROUNDS = 12
 RATE = 0.4
 SHARDS = 6  # tasks of a round, each of which sends the driver one gradient
 SALTS = 64
-SLICE = 1 << 21  # bytes of text worked on at once
-MIN_SCORE = 0.5  # what a document must reach to be kept by ``accepted``
+LANGS = 64  # labels that are learned, at most: the most frequent ones
+MIN_CERTAINTY = 0.5  # what a document must reach to be kept by ``accepted``
 
 
 class Features:
@@ -150,7 +150,7 @@ def _gradient(batches, weights, trans):
     w_grad, t_grad, words_seen = np.zeros_like(weights, dtype=np.float64), np.zeros_like(trans, dtype=np.float64), 0
     for b in batches:
         labels = b.column(1).to_numpy()
-        for lo, hi, words in slices(b.column(0), SLICE):
+        for lo, hi, words in slices(b.column(0)):
             f = Features(words)
             where, first, marks = _switching(words, labels[lo:hi], lo)
             if not len(where):
@@ -175,7 +175,7 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     The least hashes are found in SALTS parts of a language first, so that no task's rows grow with the table.
     """
     k = F.xxhash64("doc_id", "text")
-    x = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id")))
+    x = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     part = Window.partitionBy("lang", "part").orderBy("k", "doc_id")
     whole = Window.partitionBy("lang").orderBy("k", "doc_id")
     few = x.select("doc_id", "lang", k.alias("k")).withColumn("part", F.pmod("k", F.lit(SALTS))).withColumn("r", F.row_number().over(part)).filter(F.col("r") <= per_lang)
@@ -190,8 +190,9 @@ def _held_out(doc_id):
 def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, emission weights, transitions) learned from labelled documents."""
     spark = docs.sparkSession
-    sample = checkpoint(training_sample(docs, per_lang))
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~_held_out(F.col("doc_id")))
+    langs = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    sample = checkpoint(training_sample(labelled.filter(F.col("lang").isin(langs)), per_lang), fewer=16)
     weights, trans = np.zeros((1 << BITS, len(langs)), np.float32), np.zeros((len(langs), len(langs)))
     if not langs:
         return langs, weights, trans
@@ -213,18 +214,19 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> tu
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang), or with keep all of its columns, lang_pred and score.
+    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang), or with keep all of its columns, lang_pred and certainty.
 
     A null text, or one without letters, is ``und`` with score 0, as is every text if there are no
     labelled rows to learn from.  Score is the mean probability of the language over the words with
-    letters.  Rows with a null doc_id may be learned from; repeated rows each get a row; an empty
+    letters; certainty the mean of each such word's greatest probability, whichever its language is, which is high also
+    where a text switches languages.  Rows with a null doc_id may be learned from; repeated rows each get a row; an empty
     table gives none.
     """
     langs, weights, trans = model or train(docs)
     sent = docs.sparkSession.sparkContext.broadcast((langs, weights, trans))
     pred, score = ("lang_pred", "score")
     if keep:
-        pred, score = free(docs, pred, score)
+        pred, score = free(docs, pred, "certainty")
         rows = docs
         schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     else:
@@ -235,19 +237,21 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
         langs, weights, trans = sent.value
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
-            for lo, hi, words in slices(texts, SLICE):
+            for lo, hi, words in slices(texts):
                 n = hi - lo
                 found, value = ["und"] * n, np.zeros(n)
                 if langs and len(words.start):
                     f = Features(words)
                     p, _ = forward_backward(f.scores(weights)[f.back], words.first, trans)
                     p *= f.letters[f.back][:, None]
-                    total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(p, axis=0, dtype=np.float64)])
+                    sure = p.max(axis=1, keepdims=True)
+                    total = np.concatenate([np.zeros((1, len(langs) + 1)), np.cumsum(np.concatenate([p, sure], axis=1), axis=0, dtype=np.float64)])
                     per = total[words.first[1:]] - total[words.first[:-1]]
-                    best, size = per.argmax(axis=1), per.sum(axis=1)
+                    best, size = per[:, :-1].argmax(axis=1), per[:, :-1].sum(axis=1)
+                    of = np.full(n, len(langs)) if keep else best
                     for i in np.flatnonzero(size > 0.5).tolist():
                         if _has_letter(texts[lo + i].as_py()):
-                            found[i], value[i] = langs[best[i]], min(1.0, max(0.0, float(per[i, best[i]] / size[i])))
+                            found[i], value[i] = langs[best[i]], min(1.0, max(0.0, float(per[i, of[i]] / size[i])))
                 cols = b.slice(lo, n).columns if keep else [c.slice(lo, n) for c in b.columns[:2]]
                 names = [*b.schema.names, pred, score] if keep else ["doc_id", "held_out", pred, score]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(value, pa.float64())], names=names)
@@ -259,8 +263,11 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, whole, whose language is identified with min_score at least."""
+def accepted(docs: DataFrame, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
+    """The rows of docs, whole, with letters, whose words have certain labels: min_certainty on average at least.
+
+    Documents in several languages stay, as each of their words is labelled with certainty.
+    """
     x = identify(docs, keep=True)
-    pred, score = x.columns[-2:]
-    return x.filter((F.col(pred) != "und") & (F.col(score) >= min_score)).select(*[x[c] for c in docs.columns])
+    pred, certainty = x.columns[-2:]
+    return x.filter((F.col(pred) != "und") & (F.col(certainty) >= min_certainty)).select(*[x[f"`{c}`"] for c in docs.columns])
