@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RATE = 8000
-UP, DOWN = 1, 2  # to 4000 samples a second
+UP, DOWN = 2, 5  # to 3200 samples a second
 TAPS = 16
 FRAME, HOP, MELS = 256, 128, 16
 BLOCK = 4096  # frames worked on at once

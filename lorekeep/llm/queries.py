@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorekeep.llm import audio_features, chat_windows, exact_dedup, lang_crf, maxent_lm, mixing, ngram_join, piece_bpe, pii, warc_fixity
 
@@ -48,7 +49,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features.audio_columns(_table(spark, sf_dir, "documents")).drop("tensor", "spans")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start_ms"], x["end_ms"])), ",")
+    return audio_features.audio_columns(_table(spark, sf_dir, "documents")).withColumn("spans", spans)
 
 
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
