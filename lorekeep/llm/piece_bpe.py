@@ -22,9 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE = 150_000  # segments in one of the two generations
+from lorekeep.llm._spark import free
+
+CACHE = 80_000  # segments in one of the two generations
 LONG = 256  # longer segments aren't kept
-PAIRS = 500_000
+PAIRS = 250_000
 BATCH_TEXTS = 200  # texts per output batch, to bound memory
 
 
@@ -179,7 +181,11 @@ def default_model() -> str:
 
 
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a column of token ids.  A null or empty text has none.  Other columns stay as they are."""
+    """docs with a last column of token ids, called ids or, where docs has such a column, by a free name like it.
+
+    A null or empty text has none.  Other columns stay as they are.
+    """
+    (ids,) = free(docs, ids)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     path = model or default_model()
 
@@ -195,7 +201,8 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", ids: s
 
 
 def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """coded with the text that its ids give; null ids count as none."""
+    """coded with a last column of the text that its ids give, by a free name; null ids count as none."""
+    (text,) = free(coded, text)
     schema = T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())])
     path = model or default_model()
 
