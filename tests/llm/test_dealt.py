@@ -250,6 +250,8 @@ def test_chat_windows_small(spark):
         assert seen == [(t[2] or "", t[3] or "") for t in mine]
         assert targets == [t[3] or "" for t in mine if t[2] == "assistant"]
     assert len(per[1]) > 3
+    back = {r["conv_id"]: (r["n_turns"], r["formatted_chars"]) for r in rows_of(chat_windows.read_back(w))}
+    assert back == {conv: (sum(t[0] == conv for t in rows), sum(len(r["text"]) for r in ws)) for conv, ws in per.items()}
     assert chat_windows.read_back(chat_windows.format_windows(df.limit(0))).count() == 0
 
 
@@ -276,6 +278,34 @@ def test_exact_dedup_odd(spark, odd):
     assert exact_dedup.dedup_decisions(odd.limit(0)).count() == 0
 
 
+def test_exact_dedup_rounds(spark, monkeypatch):
+    """Runs of 70 partitions, merged two at a time, in which copies lie everywhere."""
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), "copy " * 3 if rng.random() < 0.3 else f"text{' ' * int(rng.integers(1, 3))}{int(rng.integers(0, 1500))}") for i in rng.permutation(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    docs = df.checkpoint()
+    monkeypatch.setattr(exact_dedup, "checkpoint", lambda x, fewer=0: x.checkpoint())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t.replace(" ", "")].append((-len(t), i))
+    want = sorted((i, min(g)[1], len(g), (m, i) == min(g)) for g in groups.values() for m, i in g)
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.dedup_decisions(docs)))
+    assert got == want
+    assert sorted(r["doc_id"] for r in rows_of(exact_dedup.deduplicated(docs))) == sorted(min(g)[1] for g in groups.values())
+
+
+def test_exact_dedup_many_rows(spark):
+    """Runs of several Arrow batches, and 60000 repeats of one row."""
+    many = spark.range(60_000).selectExpr("id % 25000 + 1 as doc_id", "concat('t ', id % 25000) as text")
+    same = spark.range(60_000).selectExpr("cast(0 as bigint) as doc_id", "'one and the same' as text")
+    docs = many.union(same).coalesce(2)
+    got = exact_dedup.dedup_decisions(docs).groupBy("doc_id", "keep_id", "group_size").agg({"kept": "count", "*": "count"}).count()
+    assert got == 25_001
+    assert exact_dedup.dedup_decisions(docs).filter("kept").count() == 25_001
+    assert exact_dedup.deduplicated(docs).count() == 25_001
+
+
 # ---- 8
 
 
@@ -385,6 +415,9 @@ def test_audio(spark, sf):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
         assert r["media_bytes"] == len(payload) + 44
         assert features.setdefault(raw, r["feature"]) == r["feature"]
+        times = [tuple(map(int, x.split("-"))) for x in r["spans"].split(",") if x]
+        assert audio_features.read_tensor(r["tensor"]).shape == (len(times), audio_features.POOLED, audio_features.MELS)
+        assert all(a < b for a, b in times) and times == sorted(times)
     assert len(set(features.values())) > 0.9 * len(features)
 
 
@@ -402,6 +435,39 @@ def test_audio_blocks(monkeypatch):
     assert [round(s["start_ms"] / 1000) for s in spans] == [2, 6]
 
 
+def test_audio_by_definition():
+    """Resampling as zero-stuffing, filtering and decimation, mel energies by a direct Fourier sum, hysteresis frame by frame."""
+    a = audio_features
+    rng = np.random.default_rng(9)
+    raw = a.payload_of(rng.integers(0, 256, 6000, dtype=np.uint8).tobytes())
+    x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
+    n, rate = a.TAPS * a.UP, a.RATE * a.UP / a.DOWN
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / max(a.UP, a.DOWN)) * np.hamming(n)
+    stuffed = np.zeros(len(x) * a.UP)
+    stuffed[:: a.UP] = x
+    want = np.convolve(stuffed, h / h.sum() * a.UP)[: len(stuffed) : a.DOWN]
+    got = a.resample(x.astype(np.float32))
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-5)
+    mels = np.concatenate(list(a.log_mels(raw)))
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 50 / 700), 2595 * np.log10(1 + rate / 2 / 700), a.MELS + 2) / 2595) - 1)
+    k, i = np.arange(a.FRAME // 2 + 1), np.arange(a.FRAME)
+    dft = np.exp(-2j * np.pi * np.outer(k, i) / a.FRAME)
+    for f in range(0, len(mels) - 1, 3):
+        power = abs(dft @ (want[f * a.HOP : f * a.HOP + a.FRAME] * (0.5 - 0.5 * np.cos(2 * np.pi * i / (a.FRAME - 1))))) ** 2
+        for m in range(a.MELS):
+            tri = np.interp(k * rate / a.FRAME, edges[m : m + 3], [0, 1, 0], 0, 0)
+            assert mels[f, m] == pytest.approx(np.log(max(power @ tri, 1e-6)), abs=2e-3)
+    e = rng.normal(size=400)
+    on, spans = False, []
+    for f, z in enumerate([*(e - e.mean()) / e.std(), -9.0]):
+        now = True if z >= a.HIGH else False if z < a.LOW else on
+        if now != on:
+            spans.append(f)
+        on = now
+    assert a.segments(e) == list(zip(spans[::2], spans[1::2]))
+
+
 def test_audio_odd(spark, odd):
     got = rows_of(audio_features.audio_columns(odd))
     assert len(got) == odd.count() and {r["payload_bytes"] for r in got if not r["n_bytes"]} == {64}
@@ -435,12 +501,82 @@ def test_lm(spark, sf):
 
 
 def test_lm_is_a_distribution():
-    from lorekeep.llm import maxent_lm
+    from lorekeep.llm import maxent_lm as lm
 
     rng = np.random.default_rng(3)
-    w = rng.normal(size=(maxent_lm.FEATURES, maxent_lm.CLASSES)).astype(np.float32)
-    p = np.exp(maxent_lm.class_logits(w, rng.integers(0, maxent_lm.CONTEXTS**2, 50)))
+    w = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
+    inner = rng.normal(size=(lm.INNER * lm.SUFFIXES, lm.SLOTS)).astype(np.float32)
+    p = np.exp(lm.class_logits(w, rng.integers(0, lm.CONTEXTS**2, 50)))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    # all tokens of a vocabulary, by definition: class, slot, and share of the last slot
+    h = np.unique(rng.integers(-(2**62), 2**62, 9000))
+    n, sfx = rng.integers(1, 500, len(h)), rng.integers(0, lm.SUFFIXES, len(h))
+    h[0], sfx[0], n[0] = lm.END, 0, 4000
+    class_n, class_v = np.bincount(sfx, weights=n, minlength=lm.SUFFIXES).astype(np.int64), np.bincount(sfx, minlength=lm.SUFFIXES)
+    in_table = rng.random(len(h)) < 0.9
+    in_table[0] = True
+    in_table |= n >= np.sort(n)[-5000]
+    t = lm.Tables(h[in_table], n[in_table], sfx[in_table], class_n, class_v, int(n.sum()), len(h))
+    at, found = t.find(h)
+    own = np.where(found, t.own[at], -1)
+    out = np.where(own >= 0, own, lm.OWN + sfx * lm.SLOTS + np.where(found, t.slot[at], lm.SLOTS - 1))
+    hist = 77 * lm.CONTEXTS + 12
+    log_p = np.zeros((lm.CONTEXTS**2, lm.CLASSES), np.float32)
+    log_p[hist] = lm.class_logits(w, np.array([hist]))[0] / np.log(10)
+    got = lm.token_scores(t, log_p, inner, out, np.full(len(h), hist), at, found) + np.where(found, 0, np.log10(n + lm.ADD))
+    rest = Counter()
+    for k in range(len(h)):
+        if out[k] >= lm.OWN and (out[k] - lm.OWN) % lm.SLOTS == lm.SLOTS - 1:
+            rest[sfx[k]] += n[k] + lm.ADD
+    for k in range(0, len(h), 7):
+        c = int(lm.class_of(out[k : k + 1])[0])
+        f = lm.feature_rows(np.array([hist]))[0]
+        z = [sum(float(w[i, j]) for i in f) for j in range(lm.CLASSES)]
+        want = z[c] - np.log(sum(np.exp(z)))
+        if c >= lm.OWN:
+            s = (out[k] - lm.OWN) % lm.SLOTS
+            z = [sum(float(inner[i * lm.SUFFIXES + c - lm.OWN, j]) for i in (0, 1 + 12, 1 + lm.CONTEXTS + 77)) for j in range(lm.SLOTS)]
+            want += z[s] - np.log(sum(np.exp(z)))
+            if s == lm.SLOTS - 1:
+                want += np.log((n[k] + lm.ADD) / (rest[sfx[k]] + lm.ADD))
+        assert got[k] == pytest.approx(want / np.log(10), abs=1e-4)
+    assert 0.98 < (10**got).sum() <= 1.0001  # what is missing is for unknown words
+
+
+def test_lm_gradient():
+    """Seen less expected counts are the derivatives of the log-likelihood, for weights of both factors."""
+    from lorekeep.llm import maxent_lm as lm
+
+    rng = np.random.default_rng(8)
+    key = np.unique(rng.integers(0, 40, 400) * 997 * lm.OUTCOMES + rng.integers(0, lm.OUTCOMES, 400))
+    hist, out = np.divmod(key, lm.OUTCOMES)
+    n = rng.integers(1, 9, len(key))
+    weights = (rng.normal(size=(lm.FEATURES, lm.CLASSES)), rng.normal(size=(lm.INNER * lm.SUFFIXES, lm.SLOTS)))
+
+    def fit():
+        ll = (n * lm.class_logits(weights[0], hist)[np.arange(len(n)), lm.class_of(out)]).sum()
+        k = out >= lm.OWN
+        sfx, slot = np.divmod(out[k] - lm.OWN, lm.SLOTS)
+        return ll + (n[k] * lm.slot_logits(weights[1], hist[k], sfx)[np.arange(k.sum()), slot]).sum()
+
+    def counts(w):
+        a, b = np.zeros(weights[0].shape, np.float32), np.zeros(weights[1].shape, np.float32)
+        for part in np.array_split(np.arange(len(n)), 3):
+            lm.count_events(hist[part], out[part], n[part], w, a, b)
+        return a, b
+
+    seen, want = counts(None), counts(weights)
+    rows = [lm.feature_rows(hist[:1])[0].tolist(), lm.inner_rows(hist[-1:], (out[-1:] - lm.OWN) // lm.SLOTS)[0].tolist()]
+    for k in range(2):
+        for i in rows[k]:
+            for j in (0, 5, weights[k].shape[1] - 1):
+                old = weights[k][i, j]
+                weights[k][i, j] = old + 1e-4
+                up = fit()
+                weights[k][i, j] = old - 1e-4
+                down = fit()
+                weights[k][i, j] = old
+                assert (up - down) / 2e-4 == pytest.approx(seen[k][i, j] - want[k][i, j], abs=0.02)
 
 
 def test_lm_odd(spark, odd):

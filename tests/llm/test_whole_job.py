@@ -1,6 +1,8 @@
 """What the corpus operators must not leave out."""
 
-from lorekeep.llm import chat_windows
+import numpy as np
+
+from lorekeep.llm import chat_windows, lang_crf, ngram_join
 
 
 def test_chat_keeps_every_system_turn(spark):
@@ -32,3 +34,45 @@ def test_chat_system_turn_over_the_budget(spark):
     windows = sorted(chat_windows.format_windows(df).collect(), key=lambda r: r["window"])
     assert [w["first_new"] for w in windows] == [0, 1, 2, 3]
     assert all(chat_windows.parse(w["text"])[0][:3] == (0, "system", "s" * 9000) for w in windows)
+
+
+def test_unrelated_sets_share_few_tiles():
+    """Pairs of unrelated sets in tiles grow no faster than the sets."""
+    rng = np.random.default_rng(11)
+    for size in (1, 3, 6, 20, 100):
+        per = []
+        for count in (2000, 8000, 32000 if size < 50 else 16000):
+            bands = ngram_join.Bands(85)
+            sets = np.sort(rng.integers(0, 1 << 63, (count, size), dtype=np.uint64) * np.uint64(2), axis=1)
+            tiles = np.concatenate([np.unique(bands.tiles(s)) for s in sets])
+            n = np.unique(tiles, return_counts=True)[1]
+            per.append(int((n * (n - 1) // 2).sum()) / count)
+        assert max(per) <= 0.01, (size, per)
+
+
+def test_sets_with_empty_segments_still_meet():
+    """Linked sets share a tile, however their elements lie: sets in one corner of the hash range have mostly empty segments."""
+    rng = np.random.default_rng(12)
+    bands = ngram_join.Bands(80)
+    for size in (5, 9, 30, 120):
+        for width in (8, 40, 63):
+            for _ in range(60):
+                a = np.unique(rng.integers(0, 1 << width, size, dtype=np.uint64))
+                b = a.copy()
+                b[: len(a) // 10] = rng.integers(0, 1 << width, len(a) // 10, dtype=np.uint64)
+                b = np.unique(b)
+                if ngram_join.linked(a.view(np.int64), b.view(np.int64), 80):
+                    assert np.intersect1d(bands.tiles(a), bands.tiles(b)).size
+
+
+def test_texts_in_several_languages_are_kept(spark, sf):
+    """Documents made of halves and thirds in different languages pass language identification."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = lang_crf.train(docs)
+    by = {}
+    for r in docs.filter("lang is not null and length(text) between 600 and 3000").select("lang", "text").collect():
+        by.setdefault(r["lang"], []).append(r["text"][:600])
+    langs = sorted(by)
+    mixed = [(k, " ".join(by[x][k] for x in (langs[k % len(langs)], langs[(k + 1) % len(langs)], langs[(k + 2) % len(langs)])[: 2 + k % 2])) for k in range(min(map(len, by.values())))]
+    x = lang_crf.identify(spark.createDataFrame(mixed, "doc_id long, text string"), model, keep=True).collect()
+    assert len(x) > 10 and all(r["certainty"] >= lang_crf.MIN_CERTAINTY for r in x)
