@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.llm._spark import checkpoint, free
+from lorekeep.llm._spark import checkpoint, free, row_hash, without_rows
 from lorekeep.llm._tokens import Words, mix, slices
 
 PER_LANG = 300  # labelled documents of a language that are learned from, at most
@@ -214,7 +214,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> tu
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang), or with keep all of its columns, lang_pred and certainty.
+    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang), or with keep all of its columns but text, lang_pred and certainty.
 
     A null text, or one without letters, is ``und`` with score 0, as is every text if there are no
     labelled rows to learn from.  Score is the mean probability of the language over the words with
@@ -227,8 +227,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
     pred, score = ("lang_pred", "score")
     if keep:
         pred, score = free(docs, pred, "certainty")
-        rows = docs
-        schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+        rows = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "text"], docs["text"])
+        schema = T.StructType([*rows.schema.fields[:-1], T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     else:
         rows = docs.select(docs["doc_id"].cast("long"), _held_out(docs["doc_id"]).alias("held_out"), "text")
         schema = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
     def run(batches):
         langs, weights, trans = sent.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
+            texts = b.column(b.num_columns - 1)
             for lo, hi, words in slices(texts):
                 n = hi - lo
                 found, value = ["und"] * n, np.zeros(n)
@@ -252,8 +252,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
                     for i in np.flatnonzero(size > 0.5).tolist():
                         if _has_letter(texts[lo + i].as_py()):
                             found[i], value[i] = langs[best[i]], min(1.0, max(0.0, float(per[i, of[i]] / size[i])))
-                cols = b.slice(lo, n).columns if keep else [c.slice(lo, n) for c in b.columns[:2]]
-                names = [*b.schema.names, pred, score] if keep else ["doc_id", "held_out", pred, score]
+                cols = [c.slice(lo, n) for c in b.columns[:-1]]
+                names = [*b.schema.names[:-1], pred, score]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(value, pa.float64())], names=names)
 
     return rows.mapInArrow(run, schema)
@@ -266,8 +266,10 @@ def _has_letter(text: str) -> bool:
 def accepted(docs: DataFrame, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
     """The rows of docs, whole, with letters, whose words have certain labels: min_certainty on average at least.
 
-    Documents in several languages stay, as each of their words is labelled with certainty.
+    Documents in several languages stay, as each of their words is labelled with certainty.  Only what is rejected is joined
+    with the documents, which never leave the JVM whole.
     """
-    x = identify(docs, keep=True)
-    pred, certainty = x.columns[-2:]
-    return x.filter((F.col(pred) != "und") & (F.col(certainty) >= min_certainty)).select(*[x[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(docs["doc_id"], row_hash(docs).alias("row_hash"), docs["text"])
+    x = identify(rows, train(docs), keep=True)
+    rejected = x.filter((F.col("lang_pred") == "und") | (F.col("certainty") < min_certainty)).select("doc_id", "row_hash").distinct()
+    return without_rows(docs, checkpoint(rejected.withColumn("stays", F.lit(False)), fewer=16))
