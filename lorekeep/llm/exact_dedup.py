@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm._spark import checkpoint, row_hash, without_rows
+from lorekeep.llm._spark import checkpoint, coalesced, row_hash, without_rows
 
 SPACE = r"[\x20\x09-\x0D]"
 FAN = 16  # runs that are merged at once
@@ -42,9 +42,9 @@ def digests(docs: DataFrame) -> DataFrame:
         F.unhex(F.sha2(norm, 256)).alias("digest"),
         F.xxhash64(norm).alias("check_hash"),
         F.length(norm).alias("check_len"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    return checkpoint(rows, fewer=4)
+    # numbered after the coalesce, so that the partition in the leading bits is the one that is written
+    return checkpoint(coalesced(rows, 4).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _words(digest: pa.Array) -> np.ndarray:
@@ -84,7 +84,7 @@ def tree_merge(rows: DataFrame) -> list[DataFrame]:
     ``place`` is the run's range of digests that an entry was merged in.
     """
     leading = F.conv(F.hex(F.substring("digest", 1, RANGE_BITS // 8)), 16, 10).cast("long")
-    runs = many = rows.rdd.getNumPartitions()
+    runs = many = 1 + (rows.agg(F.max(F.shiftright("row", 33))).first()[0] or 0)
     leaf = rows.select(
         F.shiftright("row", 33).alias("run"), F.lit(0).cast("long").alias("place"), *_TEXT, F.col("points").alias("best_points"),
         F.bitwise_not("doc_id").alias("best_id"), F.bitwise_not("row").alias("best_row"), F.lit(1).cast("long").alias("n"),
