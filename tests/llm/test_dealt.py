@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lorekeep.llm import audio_features, chat_windows, exact_dedup, mixing, ngram_join, piece_bpe, pii, queries, warc_fixity
+from lorekeep.llm import _spark, audio_features, chat_windows, exact_dedup, mixing, ngram_join, piece_bpe, pii, queries, warc_fixity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -278,21 +279,48 @@ def test_exact_dedup_odd(spark, odd):
     assert exact_dedup.dedup_decisions(odd.limit(0)).count() == 0
 
 
-def test_exact_dedup_rounds(spark, monkeypatch):
-    """Runs of 70 partitions, merged two at a time, in which copies lie everywhere."""
-    monkeypatch.setattr(exact_dedup, "FAN", 2)
+@pytest.mark.parametrize("splits", [3, 40, 300])
+@pytest.mark.parametrize("parts", [8, 51])
+def test_exact_dedup_splits(spark, splits, parts):
+    """Runs of any number of partitions, in which copies lie everywhere."""
     rng = np.random.default_rng(7)
     rows = [(int(i), "copy " * 3 if rng.random() < 0.3 else f"text{' ' * int(rng.integers(1, 3))}{int(rng.integers(0, 1500))}") for i in rng.permutation(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
-    docs = df.checkpoint()
-    monkeypatch.setattr(exact_dedup, "checkpoint", lambda x, fewer=0: x.checkpoint())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(splits).checkpoint()
+    assert docs.rdd.getNumPartitions() == splits
     groups = defaultdict(list)
     for i, t in rows:
         groups[t.replace(" ", "")].append((-len(t), i))
     want = sorted((i, min(g)[1], len(g), (m, i) == min(g)) for g in groups.values() for m, i in g)
-    got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.dedup_decisions(docs)))
-    assert got == want
-    assert sorted(r["doc_id"] for r in rows_of(exact_dedup.deduplicated(docs))) == sorted(min(g)[1] for g in groups.values())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows_of(exact_dedup.dedup_decisions(docs)))
+        assert got == want
+        assert sorted(r["doc_id"] for r in rows_of(exact_dedup.deduplicated(docs))) == sorted(min(g)[1] for g in groups.values())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_exact_dedup_rounds(spark, monkeypatch):
+    """Many rounds: runs merged two at a time."""
+    monkeypatch.setattr(exact_dedup, "FAN", 2)
+    rows = [(i, f"t {i % 37}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(70).checkpoint()
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in rows_of(exact_dedup.dedup_decisions(docs)))
+    assert got == [(i, i % 37, len(range(i % 37, 1500, 37))) for i in range(1500)]
+
+
+def test_without_rows_shuffles_what_is_named(spark):
+    """Rows that the decisions don't name pass without a shuffle; of rows that repeat, one stays."""
+    docs = spark.range(0, 3000, 1, 6).selectExpr("id as doc_id", "concat('text ', id) as text", "id as map_bits").union(spark.createDataFrame([(5, "text 5", 5)] * 40, "doc_id long, text string, map_bits long"))
+    named = docs.filter("doc_id < 100").select("doc_id", F.xxhash64("text").alias("row_hash"), (F.col("doc_id") == 5).alias("stays")).distinct()
+    left = _spark.without_rows(docs, _spark.checkpoint(named))
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in rows_of(left)) == [5, *range(100, 3000)]
+    assert left.toPandas().shape == (2901, 3)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("SortMergeJoin")[0]
+    assert "Exchange hashpartitioning" not in first.split("BroadcastExchange")[0] and "BroadcastHashJoin" in first
 
 
 def test_exact_dedup_many_rows(spark):
