@@ -27,7 +27,7 @@ ROUNDS = 12
 RATE = 0.4
 SHARDS = 6  # tasks of a round, each of which sends the driver one gradient
 SALTS = 64
-LANGS = 64  # labels that are learned, at most: the most frequent ones
+MOST_LABELS = 256  # labels that a model may have: its weights take 256 KB for each, in the driver and every task
 MIN_CERTAINTY = 0.5  # what a document must reach to be kept by ``accepted``
 
 
@@ -187,17 +187,25 @@ def _held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, emission weights, transitions) learned from labelled documents."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, rounds: int = ROUNDS, langs: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, emission weights, transitions) learned from labelled documents.
+
+    All languages are learned, or the ``langs`` most frequent ones if that is given.  More than MOST_LABELS
+    are refused with an error, as their weights wouldn't fit: the caller then says how many to learn.
+    """
     spark = docs.sparkSession
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~_held_out(F.col("doc_id")))
-    langs = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    most = MOST_LABELS if langs is None else langs
+    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
+    if most > MOST_LABELS or langs is None and len(counted) > most:
+        raise ValueError(f"more than {MOST_LABELS} languages: give langs, the number of the most frequent ones to learn")
+    langs = sorted(r["lang"] for r in counted[:most])
     sample = checkpoint(training_sample(labelled.filter(F.col("lang").isin(langs)), per_lang), fewer=16)
     weights, trans = np.zeros((1 << BITS, len(langs)), np.float32), np.zeros((len(langs), len(langs)))
     if not langs:
         return langs, weights, trans
     number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    shards = checkpoint(sample.select("text", number.alias("label")).repartition(SHARDS, F.xxhash64("text"))).coalesce(SHARDS)
+    shards = checkpoint(sample.select("text", number.alias("label")).repartition(SHARDS, F.xxhash64("text")).sortWithinPartitions(F.xxhash64("text"), "text", "label")).coalesce(SHARDS)
     w_sum, t_sum = np.zeros(weights.shape), np.zeros(trans.shape)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((weights, trans))
