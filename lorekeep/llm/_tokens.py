@@ -19,6 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])  # of the words of letters and digits; all that isn't ASCII is one
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -44,9 +45,9 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 class Words:
     """Words of a slice of texts: data (lowered bytes), start and end of each word, and first[i]:first[i+1], the words of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, of_word: np.ndarray = _WORD):
         self.data = LOWER[data]
-        is_word = _WORD[self.data]
+        is_word = of_word[self.data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(len(data), dtype=bool)
@@ -73,8 +74,8 @@ class Words:
         return out
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) of each slice of a string array."""
+def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE, of_word: np.ndarray = _WORD) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, words) of each slice of a string array; of_word says which bytes words are made of."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -86,6 +87,6 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE) -> Iterator[tup
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
-        yield a, b, Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        yield a, b, Words(data[off[a] : off[b]], off[a : b + 1] - off[a], of_word)
         a = b
     pa.default_memory_pool().release_unused()  # what earlier batches took goes back to the system
