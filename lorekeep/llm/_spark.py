@@ -52,6 +52,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
 
 
+def bitmap(keys: DataFrame, log2: int):
+    """Broadcast bytes of a bitmap of 2**log2 bits of keys (one long column, its lowest bits): made in pieces on the executors."""
+    at = (F.col(keys.columns[0]).bitwiseAND((1 << log2) - 1) + 1).cast("long")
+    dealt = keys.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).repartition("k")
+    size = 4096
+    out = bytearray(max(1, (1 << log2) // (8 * size)) * size)
+    for r in dealt.groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).toLocalIterator():
+        out[(r["k"] - 1) * size : r["k"] * size] = bytes(r["bits"])
+    return keys.sparkSession.sparkContext.broadcast(bytes(out))
+
+
 def row_hash(docs: DataFrame):
     """What with doc_id tells rows of docs apart."""
     return F.xxhash64(docs["text"])

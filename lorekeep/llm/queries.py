@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import audio_features, block_max, chat_windows, exact_dedup, fm_index, lang_crf, maxent_lm, mixing, ngram_join, piece_bpe, pii, warc_fixity
+from lorekeep.llm import audio_features, block_max, chat_windows, collocations, exact_dedup, fm_index, lang_crf, maxent_lm, mixing, ngram_join, piece_bpe, pii, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +65,16 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_max.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_ngram_join, op4_warc_fixity, op5_maxent_lm, op6_chat_windows, op7_exact_dedup, op8_pii, op9_audio_features, op10_language_crf, op11_benchmark_decontamination, op12_lexical_search)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_sentencepiece, op3_ngram_join, op4_warc_fixity, op5_maxent_lm, op6_chat_windows, op7_exact_dedup, op8_pii, op9_audio_features, op10_language_crf, op11_benchmark_decontamination, op12_lexical_search, op13_collocations)}
 ORACLE_SQL = {
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op4_warc_fixity": warc_fixity.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_benchmark_decontamination": fm_index.ORACLE_SQL,
     "op12_lexical_search": block_max.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
