@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm._spark import checkpoint
-from lorekeep.llm._tokens import LETTERS, slices
+from lorekeep.llm._tokens import LETTERS, pack, slices, unpack
 
 K = 20
 BLOCK = 128  # postings of a block
@@ -33,27 +33,6 @@ HITS = "item long, doc_id long, score long"
 _HITS = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
 
-def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of whole numbers, seven bits each, the last with its high bit off; and where each number starts."""
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 9):
-        size += values >= 1 << 7 * k
-    start = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        has = size > k
-        out[start[has] + k] = (values[has] >> 7 * k & 127) | (size[has] > k + 1).astype(np.int64) << 7
-    return out, start
-
-
-def unpack(data: np.ndarray) -> np.ndarray:
-    if not len(data):
-        return np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], data[:-1] < 128]))
-    place = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
-    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, start)
-
-
 def impact(tf: np.ndarray, n: np.ndarray, docs: int, terms: int) -> np.ndarray:
     """What a term that occurs tf times in a document of n terms scores, but for its weight."""
     return 1_000_000_000 * tf // (1000 * tf + 12 * (100 - 25 + 25 * n * docs // max(1, terms)))

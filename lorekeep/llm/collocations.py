@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm._spark import bitmap, checkpoint, coalesced
-from lorekeep.llm._tokens import Words, mix, slices
+from lorekeep.llm._tokens import Words, mix, pack, slices, unpack
 
 SUPPORT = 100
 LONGEST = 5
@@ -29,9 +29,10 @@ SLOTS = 1 << 22  # candidates that are counted in one pass over the texts: 80 MB
 SEGMENT = 1 << 16  # candidates of one perfect hash, about
 CHUNK = 1024  # slots of a piece of an array of counts
 FAN = 16  # arrays that are summed at once
-FLUSH = 1 << 22  # phrases that a task sorts at once
+FLUSH = 1 << 21  # phrases that a task sorts at once
+HASH_BITS = 40  # of a key, in the tests: keys that agree in these only make a candidate more
+RANGES = 16  # ranges of the hash for each shuffle partition, added up one after the other
 MAP_LOG2 = 27  # bits of the bitmap of what passed a test: 16 MB
-_MAP = (1 << MAP_LOG2) - 1
 ENDS = np.ones(256, dtype=bool)  # bytes that words are made of
 ENDS[[*b" \t\n\x0b\x0c\r.,;:!?"]] = False
 _CUT = np.zeros(256, dtype=bool)  # bytes that end a piece
@@ -79,15 +80,91 @@ def _phrases(batches):
             yield b, lo, place[lo:hi], Phrases(words, lang[lo:hi])
 
 
-def _support(docs: DataFrame, level: int, passed=None) -> DataFrame:
-    """(key, place) of the phrases that occur SUPPORT times or more: of one word, of two (level 2), or of three to five (level 3).
+def _tested(x: Phrases, level: int, maps: list[np.ndarray]):
+    """(k, places) of the phrases of a level whose parts passed the tests before it: one word (level 1), two (2), three to five (3)."""
+    if level == 1:
+        yield 1, np.flatnonzero(x.room >= 1)
+        return
+    ok = _on_map(maps[level - 2], x.keys[level - 1]) & (x.room >= level - 1)
+    for k in {2: [2], 3: range(3, LONGEST + 1)}[level]:
+        yield k, np.flatnonzero(x.all_of(k, ok, level - 1))
 
-    passed is the bitmap of those of the level before.
+
+def _support(docs: DataFrame, level: int, passed: list) -> DataFrame:
+    """(hash): the leading HASH_BITS bits of the keys that, all keys with these bits together, occur SUPPORT times or more.
+
+    Tasks send the hashes sorted, as gaps, with their counts, in seven bits a byte: about four bytes for a distinct phrase.
     """
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = RANGES * parts
+
+    def send(batches):
+        keys, n = [], 0
+        maps = [np.frombuffer(m.value, np.uint8) for m in passed]
+
+        def flush():
+            h = np.sort(np.concatenate(keys)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            many = np.minimum(np.diff(np.append(first, len(h))), SUPPORT)
+            h = h[first]
+            of = h * ranges >> HASH_BITS
+            opens = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            gaps = np.diff(h, prepend=0)
+            gaps[opens] = h[opens]
+            data, start = pack(np.column_stack([gaps, many]).ravel())
+            cut = np.append(start[::2][opens], len(data))
+            raw = data.tobytes()
+            for a in range(0, len(opens), 1000):
+                some = slice(a, min(a + 1000, len(opens)))
+                yield pa.RecordBatch.from_arrays([pa.array(of[opens[some]]), pa.array([raw[i:j] for i, j in zip(cut[some], cut[a + 1 : some.stop + 1])], pa.binary())], names=["range", "data"])
+
+        for _, _, _, x in _phrases(batches):
+            for k, at in _tested(x, level, maps):
+                keys.append(x.keys[k][at] >> np.uint64(64 - HASH_BITS))
+                n += len(at)
+            if n >= FLUSH:
+                yield from flush()
+                keys, n = [], 0
+        if n:
+            yield from flush()
+
+    def add(batches):
+        now, held = None, []
+
+        def close():
+            x = [unpack(np.frombuffer(d, np.uint8)) for d in held]
+            h, many = np.concatenate([np.cumsum(v[::2]) for v in x]), np.concatenate([v[1::2] for v in x])
+            h, back = np.unique(h, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[np.bincount(back, weights=many) >= SUPPORT])], names=["hash"])
+
+        for b in batches:
+            for r, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if r != now and held:
+                    yield close()
+                    held = []
+                now = r
+                held.append(d)
+        if held:
+            yield close()
+
+    rows = _texts(docs).mapInArrow(send, "range long, data binary")
+    return rows.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(add, "hash long")
+
+
+def _on_map(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(64 - HASH_BITS) & np.uint64((1 << MAP_LOG2) - 1)).astype(np.int64)
+    return (have[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(key, place) of all phrases of one to LONGEST words that occur SUPPORT times or more; place is the least that a text with it has."""
+    passed: list = []
+    for level in (1, 2, 3):
+        passed.append(bitmap(_support(docs, level, passed), MAP_LOG2))
 
     def run(batches):
         keys, places, n = [], [], 0
-        have = np.frombuffer(passed.value, np.uint8) if passed else None
+        maps = [np.frombuffer(m.value, np.uint8) for m in passed]
 
         def flush():
             k, p = np.concatenate(keys), np.concatenate(places)
@@ -98,13 +175,12 @@ def _support(docs: DataFrame, level: int, passed=None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(many.astype(np.int16)), pa.array(np.minimum.reduceat(p[order], first))], names=["key", "n", "place"])
 
         for _, _, place, x in _phrases(batches):
-            sizes = {1: [1], 2: [2], 3: range(3, LONGEST + 1)}[level]
-            ok = _on_map(have, x.keys[level - 1]) & (x.room >= level - 1) if level > 1 else None
-            for k in sizes:
-                at = np.flatnonzero(x.all_of(k, ok, level - 1) if level > 1 else x.room >= 1)
-                keys.append(x.keys[k][at])
-                places.append(place[x.text[at]])
-                n += len(at)
+            for level in (1, 2, 3):
+                for k, at in _tested(x, level, maps):
+                    at = at[_on_map(maps[level - 1], x.keys[k][at])]
+                    keys.append(x.keys[k][at])
+                    places.append(place[x.text[at]])
+                    n += len(at)
             if n >= FLUSH:
                 yield flush()
                 keys, places, n = [], [], 0
@@ -112,21 +188,7 @@ def _support(docs: DataFrame, level: int, passed=None) -> DataFrame:
             yield flush()
 
     rows = _texts(docs).mapInArrow(run, "key long, n short, place short")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= SUPPORT).select("key", "place")
-
-
-def _on_map(have: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys & np.uint64(_MAP)).astype(np.int64)
-    return (have[at >> 3] >> (at & 7) & 1).astype(bool)
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """(key, place) of all phrases of one to LONGEST words that occur SUPPORT times or more; place is the least that a text with it has."""
-    levels = []
-    for level in (1, 2, 3):
-        passed = bitmap(levels[-1].select("key"), MAP_LOG2) if levels else None
-        levels.append(checkpoint(_support(docs, level, passed), fewer=4))
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+    return checkpoint(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= SUPPORT).select("key", "place"), fewer=4)
 
 
 # ---- minimal perfect hash

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import block_max, queries
+from lorekeep.llm import _tokens, block_max, queries
 from tests.parity import connect, differences
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -84,8 +84,8 @@ def test_blocks_below_the_threshold_stay_packed():
 def test_packing():
     rng = np.random.default_rng(10)
     x = np.concatenate([rng.integers(0, 1 << int(b), 200) for b in range(1, 62)] + [[0, 127, 128, 1 << 62]]).astype(np.int64)
-    data, start = block_max.pack(x)
-    assert (block_max.unpack(data) == x).all() and len(start) == len(x)
+    data, start = _tokens.pack(x)
+    assert (_tokens.unpack(data) == x).all() and len(start) == len(x)
 
 
 def test_odd_rows(spark, odd):
