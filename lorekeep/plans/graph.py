@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import graph
+from lorekeep.operators import graph, leiden
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import edges, entities, with_tables
 from lorekeep.sources.tables import table
@@ -67,6 +67,12 @@ def graph_communities(spark, sf_dir):
     return graph.communities(edges(spark, sf_dir), entities(spark, sf_dir))
 
 
+@query()
+def graph_modular_communities(spark, sf_dir):
+    """Connected communities of great modularity of all entities over all edges (iterative: no SQL form)."""
+    return leiden.leiden(edges(spark, sf_dir), entities(spark, sf_dir)).withColumn("modularity", F.round("modularity", 9))
+
+
 @query("""SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey""")
 def supplier_degrees(spark, sf_dir):
     """Degrees of a bipartite graph."""
