@@ -31,7 +31,7 @@ CHUNK = 1024  # slots of a piece of an array of counts
 FAN = 16  # arrays that are summed at once
 FLUSH = 1 << 21  # phrases that a task sorts at once
 HASH_BITS = 40  # of a key, in the tests: keys that agree in these only make a candidate more
-RANGES = 16  # ranges of the hash for each shuffle partition, added up one after the other
+RANGES = 2  # ranges of the hash for each shuffle partition, added up one after the other
 MAP_LOG2 = 27  # bits of the bitmap of what passed a test: 16 MB
 ENDS = np.ones(256, dtype=bool)  # bytes that words are made of
 ENDS[[*b" \t\n\x0b\x0c\r.,;:!?"]] = False
@@ -162,17 +162,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     for level in (1, 2, 3):
         passed.append(bitmap(_support(docs, level, passed), MAP_LOG2))
 
-    def run(batches):
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = RANGES * parts
+
+    def send(batches):
         keys, places, n = [], [], 0
         maps = [np.frombuffer(m.value, np.uint8) for m in passed]
 
         def flush():
-            k, p = np.concatenate(keys), np.concatenate(places)
-            order = np.argsort(k)
-            k = k[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            many = np.minimum(np.diff(np.append(first, len(k))), SUPPORT)
-            return pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(many.astype(np.int16)), pa.array(np.minimum.reduceat(p[order], first))], names=["key", "n", "place"])
+            k, many, p = _summed(np.concatenate(keys), np.ones(n, np.int64), np.concatenate(places))
+            of = ((k >> np.uint64(64 - HASH_BITS)).astype(np.int64) * ranges) >> HASH_BITS
+            cut = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), len(of))
+            pieces = [(k[i:j].tobytes(), np.minimum(many[i:j], SUPPORT).astype(np.uint8).tobytes(), p[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(of[cut[:-1]]), *[pa.array(c, pa.binary()) for c in zip(*pieces)]], names=["range", "keys", "n", "places"])
 
         for _, _, place, x in _phrases(batches):
             for level in (1, 2, 3):
@@ -182,13 +184,40 @@ def candidates(docs: DataFrame) -> DataFrame:
                     places.append(place[x.text[at]])
                     n += len(at)
             if n >= FLUSH:
-                yield flush()
+                yield from flush()
                 keys, places, n = [], [], 0
         if n:
-            yield flush()
+            yield from flush()
+
+    def add(batches):
+        now, held = None, []
+
+        def close():
+            k, many, p = (np.concatenate([np.frombuffer(x[i], kind) for x in held]) for i, kind in enumerate((np.uint64, np.uint8, np.int16)))
+            k, many, p = _summed(k, many.astype(np.int64), p)
+            on = many >= SUPPORT
+            return pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(p[on])], names=["key", "place"])
+
+        for b in batches:
+            for r, *x in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now and held:
+                    yield close()
+                    held = []
+                now = r
+                held.append(x)
+        if held:
+            yield close()
+
+    rows = _texts(docs).mapInArrow(send, "range long, keys binary, n binary, places binary")
+    return checkpoint(rows.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(add, "key long, place short"), fewer=4)
+
 
-    rows = _texts(docs).mapInArrow(run, "key long, n short, place short")
-    return checkpoint(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= SUPPORT).select("key", "place"), fewer=4)
+def _summed(keys: np.ndarray, many: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their sums of many, and their least places."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(many[order], first), np.minimum.reduceat(places[order], first)
 
 
 # ---- minimal perfect hash
