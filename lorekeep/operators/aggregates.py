@@ -55,18 +55,40 @@ def hash_multiset(df: DataFrame, columns: list[str], sample: str) -> DataFrame:
     return df.groupBy(row_hash(*columns).alias("row_hash")).agg(F.count("*").alias("n"), F.min(sample).alias("sample"))
 
 
-def fingerprint(df: DataFrame, key: str, columns: list[str], buckets: int = 1024) -> DataFrame:
-    """n and one digest of a table's rows in key order, whatever their partitioning.
+LEAF_ROWS = 64  # rows below a leaf of a digest tree, about
+FAN_DIGITS = 1  # hexadecimal digits of a level: 16 children a node
 
-    Rows are hashed in ``buckets`` ranges of their key's hash first, so that no task ever holds a table's hashes: the table's
-    digest is that of its buckets' digests.
+
+def digest_tree(df: DataFrame, key: str, row: Column, by: Column | None = None) -> DataFrame:
+    """slice, n and digest of each slice (``by``; one NULL slice without it) of a table, whatever its partitioning.
+
+    Rows are leaves' members by the leading hexadecimal digits of their key's md5, as many as keep about LEAF_ROWS rows in a leaf; a
+    leaf hashes its rows by key, with the number of equal ones, and a node hashes its (at most 16) children by prefix.
+    No list holds more than a leaf's distinct rows or a node's children, and no task a table's hashes.
     """
-    h = row_hash(*columns)
-    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), h.alias("h")))), lambda x: x["h"]), "")
-    per = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.md5(rows).alias("d"))
-    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.md5(every).alias("digest"))
+    x = df.select((F.lit(None).cast("string") if by is None else by).alias("slice"), F.col(key).alias("k"), row.alias("h"))
+    x = x.groupBy("slice", "k", "h").agg(F.count("*").alias("n"))  # equal rows count, however many
+    sizes = x.groupBy("slice").agg(F.sum("n").alias("size"), F.count("*").alias("rows"))
+    digits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / LEAF_ROWS) / (4 * FAN_DIGITS)) * FAN_DIGITS).cast("int")
+    sizes = sizes.select(F.col("slice").alias("of_slice"), "size", digits.alias("digits"))
+    deepest = sizes.agg(F.max("digits")).first()[0] or 0
+    name = F.substring(F.md5(F.coalesce(F.col("k").cast("string"), F.lit("")).cast("binary")), F.lit(1), F.col("digits"))
+    x = x.join(sizes, F.col("slice").eqNullSafe(F.col("of_slice")))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h", "n"))), lambda r: F.concat(r["h"], F.lit(":"), r["n"].cast("string"))), "")
+    nodes = x.groupBy("slice", name.alias("prefix")).agg(F.first("size").alias("size"), F.md5(rows.cast("binary")).alias("d"))
+    for level in range(deepest, 0, -FAN_DIGITS):
+        here = F.length("prefix") == level
+        up = F.when(here, F.substring("prefix", F.lit(1), F.lit(level - FAN_DIGITS))).otherwise(F.col("prefix"))
+        kids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "d"))), lambda r: r["d"]), "")
+        nodes = nodes.groupBy("slice", up.alias("up")).agg(F.first("size").alias("size"), F.when(F.max(F.length("prefix")) == level, F.md5(kids.cast("binary"))).otherwise(F.first("d")).alias("d")).withColumnRenamed("up", "prefix")
+    return nodes.select("slice", F.col("size").alias("n"), F.col("d").alias("digest"))
+
+
+def fingerprint(df: DataFrame, key: str, columns: list[str] | Column) -> DataFrame:
+    """n and one digest of a table's rows, by a digest tree over its keys; columns may be a row's own digest.  An empty table has 0 and the digest of nothing."""
+    row = columns if isinstance(columns, Column) else row_hash(*columns)
+    found = digest_tree(df, key, row)
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.md5(F.lit("").cast("binary"))).alias("digest"))
 
 
 def length_outliers(sections: DataFrame, length: Column, key: str = "name") -> DataFrame:

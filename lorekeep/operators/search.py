@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +157,33 @@ def packed(items: DataFrame, budget: int, text: str = "snippet", order: tuple[st
     return items.withColumn("tokens", token_estimate(F.col(text))).withColumn("used", F.sum("tokens").over(w)).filter(F.col("used") <= budget)
 
 
+def packed_skipping(items: DataFrame, budget: int, text: str = "snippet", order: tuple[str, ...] = ("place",), kind: str = "kind") -> DataFrame:
+    """Items of each kind in order, each that still fits into the budget: one that is too large is passed over, not the end.
+
+    Adds tokens, and used, the tokens of the kind's items taken so far.  A kind is one sorted stream in one task, of which only its sum is held.
+    NULL texts take no tokens, and items of a NULL kind are a kind of their own.
+    """
+    x = items.withColumn("tokens", F.coalesce(token_estimate(F.col(text)), F.lit(0)).cast("long")).withColumn("used", F.lit(0).cast("long"))
+    at, cost = x.columns.index(kind), x.columns.index("tokens")
+
+    def run(batches):
+        now, used = None, 0  # the kind in a tuple, and what it has taken
+        for b in batches:
+            keep, sums = [], []
+            for k, (name, tokens) in enumerate(zip(b.column(at).to_pylist(), b.column(cost).to_pylist())):
+                if now != (name,):
+                    now, used = (name,), 0
+                if used + tokens <= budget:
+                    used += tokens
+                    keep.append(k)
+                    sums.append(used)
+            out = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(sums, pa.int64())], names=b.schema.names)
+
+    parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return x.repartition(parts, kind).sortWithinPartitions(kind, *order).mapInArrow(run, x.schema)
+
+
 LIMITS = {"entity": 20, "assertion": 20, "recency": 20, "vector": 10, "graph": 25, "history": 20}
 
 
@@ -198,9 +226,10 @@ def run_query(q: Query, tables: dict[str, DataFrame], as_of: Column) -> DataFram
 
 
 def run_contract(queries: list[Query], tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """All queries' items in the contract's order, each kind packed into its own token budget."""
+    """All queries' items in the contract's order, each kind packed into its own token budget; what doesn't fit is passed over."""
     parts = []
     for k, q in enumerate(queries):
         x = run_query(q, tables, as_of)
-        parts.append((packed(x, q.budget) if q.budget else x.withColumn("tokens", token_estimate(F.col("snippet"))).withColumn("used", F.lit(None).cast("long"))).withColumn("ord", F.lit(k)))
+        fits = packed_skipping(x, q.budget).withColumn("place", F.row_number().over(Window.orderBy("place"))) if q.budget else None  # at most ``limit`` rows
+        parts.append((fits if q.budget else x.withColumn("tokens", token_estimate(F.col("snippet"))).withColumn("used", F.lit(None).cast("long"))).withColumn("ord", F.lit(k)))
     return reduce(DataFrame.unionByName, parts)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,10 +147,50 @@ def function_word_ratio(text: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS))) / n).otherwise(0.0)
 
 
+JSON_MOST = 1_000_000  # characters of an object that is looked at
+JSON_DEEP = 100  # braces and brackets inside each other
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+
+
+def _json_object(reply: str | None) -> str | None:
+    """The first balanced object of a text, if it is valid JSON."""
+    at = -1 if reply is None else reply.find("{")
+    if at < 0:
+        return None
+    open_ = []
+    for m in _JSON_PART.finditer(reply, at, at + JSON_MOST):
+        if m[0] in "{[":
+            open_.append(m[0])
+            if len(open_) > JSON_DEEP:
+                return None
+        elif m[0] in "}]":
+            if not open_ or open_.pop() != {"}": "{", "]": "["}[m[0]]:
+                return None
+            if not open_:
+                found = reply[at : m.end()]
+                try:
+                    json.loads(found, parse_constant=_refused)
+                except ValueError:
+                    return None
+                return found
+    return None
+
+
+def _refused(name: str) -> None:
+    raise ValueError(name)
+
+
 def json_of_reply(reply: Column) -> Column:
-    """The JSON object in a model's reply: fences off, from the first brace to the last; NULL without one."""
-    plain = F.regexp_replace(reply, r"(?m)^```[a-z]*\s*$", "")
-    return F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))
+    """The first JSON object in a model's reply, whatever stands before and after it; NULL without a valid one.
+
+    Braces in strings don't count, escapes are known; objects of more than JSON_MOST characters or JSON_DEEP levels are NULL.
+    """
+
+    @F.pandas_udf("string")
+    def scan(replies: pd.Series) -> pd.Series:
+        return replies.map(_json_object)
+
+    return scan(reply)
 
 
 EXTRACTION = "struct<entities:array<struct<name:string,entity_type:string,description:string>>,assertions:array<struct<subject:string,predicate:string,object:string,confidence:double>>,edges:array<struct<from_entity:string,edge_type:string,to_entity:string,weight:double>>>"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import row_hash, token_estimate
+from lorekeep.operators.aggregates import digest_tree
 
 
 def multiset_difference(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,13 +86,9 @@ def line_changes(old: DataFrame, new: DataFrame, key: str, text: str = "body") -
     return x.select(key, F.when(F.col("d") > 0, "added").otherwise("removed").alias("change"), "line", F.abs("d").alias("n"))
 
 
-def manifest(df: DataFrame, by: str, key: str, columns: list[str], buckets: int = 64) -> DataFrame:
-    """slice, n and fingerprint of every slice of a table, by digests of ranges of its keys' hash (see ``fingerprint``)."""
-    bucket = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(buckets))
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), row_hash(*columns).alias("h")))), lambda x: x["h"]), "")
-    per = df.groupBy(F.col(by).alias("slice"), bucket.alias("bucket")).agg(F.count("*").alias("n"), F.md5(rows).alias("d"))
-    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
-    return per.groupBy("slice").agg(F.sum("n").alias("n"), F.md5(every).alias("digest"))
+def manifest(df: DataFrame, by: str, key: str, columns: list[str]) -> DataFrame:
+    """slice, n and digest of every slice of a table, each by a digest tree of its own (see ``digest_tree``); NULL is a slice."""
+    return digest_tree(df, key, row_hash(*columns), F.col(by))
 
 
 def manifest_rewritten(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -142,12 +142,15 @@ def repeated_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy(F.md5(F.col("content").cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.min("entry_id").alias("sample")).filter("n > 1")
 
 
-@query("""WITH h AS (SELECT crc AS bucket, count(*) AS n, md5(string_agg(h, '' ORDER BY k)) AS d FROM (
-  SELECT o_orderkey AS k, o_orderkey % 64 AS crc, md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders) GROUP BY crc)
-SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(d, '' ORDER BY bucket)) AS digest FROM h""")
+@query("""WITH r AS (SELECT o_orderkey AS k, md5(CAST(o_orderkey AS VARCHAR)) AS spread, md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(greatest(0, ceil(log2(count(*) / 64.0) / 4)) AS INTEGER) AS digits FROM r),
+leaf AS (SELECT left(spread, digits) AS p0, digits, md5(string_agg(h || ':1', '' ORDER BY k)) AS d0 FROM r, c GROUP BY left(spread, digits), digits),
+u1 AS (SELECT left(p0, greatest(digits - 1, 0)) AS p1, digits, CASE WHEN digits >= 1 THEN md5(string_agg(d0, '' ORDER BY p0)) ELSE min(d0) END AS d1 FROM leaf GROUP BY left(p0, greatest(digits - 1, 0)), digits),
+u2 AS (SELECT left(p1, greatest(digits - 2, 0)) AS p2, digits, CASE WHEN digits >= 2 THEN md5(string_agg(d1, '' ORDER BY p1)) ELSE min(d1) END AS d2 FROM u1 GROUP BY left(p1, greatest(digits - 2, 0)), digits),
+u3 AS (SELECT left(p2, greatest(digits - 3, 0)) AS p3, digits, CASE WHEN digits >= 3 THEN md5(string_agg(d2, '' ORDER BY p2)) ELSE min(d2) END AS d3 FROM u2 GROUP BY left(p2, greatest(digits - 3, 0)), digits),
+u4 AS (SELECT left(p3, greatest(digits - 4, 0)) AS p4, digits, CASE WHEN digits >= 4 THEN md5(string_agg(d3, '' ORDER BY p3)) ELSE min(d3) END AS d4 FROM u3 GROUP BY left(p3, greatest(digits - 4, 0)), digits)
+SELECT n, d4 AS digest FROM u4, c""")
 def order_fingerprint(spark, sf_dir):
-    """One digest of a table by digests of its key ranges."""
-    o = table(spark, sf_dir, "orders")
-    x = o.select(F.col("o_orderkey").alias("k"), F.md5(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").cast("binary")).alias("h"))
-    per = x.groupBy(F.pmod("k", F.lit(64)).alias("bucket")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda r: r["h"]), "").cast("binary")).alias("d"))
-    return per.agg(F.sum("n").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda r: r["d"]), "").cast("binary")).alias("digest"))
+    """One digest of a table by a digest tree (the SQL has levels for up to four million rows)."""
+    row = F.md5(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").cast("binary"))
+    return aggregates.fingerprint(table(spark, sf_dir, "orders"), "o_orderkey", row)

@@ -117,6 +117,13 @@ def budget_packed_chunks(spark, sf_dir):
     return search.packed(x, 400, "content").select(F.col("kind").alias("entry_id"), "chunk_idx", "place", "tokens", "used")
 
 
+@query()
+def skipping_packed_chunks(spark, sf_dir):
+    """Chunks of an entry that fit into a token budget, larger ones passed over (an ordered fold: tested against a greedy loop)."""
+    x = chunks(spark, sf_dir).select(F.col("entry_id").alias("kind"), F.col("chunk_idx").alias("place"), "content")
+    return search.packed_skipping(x, 400, "content").select(F.col("kind").alias("entry_id"), "place", "tokens", "used")
+
+
 @query(with_tables("facts", """SELECT id, subject, place FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, last_reinforced DESC, id) AS place FROM facts
   WHERE suppression_kind = 'downvoted_probation' AND subject IN ('user_3', 'user_4', 'user_5', 'user_6')
   AND subject IN (SELECT subject FROM facts WHERE NOT suppressed AND invalid_at IS NULL AND (reality_check = 'verified' OR pinned)))

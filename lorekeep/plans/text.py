@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import compare_key, intent_key, row_hash, subject_key, token_estimate
-from lorekeep.operators import text
+from lorekeep.operators import handoff, text
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import exchange, with_tables
 from lorekeep.sources.tables import table
@@ -132,3 +132,30 @@ def documents_to_reingest(spark, sf_dir):
 def distinct_rows(spark, sf_dir):
     """Rows and distinct row hashes."""
     return table(spark, sf_dir, "documents").select(row_hash("text", "lang", "source").alias("h")).agg(F.count("*").alias("n"), F.countDistinct("h").alias("n_distinct"))
+
+
+CLEAN = r"[`~#|<>!\[\]()*+-]"
+
+
+def _handoff_file(k, t):
+    """A hand-off file around a document's text: a session with open carry-overs, a fence with what is no heading, items for the next session, references."""
+    said = F.regexp_replace(F.coalesce(t, F.lit("")), CLEAN, " ")
+    return F.concat(
+        F.lit("# Log\n## Session 2026-01-02 (x) - Title "), k, F.lit("\n"), F.regexp_replace(said, r"[\s\x{FEFF}]+", " "),
+        F.lit("\n```\n## Session 1 - a - not a heading\n```\n### Open carry-overs (3)\n| Item | Status | Notes |\n|---|:--|---|\n| fix "), k, F.lit(" | DONE | a\\|b |\n| ship "), k,
+        F.lit(" | still open | |\n| uneven |\n\n| orphan | open | x |\n## Next session\n- first "), k, F.lit("\n  and more\n- [ ] see [page](p"), k, F.lit(".md)\n## Quick references\n\nkeep "), k, F.lit("\n"),
+    )
+
+
+@query("""WITH d AS (SELECT doc_id AS k, regexp_replace(regexp_replace(coalesce(text, ''), '[`~#|<>!\\[\\]()*+-]', ' ', 'g'), '[\\s\\x{FEFF}]+', ' ', 'g') AS body FROM documents)
+SELECT k AS doc_id, unnest(['section', 'section', 'fact', 'thread', 'thread', 'flag', 'flag', 'section', 'thread', 'thread', 'reference', 'section', 'fact']) AS kind,
+  unnest(CAST([1, 2, 2, 10, 11, 12, 14, 15, 16, 18, 18, 19, 19] AS BIGINT[])) AS line,
+  unnest(['title', 'session', 'session_tldr', 'carry_over', 'carry_over', 'uneven-row', 'orphan-row', 'next_session', 'next', 'next', 'page', 'quick_reference', 'quick_reference']) AS name,
+  unnest(['Log', 'Title ' || k, body || chr(10) || '```' || chr(10) || '## Session 1 - a - not a heading' || chr(10) || '```', 'fix ' || k, 'ship ' || k, '| uneven |', '| orphan | open | x |', 'Next session', 'first ' || k || ' and more', 'see [page](p' || k || '.md)', 'p' || k || '.md', 'Quick references', 'keep ' || k]) AS value,
+  unnest([NULL, NULL, NULL, 'closed', 'open', NULL, NULL, NULL, 'open', 'open', NULL, NULL, NULL]) AS state FROM (SELECT k, rtrim(body, ' ') AS body FROM d)""")
+def handoff_rows(spark, sf_dir):
+    """Sections, threads, facts, references and flags of a hand-off file around every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _handoff_file(F.col("doc_id").cast("string"), F.col("text")).alias("text"))
+    rows = handoff.parsed(d, "doc_id")
+    state = F.when(F.col("kind") == "thread", F.when(F.col("name") == "next", "open").otherwise(handoff.status_class(F.col("status"))))
+    return rows.select("doc_id", "kind", "line", "name", "value", state.alias("state"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import verify
+from lorekeep.operators import alignment, verify
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import facts, with_tables
 from lorekeep.sources.tables import table
@@ -104,3 +104,13 @@ def rewritten_manifest(spark, sf_dir):
     old = verify.manifest(o, "o_orderstatus", "o_orderkey", cols)
     new = verify.manifest(o.filter((F.col("o_orderstatus") == "P") & (F.pmod("o_orderkey", F.lit(2)) == 0)), "o_orderstatus", "o_orderkey", cols)
     return verify.manifest_rewritten(old, new).select("slice", "n")
+
+
+@query("""SELECT doc_id, md5(text) AS digest, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'tail' WHEN doc_id % 3 = 1 THEN 'head' || chr(10) || text ELSE replace(text, 'tion', 'sion') END AS text FROM documents)""")
+def patched_documents(spark, sf_dir):
+    """All documents aligned with a later version line by line, and the later version made of the kept and added lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    k, b = F.pmod("doc_id", F.lit(3)), F.col("body")
+    new = d.withColumn("body", F.when(k == 0, F.concat(b, F.lit("\ntail"))).when(k == 1, F.concat(F.lit("head\n"), b)).otherwise(F.replace(b, F.lit("tion"), F.lit("sion"))))
+    x = alignment.patched(alignment.aligned_lines(d, new, "doc_id"), "doc_id")
+    return x.select("doc_id", F.md5(F.col("body").cast("binary")).alias("digest"), F.size(F.split("body", "\n")).cast("long").alias("lines"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lorekeep.operators.text import front_matter
 
 TRANSCRIPT = "type string, message struct<role:string,content:string>, timestamp string, sessionId string"
-PAYLOAD = "session_id string, tldr string, open_threads array<string>, quick_references array<string>, entities array<struct<name:string,entity_type:string,description:string>>, assertions array<struct<subject:string,predicate:string,object:string,confidence:double,source:string>>, edges array<struct<from_entity:string,edge_type:string,to_entity:string,weight:double>>, resolved_threads array<string>, retrieval_outcome string, retrieval_outcome_notes string, decisions array<struct<topic:string,decision:string,reason:string,session_num:double>>"
+PAYLOAD = "session_id string, tldr string, open_threads array<string>, quick_references string, confirm_claude_md_promotion boolean, entities array<struct<name:string,entity_type:string,description:string>>, assertions array<struct<subject:string,predicate:string,object:string,confidence:double,source:string>>, edges array<struct<from_entity:string,edge_type:string,to_entity:string,weight:double>>, resolved_threads array<string>, retrieval_outcome string, retrieval_outcome_notes string, decisions array<struct<topic:string,decision:string,reason:string,session_num:double>>"
+#: what a payload's fields hold, as a variant's type starts
+KINDS = {"session_id": "STRING", "tldr": "STRING", "quick_references": "STRING", "retrieval_outcome": "STRING", "retrieval_outcome_notes": "STRING", "confirm_claude_md_promotion": "BOOLEAN"} | dict.fromkeys(("open_threads", "resolved_threads", "entities", "assertions", "edges", "decisions"), "ARRAY")
 PART = "array<struct<type:string,text:string>>"
 
 
@@ -41,8 +43,8 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 # fixed values: the longest texts of a payload, by field, the longest lists, and the words that a field may hold
-TEXT_MOST = {"tldr": 4000, "session_id": 4000, "retrieval_outcome_notes": 4000}
-THREADS_MOST = {"quick_references": 4000, "open_threads": 4000, "resolved_threads": 4000}
+TEXT_MOST = {"tldr": 4000, "session_id": 4000, "quick_references": 4000, "retrieval_outcome_notes": 4000}
+THREADS_MOST = {"open_threads": 4000, "resolved_threads": 4000}
 ITEMS_MOST = {
     "entities": {"name": 1000, "entity_type": 1000, "description": 1000},
     "assertions": {"subject": 1000, "predicate": 1000, "object": 1000, "source": 1000},
@@ -62,7 +64,8 @@ def _messages(items: Column, of: Callable[[Column, Column], list[Column]]) -> Co
 def payloads(raw: DataFrame, column: str = "value", predicates: list[str] | None = None, strict: bool = False) -> DataFrame:
     """raw with the parsed close payload p, errors, an array of what is wrong with it, and warnings, its predicates that aren't registered.
 
-    Errors name the field, and in lists the place, from 0.  With strict, unregistered predicates are errors.
+    Errors name the field, and in lists the place, from 0.  A field of another type than it should have, and one that payloads don't
+    have, is an error; names that start with an underscore are remarks.  With strict, unregistered predicates are errors.
     """
     x = raw.withColumn("p", F.from_json(column, PAYLOAD))
     a = F.coalesce("p.assertions", F.array())
@@ -77,7 +80,13 @@ def payloads(raw: DataFrame, column: str = "value", predicates: list[str] | None
     checks += [F.when(F.length(p(c)) > most, f"{c} is too long") for c, most in TEXT_MOST.items()]
     checks += [F.when(F.size(p(c)) > LIST_MOST, f"{c} has too many items") for c in (*THREADS_MOST, *ITEMS_MOST)]
     checks.append(F.when(~p("retrieval_outcome").isin(*OUTCOMES), "retrieval_outcome is unknown"))
-    lists = [_messages(p(c), lambda t, i, c=c, most=most: [F.when(F.length(t) > most, at(c, i, " is too long"))]) for c, most in THREADS_MOST.items()]
+    whole = F.try_parse_json(column)
+    kind_of = lambda c: F.schema_of_variant(F.try_variant_get(whole, f"$.{c}", "variant"))
+    checks += [F.when(~kind_of(c).startswith(kind) & (kind_of(c) != "VOID"), f"{c} has the wrong type") for c, kind in KINDS.items()]
+    names = F.filter(F.coalesce(F.json_object_keys(column), F.array()), lambda n: ~n.startswith("_") & ~n.isin(*KINDS))
+    extra = F.transform(names, lambda n: F.concat(n, F.lit(" is not a field of a payload")))
+    lists = [extra, *(_messages(p(c), lambda t, i, c=c: [F.when(t.isNull(), at(c, i, " is no text"))]) for c in THREADS_MOST)]
+    lists += [_messages(p(c), lambda t, i, c=c, most=most: [F.when(F.length(t) > most, at(c, i, " is too long"))]) for c, most in THREADS_MOST.items()]
     for c, fields in ITEMS_MOST.items():
         size = F.octet_length if c == "decisions" else F.length
         lists.append(_messages(p(c), lambda t, i, c=c, fields=fields, size=size: [F.when(size(t[f]) > most, at(c, i, f".{f} is too long")) for f, most in fields.items()]))
