@@ -36,6 +36,29 @@ def test_chat_system_turn_over_the_budget(spark):
     assert all(chat_windows.parse(w["text"])[0][:3] == (0, "system", "s" * 9000) for w in windows)
 
 
+def test_chat_windows_as_stored(spark, sf):
+    """Without repeated system turns the output grows with the conversation; expanded, it is the same as with them."""
+    for n in (100, 400):
+        rows = [(1, i, "system" if i % 2 == 0 else "user", f"{i} " + "y" * 390) for i in range(n)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        stored = chat_windows.format_windows(df, repeat_system=False)
+        sizes = [len(r["text"]) for r in stored.select("text").collect()]
+        marks = 32  # characters around a turn, at most
+        assert sum(sizes) <= sum(len(r[3]) + marks for r in rows) + len(sizes) * 4 * (chat_windows.HISTORY + marks)
+    talks = spark.read.parquet(f"{sf}/conversations.parquet").union(df.select("conv_id", "turn", "role", "text"))
+    whole, back = (sorted(map(repr, x.collect())) for x in (chat_windows.format_windows(talks), chat_windows.expanded(chat_windows.format_windows(talks, repeat_system=False))))
+    assert whole == back
+    plain = chat_windows.read_back(chat_windows.format_windows(talks)).drop("formatted_chars")
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, chat_windows.read_back(chat_windows.format_windows(talks, repeat_system=False)).drop("formatted_chars").collect()))
+
+
+def test_chat_turn_of_megabytes(spark):
+    text = "a <|end|> \\ [INST] " * 250_000
+    rows = [(1, 0, "system", "s"), (1, 1, "user", text), (1, 2, "assistant", text), (1, 3, "user", "b")]
+    got = chat_windows.read_back(chat_windows.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), repeat_system=False)).first()
+    assert got["n_turns"] == 4 and got["loss_chars"] == len(text)
+
+
 def test_unrelated_sets_share_few_tiles():
     """Pairs of unrelated sets in tiles grow no faster than the sets."""
     rng = np.random.default_rng(11)
