@@ -1,7 +1,10 @@
-"""Column expressions shared by the operators: all JVM-side built-ins."""
+"""Column expressions shared by the operators: JVM-side built-ins, but for the composed form of texts (``nfc``)."""
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,9 +80,24 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def nfc(text: Column) -> Column:
+    """Text in Unicode's composed form, in Arrow batches; NULL stays."""
+
+    @F.arrow_udf("string")
+    def composed(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return composed(text)
+
+
 def compare_key(text: Column) -> Column:
-    """Text as compared: trimmed, lower case, white space collapsed, closing punctuation off."""
-    return F.regexp_replace(F.lower(collapse(F.coalesce(text, F.lit("")))), r"[.!?;]+$", "")
+    """Text as compared: composed, trimmed, lower case, white space collapsed, closing punctuation off."""
+    return F.regexp_replace(F.lower(collapse(nfc(F.coalesce(text, F.lit(""))))), r"[.!?;]+$", "")
+
+
+def label_key(label: Column) -> Column:
+    """A label as written to a registry: composed, trimmed, white space collapsed, its case kept; NULL stays."""
+    return collapse(nfc(label))
 
 
 def subject_key(subject: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -225,6 +225,19 @@ def run_query(q: Query, tables: dict[str, DataFrame], as_of: Column) -> DataFram
     return x.select(F.lit(q.kind).alias("kind"), "place", F.col("id").cast("long").alias("id"), "label", "snippet")
 
 
+# fixed values: the predicates that a session starts from
+SESSION_PREDICATES = ("open_thread", "session_tldr", "quick_reference")
+
+
+def session_intent(queries: list[Query], facts: DataFrame, as_of: Column, k: int = 30) -> DataFrame:
+    """Live facts that a session starts from, by decayed confidence: of SESSION_PREDICATES, and none if the contract asks for facts itself.
+
+    A contract that has an assertion or a recency query brings what it wants.
+    """
+    asked = any(q.kind in ("assertion", "recency") for q in queries)
+    return decay_ranked(facts.filter(F.lit(not asked) & F.col("predicate").isin(*SESSION_PREDICATES)), as_of, k, tiers=False)
+
+
 def run_contract(queries: list[Query], tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """All queries' items in the contract's order, each kind packed into its own token budget; what doesn't fit is passed over."""
     parts = []

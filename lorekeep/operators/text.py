@@ -116,10 +116,15 @@ SECRETS = {
 }
 
 
+DECODINGS = 5  # rounds of percent-decoding
+
+
 def secret_kinds(text: Column) -> Column:
-    """Kinds of secrets in a text, as it is, percent-decoded, or in base64 runs, sorted."""
+    """Kinds of secrets in a text, as it is, percent-decoded up to DECODINGS times, with plus signs as spaces too, or in base64 runs, sorted."""
     raw = F.coalesce(text, F.lit(""))
-    plain = F.coalesce(F.try_url_decode(raw), raw)
+    decoded_once = lambda v, _: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+    percent = F.aggregate(F.sequence(F.lit(1), F.lit(DECODINGS)), raw, decoded_once)
+    plain = F.concat_ws("\n", percent, F.coalesce(F.try_url_decode(raw), raw), F.replace(percent, F.lit("+"), F.lit(" ")))
     runs = F.regexp_extract_all(raw, F.lit(r"\b[A-Za-z0-9+/]{24,}={0,2}"), F.lit(0))
     decoded = F.array_join(F.transform(runs, lambda r: F.coalesce(F.try_validate_utf8(F.try_to_binary(r, F.lit("base64")).cast("string")), F.lit(""))), "\n")
     every = F.concat_ws("\n", raw, plain, decoded)
@@ -147,6 +152,49 @@ def function_word_ratio(text: Column) -> Column:
     return F.when(n > 0, F.size(F.filter(words, lambda w: w.isin(*FUNCTION_WORDS))) / n).otherwise(0.0)
 
 
+# fixed values: the families of tokens that carry a text's load; word ends are those of ASCII
+LOAD_BEARING = {
+    "sha_hex": r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{7,40}(?![A-Za-z0-9_])",
+    "file_line": r"(?<![A-Za-z0-9_])[A-Za-z0-9_.-]+\.[A-Za-z0-9]+:[0-9]+(?![A-Za-z0-9_])",
+    "file_path": r"(?:[A-Za-z]:[\\/])?(?:[A-Za-z0-9_.-]+[\\/])+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+(?::[0-9]+)?",
+    "pr_ref": r"(?i)(?<![A-Za-z0-9_])PR\s*#[0-9]+(?![A-Za-z0-9_])",
+    "issue_ref": r"(?<![A-Za-z0-9_])#[0-9]+(?![A-Za-z0-9_])",
+    "iso_date": r"(?<![A-Za-z0-9_])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_])",
+    "url": r"(?<![A-Za-z0-9_])https?://[^\s)\"'`]+",
+    "quoted": r"\"[^\"\n]{2,}\"|'[^'\n]{2,}'|`[^`\n]{2,}`",
+    "number": r"(?<![A-Za-z0-9_])[0-9]+(?:\.[0-9]+)*(?![A-Za-z0-9_])",
+    "negation": r"(?i)(?<![A-Za-z0-9_])(?:not|no|never)(?![A-Za-z0-9_])|n't(?![A-Za-z0-9_])",
+}
+# fixed values: what a text that was cut off ends in
+_ENDED = r"[.!?)\]]\s*$"
+
+
+def load_bearing(text: Column) -> Column:
+    """Distinct tokens of all families of LOAD_BEARING, by where they first stand in the text, the longer first of those that start together."""
+    t = F.coalesce(text, F.lit(""))
+    every = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in LOAD_BEARING.values()])))
+    placed = F.array_sort(F.transform(every, lambda w: F.struct(F.position(w, t).alias("at"), (-F.length(w)).alias("size"), w.alias("w"))))
+    return F.transform(placed, lambda x: x["w"])
+
+
+def truncation_smells(text: Column) -> Column:
+    """Names of the ways in which a text looks cut off, in a fixed order; a NULL text has none."""
+    t = F.coalesce(text, F.lit(""))
+    odd = lambda q: F.pmod(F.length(t) - F.length(F.replace(t, F.lit(q), F.lit(""))), F.lit(2)) == 1
+    whole_path = F.lit(False)
+    for name in ("file_path", "file_line"):
+        whole_path = whole_path | t.rlike(LOAD_BEARING[name])
+    smells = {
+        "dangling_quote": ~t.rlike(_ENDED) & (odd('"') | odd("`")),
+        "dangling_pr_ref": t.rlike(r"(?i)PR\s*#\s*$"),
+        "dangling_path": ~t.rlike(_ENDED) & t.rlike(r"(?:[\\/][A-Za-z0-9_-]+){2,}$") & whole_path,
+        "dangling_url": t.rlike(r"https?://[A-Za-z0-9_-]*$"),
+        "dangling_sha": t.rlike(r"(?i)(?:sha|commit)[:\s]+[0-9a-f]{1,6}$"),
+        "dangling_date": t.rlike(r"(?<![A-Za-z0-9_])[0-9]{4}-(?:[0-9]{2})?-?$"),
+    }
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in smells.items()]))
+
+
 JSON_MOST = 1_000_000  # characters of an object that is looked at
 JSON_DEEP = 100  # braces and brackets inside each other
 _JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
@@ -201,6 +249,15 @@ def extracted(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.withColumn("extraction", F.from_json(json_of_reply(F.col(reply)), EXTRACTION))
 
 
+def marker_counts(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """owner, dropped, coerced: of the elements of a marker list, those without a text as their time, and of the others those whose session is there but no name."""
+    each = F.coalesce(F.try_variant_get(F.try_parse_json(column), "$", "array<variant>"), F.array().cast("array<variant>"))
+    kind = lambda e, name: F.coalesce(F.schema_of_variant(F.try_variant_get(e, f"$.{name}", "variant")), F.lit("VOID"))
+    timed = F.filter(each, lambda e: kind(e, "ts") == "STRING")
+    odd = F.filter(timed, lambda e: (kind(e, "session_id") != "VOID") & ((kind(e, "session_id") != "STRING") | (F.try_variant_get(e, "$.session_id", "string") == "")))
+    return raw.select("owner", (F.size(each) - F.size(timed)).alias("dropped"), F.size(odd).alias("coerced"))
+
+
 def markers(raw: DataFrame, column: str = "raw") -> DataFrame:
     """owner, ord, session_id, host, ts of session markers: a JSON array, or a bare string as its only time; elements without a time go."""
     is_list = F.col(column).rlike(r"\A\s*\[") & F.try_parse_json(column).isNotNull()

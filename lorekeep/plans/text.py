@@ -88,7 +88,7 @@ def status_cells(spark, sf_dir):
 
 @query("""SELECT item_id, CASE WHEN colon > 1 AND colon <= 60 AND substring(t, colon + 1, 1) = ' ' THEN trim(left(t, colon - 1)) WHEN strlen(t) <= 1000 THEN t
   ELSE rtrim(CASE WHEN strpos(cut, ' ') > 0 THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END) || ' …#' || left(sha256(t), 8) END AS key,
-  regexp_replace(lower(body), '[.!?;]+$', '') AS cmp, lower(body) AS subject
+  regexp_replace(lower(nfc_normalize(body)), '[.!?;]+$', '') AS cmp, lower(body) AS subject
 FROM (SELECT *, strpos(t, ':') AS colon, CASE WHEN strlen(t) > 1000 THEN left(t, list_max(list_filter(range(0, 988), lambda n: strlen(left(t, n)) <= 987))) END AS cut
   FROM (SELECT item_id, body, CASE WHEN item_id % 2 = 0 THEN trim('TASK ' || item_id || ': ' || body) WHEN item_id % 3 = 0 THEN trim(body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body || ' ' || body) ELSE body END AS t
     FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM benchmark)))""")
@@ -159,3 +159,19 @@ def handoff_rows(spark, sf_dir):
     rows = handoff.parsed(d, "doc_id")
     state = F.when(F.col("kind") == "thread", F.when(F.col("name") == "next", "open").otherwise(handoff.status_class(F.col("status"))))
     return rows.select("doc_id", "kind", "line", "name", "value", state.alias("state"))
+
+
+def _tokens_sql(t):
+    """The distinct tokens of each family, of a text t; where a family's token must not follow a word, what goes before it is matched too."""
+    one = {
+        "(?i)\\b[0-9a-f]{7,40}\\b": 0, "\\b[\\w.-]+\\.[A-Za-z0-9]+:[0-9]+\\b": 0, "(?:[A-Za-z]:[\\\\/])?(?:[\\w.-]+[\\\\/])+[\\w.-]+\\.[A-Za-z0-9]+(?::[0-9]+)?": 0, "(?i)\\bPR\\s*#[0-9]+\\b": 0,
+        "(?:^|[^\\w])(#[0-9]+)\\b": 1, "\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b": 0, "\\bhttps?://[^\\s)\"''`]+": 0, "\"[^\"\\n]{2,}\"|''[^''\\n]{2,}''|`[^`\\n]{2,}`": 0, "\\b[0-9]+(?:\\.[0-9]+)*\\b": 0, "(?i)\\b(?:not|no|never)\\b|n''t\\b": 0,
+    }
+    return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all({t}, '{p}', {g})" for p, g in one.items()) + "]))"
+
+
+@query(f"""SELECT doc_id, len(w) AS n, md5(array_to_string(list_sort(w), chr(10))) AS digest FROM (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS w FROM documents)""")
+def load_bearing_tokens(spark, sf_dir):
+    """How many distinct tokens of the ten families every document has, and a digest of them."""
+    w = F.array_sort(text.load_bearing(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, "\n").cast("binary")).alias("digest"))
