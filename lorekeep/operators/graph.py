@@ -32,21 +32,78 @@ def walks(edges: DataFrame, seeds: list[str], depth: int, direction: str = "out"
     return reduce(DataFrame.unionByName, levels).drop("path")
 
 
+def _steps(edges: DataFrame, direction: str, project: str | None) -> DataFrame:
+    """near, far, w and the edge's own ends and type, in the direction of a walk; loops lie on no simple path."""
+    if project is not None:
+        edges = edges.filter(F.col("project_id") == project)
+    a, b = ("from_entity", "to_entity") if direction == "out" else ("to_entity", "from_entity")
+    return edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("near"), F.col(b).alias("far"), F.col("weight").alias("w"), F.col("from_entity").alias("edge_from"), "edge_type", F.col("to_entity").alias("edge_to"))
+
+
+def _layers(e: DataFrame, seeds: list[str], depth: int) -> DataFrame:
+    """node, depth, lo, hi of every node within depth: lo[k] and hi[k] are the least and greatest node at depth k on its shortest paths."""
+    layers = [e.sparkSession.createDataFrame([(s,) for s in sorted(set(seeds))], "node string").select("node", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("lo"), F.array().cast("array<string>").alias("hi"))]
+    for k in range(1, depth + 1):
+        x = layers[-1].join(e.select("near", "far").distinct(), F.col("node") == F.col("near"))
+        ends = [F.struct(*[agg(F.when(F.lit(j == k - 1), F.col("near")).otherwise(F.get(c, F.lit(j)))).alias(f"k{j}") for j in range(k)]).alias(c) for c, agg in (("lo", F.min), ("hi", F.max))]
+        x = x.groupBy("far").agg(*ends).select(F.col("far").alias("node"), F.lit(k).alias("depth"), *[F.array(*[F.col(c)[f"k{j}"] for j in range(k)]).alias(c) for c in ("lo", "hi")])
+        for before in layers:
+            x = x.join(before.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti")
+        layers.append(checkpoint(x) if k < depth else x)
+    return reduce(DataFrame.unionByName, layers)
+
+
+def _avoiding(e: DataFrame, pairs: DataFrame, seeds: list[str], most: int) -> DataFrame:
+    """The pairs (n, x) for which a path of at most ``most`` edges leads from a seed to x without n: a frontier of (n, node), each once."""
+    seen = pairs.select("n").distinct().select("n", F.explode(F.array(*[F.lit(s) for s in sorted(set(seeds))])).alias("node"))
+    at, steps = seen, e.select("near", "far").distinct()
+    for _ in range(most):
+        new = at.join(steps, F.col("node") == F.col("near")).filter("far != n").select("n", F.col("far").alias("node")).distinct()
+        at = checkpoint(new.join(seen, ["n", "node"], "left_anti"))
+        seen = seen.unionByName(at)
+    return pairs.join(seen.withColumnRenamed("node", "x"), ["n", "x"], "left_semi")
+
+
+def _reached(edges: DataFrame, seeds: list[str], depth: int, direction: str, project: str | None) -> DataFrame:
+    """entity_name, max_weight and rep (see ``traverse``) of one direction.
+
+    A node's least depth and representative edge come from its shortest paths.  Its greatest last weight is that of an edge x to n such that some
+    path of depth - 1 edges at most reaches x without n.  Shortest paths to x pass n at n's own depth or not at all, so the
+    least and greatest node that they have there tell; only where all of them pass n, and a longer path has room, and the edge weighs more than
+    those that are sure, are such paths looked for.
+    """
+    e = _steps(edges, direction, project)
+    layers = checkpoint(_layers(e, seeds, depth))
+    last = layers.filter(F.col("depth") < depth).select(F.col("node").alias("x"), F.col("depth").alias("x_depth"), "lo", "hi")
+    to = layers.filter("depth > 0").select(F.col("node").alias("n"), F.col("depth").alias("n_depth"))
+    x = e.join(last, F.col("near") == F.col("x")).join(to, F.col("far") == F.col("n"))
+    around = (F.get("lo", F.col("n_depth")) != F.col("n")) | (F.get("hi", F.col("n_depth")) != F.col("n"))
+    sure = (F.col("x_depth") <= F.col("n_depth")) | around
+    # min of a struct: depth, then weight downwards with NULL first, then names, so that ties are settled
+    order = F.struct(F.col("n_depth").alias("depth"), F.when(F.col("w").isNull(), F.lit(float("-inf"))).otherwise(-F.col("w")).alias("w"), "edge_from", "edge_type", "edge_to")
+    best = x.groupBy("n").agg(F.max(F.when(sure, F.col("w"))).alias("max_weight"), F.min(F.when(F.col("x_depth") == F.col("n_depth") - 1, order)).alias("rep"))
+    if depth > 3:  # else no longer path has room
+        best = checkpoint(best)
+        doubtful = x.filter(~sure & (F.col("x_depth") < depth - 1) & F.col("w").isNotNull()).groupBy("n", "x").agg(F.max("w").alias("w"))
+        doubtful = checkpoint(doubtful.join(best.select(F.col("n").alias("of_n"), "max_weight"), (F.col("n") == F.col("of_n")) & (F.col("max_weight").isNull() | (F.col("w") > F.col("max_weight")))).select("n", "x", "w"))
+        if not doubtful.isEmpty():
+            more = _avoiding(e, doubtful, seeds, depth - 1).groupBy(F.col("n").alias("of_n")).agg(F.max("w").alias("more"))
+            best = best.join(more, F.col("n") == F.col("of_n"), "left").select("n", F.greatest("max_weight", "more").alias("max_weight"), "rep")
+    return best.withColumnRenamed("n", "entity_name")
+
+
 def traverse(edges: DataFrame, seeds: list[str], depth: int = 2, direction: str = "out", limit: int | None = None, project: str | None = None) -> DataFrame:
-    """Nodes within depth of the seeds: least depth, greatest known last weight, and a representative edge.
+    """Nodes within depth of the seeds: least depth, greatest known last weight of a simple path, and a representative edge.
 
-    ``both`` unites the walks along and against the edges; no path mixes them.  Suppressed edges count.
+    ``both`` unites the walks along and against the edges; no path mixes them.  Suppressed edges count.  Paths aren't listed: see ``_reached``;
+    a node is a row a layer, so that hubs and cliques cost what their edges do.
     """
+    depth = max(1, min(MAX_DEPTH, depth))
     ways = ["out", "in"] if direction == "both" else [direction]
-    steps = reduce(DataFrame.unionByName, [walks(edges, seeds, depth, w, project) for w in ways]).filter(~F.col("entity_name").isin(*seeds))
-    # min_by of a struct: depth, then weight downwards with NULL first, then names, so that ties are settled
-    order = F.struct("depth", F.when(F.col("weight").isNull(), F.lit(float("-inf"))).otherwise(-F.col("weight")).alias("w"), "edge_from", "edge_type", "edge_to")
-    x = steps.groupBy("entity_name").agg(
-        F.min("depth").alias("min_depth"),
-        F.max("weight").alias("max_weight"),
-        F.min(order).alias("rep"),
-    )
-    x = x.select("entity_name", "min_depth", "max_weight", F.col("rep.edge_from").alias("rep_from"), F.col("rep.edge_type").alias("rep_edge_type"), F.col("rep.edge_to").alias("rep_to"))
+    found = reduce(DataFrame.unionByName, [_reached(edges, seeds, depth, w, project) for w in ways])
+    if len(ways) > 1:
+        found = found.groupBy("entity_name").agg(F.max("max_weight").alias("max_weight"), F.min("rep").alias("rep"))
+    x = found.select("entity_name", F.col("rep.depth").alias("min_depth"), "max_weight", F.col("rep.edge_from").alias("rep_from"), F.col("rep.edge_type").alias("rep_edge_type"), F.col("rep.edge_to").alias("rep_to"))
     return x if limit is None else x.orderBy("min_depth", F.desc_nulls_first("max_weight"), "entity_name").limit(limit)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import cosine, decayed, live, similarity, text_rank, tier_rank, token_estimate, trigrams
-from lorekeep.operators.graph import walks
+from lorekeep.operators.graph import traverse
 
 TEXT_SHARE, VECTOR_SHARE = 0.3, 0.7
 FUZZY_LEAST = 0.3
@@ -142,7 +142,7 @@ def history(facts: DataFrame, subject: str, k: int = 20) -> DataFrame:
 
 def resurrected(facts: DataFrame, edges: DataFrame, seeds: list[str], per_subject: int = 5, overall: int = 50, depth: int = 2) -> DataFrame:
     """Facts downvoted on probation that may come back: of subjects near the seeds which have a live, verified or pinned fact."""
-    near = walks(edges, seeds, depth).select(F.col("entity_name").alias("near")).unionByName(facts.sparkSession.createDataFrame([(s,) for s in seeds], "near string")).distinct()
+    near = traverse(edges, seeds, depth).select(F.col("entity_name").alias("near")).unionByName(facts.sparkSession.createDataFrame([(s,) for s in seeds], "near string")).distinct()
     anchored = facts.filter(live() & ((F.col("reality_check") == "verified") | F.col("pinned"))).select(F.col("subject").alias("anchor")).distinct()
     x = facts.filter(F.col("suppression_kind") == "downvoted_probation")
     x = x.join(near, F.col("subject") == F.col("near"), "left_semi").join(anchored, F.col("subject") == F.col("anchor"), "left_semi")
@@ -218,8 +218,6 @@ def run_query(q: Query, tables: dict[str, DataFrame], as_of: Column) -> DataFram
         x = nearest(tables["vectors"], p["vector"], n)
         x = say(x, F.desc("score"), "id").select("place", "id", F.col("label").cast("string").alias("label"), F.col("label").cast("string").alias("snippet"))
     else:
-        from lorekeep.operators.graph import traverse
-
         x = traverse(tables["edges"], p["seeds"], p.get("depth", 2), p.get("direction", "out"), n)
         x = say(x, "min_depth", F.desc_nulls_first("max_weight"), "entity_name").select("place", F.lit(None).cast("long").alias("id"), F.col("entity_name").alias("label"), F.col("rep_edge_type").alias("snippet"))
     return x.select(F.lit(q.kind).alias("kind"), "place", F.col("id").cast("long").alias("id"), "label", "snippet")
