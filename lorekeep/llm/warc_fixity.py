@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm._spark import checkpoint
+from lorekeep.operators.alignment import pairs
 
 FAN = 16
 FILE_RECORDS = 256  # records of an archive file
@@ -128,31 +130,58 @@ def audit(one: DataFrame, two: DataFrame, records_a_file: int = FILE_RECORDS) ->
     return found(one, "_1").join(found(two, "_2"), ["file", "pos"], "full_outer")
 
 
+def moved(one: DataFrame, two: DataFrame, bad: DataFrame) -> DataFrame:
+    """(file, pos) of one's records that two has whole, in the same order, at another place of the same file: of the files in bad (file) only.
+
+    The record hashes of a file, FILE_RECORDS ids at most, are aligned side by side: what is kept lies in both.
+    """
+    files = bad.select(F.col("file").alias("bad_file")).distinct()
+    side = lambda x: x.join(files, F.col("file") == F.col("bad_file"), "left_semi").select("file", "pos", "record_sha256")
+
+    def run(mine: pa.Table, other: pa.Table) -> pa.Table:
+        a, b = (sorted(zip(t["pos"].to_pylist(), t["record_sha256"].to_pylist())) for t in (mine, other))
+        kept = [a[i][0] for i, _ in pairs([h for _, h in a], [h for _, h in b])]
+        return pa.table({"file": pa.array([mine["file"][0].as_py()] * len(kept), pa.int64()), "pos": pa.array(kept, pa.int64())})
+
+    def aligned(mine: pa.Table, other: pa.Table) -> pa.Table:
+        return run(mine, other) if mine.num_rows and other.num_rows else pa.table({"file": pa.array([], pa.int64()), "pos": pa.array([], pa.int64())})
+
+    return side(one).groupBy("file").cogroup(side(two).groupBy("file")).applyInArrow(aligned, "file long, pos long")
+
+
 def fixity_report(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, file, pos, offset, length, record_sha256 and intact of every record of pages, audited against a replica.
+    """page_id, file, pos, offset, length, record_sha256, intact and moved of every record of pages, audited against a replica.
 
-    A record is intact when the descent from the roots doesn't reach it.  Records that only the
-    replica has follow with their own place and intact false.  Null ids, addresses and payloads are
+    A record is intact when the descent from the roots doesn't reach it, or when its file's records, aligned with the replica's, have it whole at
+    another place: then it is moved too, as records before it are missing, longer or new there.  Records that only the
+    replica has, with no counterpart at their place, follow with their own place and intact false.  Null ids, addresses and payloads are
     allowed (see ``archive``); equal rows are records of their own; of two empty sides nothing comes.
     """
     one, two = checkpoint(archive(pages)), checkpoint(archive(replica))
     bad = checkpoint(audit(one, two))
     cols = ["page_id", "file", "pos", "offset", "length", "record_sha256"]
-    hit = bad.filter(F.col("length_1").isNotNull()).select(F.col("file").alias("f"), F.col("pos").alias("p"), F.lit(False).alias("ok"))
-    mine = one.join(hit, (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p")), "left").select(*cols, F.coalesce("ok", F.lit(True)).alias("intact"))
-    extra = bad.filter(F.col("length_1").isNull()).select(F.col("page_id_2").alias("page_id"), "file", "pos", F.col("offset_2").alias("offset"), F.col("length_2").alias("length"), F.col("record_sha256_2").alias("record_sha256"), F.lit(False).alias("intact"))
+    found = checkpoint(moved(one, two, bad)).select(F.col("file").alias("mf"), F.col("pos").alias("mp"))
+    hit = bad.filter(F.col("length_1").isNotNull()).select(F.col("file").alias("f"), F.col("pos").alias("p"), F.lit(True).alias("reached"))
+    reached = F.coalesce("reached", F.lit(False))
+    mine = one.join(hit, (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p")), "left").join(found, (F.col("file") == F.col("mf")) & (F.col("pos") == F.col("mp")), "left")
+    mine = mine.select(*cols, (~reached | F.col("mp").isNotNull()).alias("intact"), (reached & F.col("mp").isNotNull()).alias("moved"))
+    # what only the replica has: records of its files that no record of ours is aligned with
+    back = checkpoint(moved(two, one, bad)).select(F.col("file").alias("mf"), F.col("pos").alias("mp"))
+    theirs = two.join(bad.filter(F.col("length_1").isNull()).select(F.col("file").alias("f"), F.col("pos").alias("p")), (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p")), "left_semi")
+    extra = theirs.join(back, (F.col("file") == F.col("mf")) & (F.col("pos") == F.col("mp")), "left_anti").select(*cols, F.lit(False).alias("intact"), F.lit(False).alias("moved"))
     return reduce(DataFrame.unionByName, [mine, extra])
 
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica with planted damage, for the audit to find: the middle character of every 97th page (5, 102, ...) is
-    overwritten, byte for byte, so that no offset moves."""
+    overwritten, byte for byte, and every 211th page (11, 222, ...) is missing, so that the records after it lie elsewhere."""
     half = F.floor(F.length("html") / 2).cast("int")
     hit = (F.pmod(F.col("page_id"), F.lit(97)) == 5) & (F.length("html") > 0)
     middle = F.substring("html", half + 1, F.lit(1))
     other = F.when(middle == "~", "#").otherwise(F.repeat(F.lit("~"), F.octet_length(middle)))
     flipped = F.concat(F.substring("html", F.lit(1), half), other, F.expr("substring(html, cast(floor(length(html) / 2) as int) + 2)"))
-    return pages.withColumn("html", F.when(hit, flipped).otherwise(F.col("html")))
+    left = pages.filter(~F.coalesce(F.pmod(F.col("page_id"), F.lit(211)) == 11, F.lit(False)))
+    return left.withColumn("html", F.when(hit, flipped).otherwise(F.col("html")))
 
 
 ORACLE_SQL = r"""
@@ -161,8 +190,9 @@ WITH r AS (
     'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
-    page_id % 97 = 5 AND length(html) > 0 AS hit
+    (page_id % 97 = 5 AND length(html) > 0) OR page_id % 211 = 11 AS hit
   FROM pages)
 SELECT page_id, file, row_number() OVER w - 1 AS pos, CAST(coalesce(sum(strlen(rec)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  strlen(rec) AS length, sha256(rec) AS record_sha256, NOT hit AS intact
+  strlen(rec) AS length, sha256(rec) AS record_sha256, NOT hit AS intact,
+  NOT hit AND count(*) FILTER (page_id % 211 = 11) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS moved
 FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256(rec))"""
