@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import STOP_WORDS, cosine, live
-from lorekeep.operators import search
+from lorekeep.operators import names, search
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import as_of, chunks, edges, entities, entries, exchange, facts, with_tables
 from lorekeep.sources.tables import table
@@ -109,6 +109,40 @@ def near_names(spark, sf_dir):
     return search.near_names(entities(spark, sf_dir), "nation_12")
 
 
+PADDED = "list_distinct(list_transform(range(1, length(word) + 2), lambda i: substring('  ' || word || ' ', i, 3)))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM documents),
+g AS (SELECT word, {PADDED} AS t FROM a WHERE length(word) >= 4), h AS (SELECT word, {PADDED} AS t FROM b WHERE length(word) >= 4),
+x AS (SELECT word, len(t) AS n, unnest(t) AS t FROM g), y AS (SELECT word, len(t) AS n, unnest(t) AS t FROM h),
+p AS (SELECT x.word AS asked, y.word AS found, count(*) AS shared, any_value(x.n) + any_value(y.n) AS total FROM x JOIN y USING (t) GROUP BY ALL)
+SELECT asked, found, round(CAST(shared AS DOUBLE) / (total - shared), 6) AS similarity FROM p WHERE CAST(shared AS DOUBLE) / (total - shared) >= 0.6""")
+def near_words(spark, sf_dir):
+    """Words of benchmark items, and those of all documents that share three fifths of their trigrams."""
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).filter(F.length("word") >= 4)
+    x = names.similar_texts(words("benchmark"), words("documents"), 0.6, F.col("word"), F.col("word"))
+    return x.select(F.col("left_text").alias("asked"), F.col("right_text").alias("found"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(with_tables("facts entities", f"""SELECT asked, e.id, e.name, lower(trim(asked)) = lower(trim(name)) AS exact, round({similarity_sql("g", "t")}, 6) AS similarity
+FROM (SELECT asked, {trigrams_sql("asked")} AS g FROM (SELECT DISTINCT subject AS asked FROM facts)) a, (SELECT id, name, {trigrams_sql("name")} AS t FROM entities) e
+WHERE lower(trim(asked)) = lower(trim(name)) OR (length(trim(asked)) >= 4 AND {similarity_sql("g", "t")} >= 0.15)"""))
+def names_near_subjects(spark, sf_dir):
+    """All subjects against all entity names, by a low threshold, as their forms differ."""
+    asked = facts(spark, sf_dir).select(F.col("subject").alias("name"))
+    return names.near_names_of_all(entities(spark, sf_dir), asked, 0.15)
+
+
+@query(with_tables("facts", f"""SELECT seed, place, id, round(sim, 6) AS sim_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS INTEGER) AS place FROM (
+  SELECT seed, id, {similarity_sql("g", "t")} AS sim FROM (SELECT seed, {trigrams_sql("seed")} AS g FROM (SELECT DISTINCT subject || ' ' || predicate AS seed FROM facts WHERE pinned)) s, f WHERE {similarity_sql("g", "t")} > 0.5)) WHERE place <= 3""",
+    f"f AS MATERIALIZED (SELECT id, {trigrams_sql("subject || ' ' || predicate || ' ' || object")} AS t FROM facts)"))
+def fuzzy_facts_of_pins(spark, sf_dir):
+    """The three facts most like each pinned subject and predicate."""
+    f = facts(spark, sf_dir)
+    seeds = f.filter("pinned").select(F.concat_ws(" ", "subject", "predicate").alias("seed"))
+    return names.fuzzy_of_all(f, seeds, 3, 0.5).select("seed", "place", "id", F.round("sim_score", 6).alias("sim_score"))
+
+
 @query(with_tables("chunks", """SELECT entry_id, chunk_idx, place, tokens, used FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY entry_id ORDER BY chunk_idx) AS BIGINT) AS used, CAST(chunk_idx AS INTEGER) AS place
   FROM (SELECT entry_id, chunk_idx, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM chunks)) WHERE used <= 400"""))
 def budget_packed_chunks(spark, sf_dir):
