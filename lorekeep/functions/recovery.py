@@ -25,11 +25,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(df: DataFrame) -> str:
+    """A new folder's path in the same shared folder."""
+    return f"{_folder(df)}/table-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written to the same folder as a table, and read again.
 
     For loops of many rounds: a checkpointed frame still carries what the optimiser inferred of its columns, which can double every round.
     """
-    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    path = new_path(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

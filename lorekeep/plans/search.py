@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import STOP_WORDS, cosine, live
-from lorekeep.operators import names, search
+from lorekeep.functions.recovery import new_path
+from lorekeep.functions.stem import stem_sql
+from lorekeep.operators import names, search, text_index
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import as_of, chunks, edges, entities, entries, exchange, facts, with_tables
 from lorekeep.sources.tables import table
@@ -49,6 +51,27 @@ def full_text_top(spark, sf_dir):
     return search.full_text(table(spark, sf_dir, "documents"), "the tion and hand", 20, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Queries of stemmed search, and each stem of theirs.
+ASKED = ("the handed tions", "restions oned", "leaux menting", "hand")
+ASKED_SQL = ", ".join(f"('{q}', '{t}', {len(text_index.stems_of(q))})" for q in ASKED for t in text_index.stems_of(q))
+
+
+@query(f"""WITH counted AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ({STOP_SQL}) GROUP BY ALL),
+{stem_sql("counted")},
+tf AS (SELECT doc_id, stem, CAST(sum(n) AS DOUBLE) AS tf FROM counted JOIN stems USING (word) GROUP BY ALL),
+asked(query, stem, terms) AS (VALUES {ASKED_SQL}),
+found AS (SELECT query, doc_id, round(sum(tf / (tf + 1)) / any_value(terms), 12) AS score FROM asked JOIN tf USING (stem) GROUP BY query, doc_id HAVING count(*) = any_value(terms))
+SELECT query, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM found) WHERE place <= 20""")
+def stemmed_search(spark, sf_dir):
+    """The best documents by an index of stems, of which each query reads the folders of its terms."""
+    d = table(spark, sf_dir, "documents")
+    path = new_path(d)
+    text_index.write_index(d, "doc_id", "text", path)
+    index = text_index.read_index(spark, path)
+    parts = [text_index.indexed_full_text(index, q, 20).select(F.lit(q).alias("query"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score")) for q in ASKED]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 HYBRID = f"(SELECT id, name, description, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {VECTOR_SQL}) AS cos FROM entries JOIN embeddings ON id = vec_id)"
 
 
