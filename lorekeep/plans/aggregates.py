@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import cosine, live
-from lorekeep.operators import aggregates
+from lorekeep.functions.recovery import new_path
+from lorekeep.operators import aggregates, backfill
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import chunks, entries, facts, models, outcomes, with_tables
 from lorekeep.sources.tables import table
@@ -60,6 +61,22 @@ def embedding_backfill_plan(spark, sf_dir):
     return aggregates.embedding_plan(_with_vectors(spark, sf_dir), "embedding", "description")
 
 
+def letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding service: a text's length and how many of its letters are e."""
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query(with_tables("entries", """SELECT id, len(embedding) AS dims, CASE WHEN len(embedding) = 2 THEN CAST(embedding[1] AS BIGINT) END AS made FROM (
+  SELECT id, CASE WHEN embedding IS NOT NULL THEN CAST(embedding AS FLOAT[]) WHEN trim(coalesce(description, '')) <> '' THEN CAST([length(description), length(description) - length(replace(description, 'e', ''))] AS FLOAT[]) END AS embedding FROM vectored)""", VECTORED))
+def backfilled_entries(spark, sf_dir):
+    """All entries after a backfill of those that have text and no vector."""
+    x = _with_vectors(spark, sf_dir).withColumn("provider", F.when(F.col("embedding").isNotNull(), "letters"))
+    folder = new_path(x)
+    backfill.backfill(x, "id", "description", letters, 2, "letters", folder, most=None, seconds=86400.0, slice_rows=1_000_000)
+    v = F.col("embedding")
+    return backfill.filled(x, "id", folder).select("id", F.when(v.isNotNull(), F.size(v)).cast("long").alias("dims"), F.when(F.size(v) == 2, F.get(v, F.lit(0)).cast("long")).alias("made"))
+
+
 @query(with_tables("entries", """SELECT count(*) FILTER (embedding IS NOT NULL) AS embedded, count(*) FILTER (embedding IS NULL AND trim(description) <> '') AS pending,
   count(*) FILTER (embedding IS NULL AND trim(description) = '' AND NOT suppressed) AS exempt_empty, count(*) FILTER (embedding IS NULL AND trim(description) = '' AND suppressed) AS exempt_suppressed
 FROM vectored""", VECTORED))

@@ -156,9 +156,10 @@ def names_near_subjects(spark, sf_dir):
     return names.near_names_of_all(entities(spark, sf_dir), asked, 0.15)
 
 
-@query(with_tables("facts", f"""SELECT seed, place, id, round(sim, 6) AS sim_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS INTEGER) AS place FROM (
-  SELECT seed, id, {similarity_sql("g", "t")} AS sim FROM (SELECT seed, {trigrams_sql("seed")} AS g FROM (SELECT DISTINCT subject || ' ' || predicate AS seed FROM facts WHERE pinned)) s, f WHERE {similarity_sql("g", "t")} > 0.5)) WHERE place <= 3""",
-    f"f AS MATERIALIZED (SELECT id, {trigrams_sql("subject || ' ' || predicate || ' ' || object")} AS t FROM facts)"))
+@query(with_tables("facts", """SELECT seed, place, id, round(sim, 6) AS sim_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS INTEGER) AS place FROM p WHERE sim > 0.5) WHERE place <= 3""",
+    f"f AS (SELECT id, len(t) AS n, unnest(t) AS t FROM (SELECT id, {trigrams_sql("subject || ' ' || predicate || ' ' || object")} AS t FROM facts))",
+    f"s AS (SELECT seed, len(t) AS n, unnest(t) AS t FROM (SELECT seed, {trigrams_sql('seed')} AS t FROM (SELECT DISTINCT subject || ' ' || predicate AS seed FROM facts WHERE pinned)))",
+    "p AS (SELECT seed, id, CAST(count(*) AS DOUBLE) / (any_value(s.n) + any_value(f.n) - count(*)) AS sim FROM s JOIN f USING (t) GROUP BY seed, id)"))
 def fuzzy_facts_of_pins(spark, sf_dir):
     """The three facts most like each pinned subject and predicate."""
     f = facts(spark, sf_dir)
