@@ -10,6 +10,7 @@ from lorekeep.operators.aggregates import top_per_group
 from lorekeep.plans.registry import query
 from lorekeep.sources.domain import AS_OF_TS, as_of, facts, with_tables
 from lorekeep.sources.tables import table
+from lorekeep.streaming import markers
 
 AGE = f"date_diff('microsecond', last_reinforced, {AS_OF_TS}) / 86400e6"
 DECAYED = f"confidence * exp(-decay_rate * ({AGE}))"
@@ -165,3 +166,14 @@ def user_sql(spark, sf_dir):
 def stale_markers(spark, sf_dir):
     m = facts(spark, sf_dir).select("id", F.col("created_at").alias("ts"))
     return filters.stale_markers(m, F.lit("2024-01-20").cast("timestamp_ntz")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(with_tables("facts", """SELECT session, event, opened_us, opened_us + CASE event WHEN 'stale' THEN 86400000000 ELSE 604800000000 END AS at_us
+FROM (SELECT session, kind, us AS opened_us, lead(us) OVER (PARTITION BY session ORDER BY us, kind DESC) AS next_us FROM (
+  SELECT subject AS session, CASE WHEN id % 3 = 0 THEN 'close' ELSE 'open' END AS kind, epoch_us(created_at) AS us FROM facts)), (VALUES ('stale'), ('prompt')) e(event)
+WHERE kind = 'open' AND opened_us + CASE event WHEN 'stale' THEN 86400000000 ELSE 604800000000 END <= epoch_us(TIMESTAMP '2024-06-01 00:00:00')
+  AND (next_us IS NULL OR next_us > opened_us + CASE event WHEN 'stale' THEN 86400000000 ELSE 604800000000 END)"""))
+def marker_lives(spark, sf_dir):
+    """Facts as opened and closed markers of their subjects: which went stale after a day, and which were due for a prompt after a week."""
+    rows = facts(spark, sf_dir).select(F.col("subject").alias("session"), F.when(F.pmod("id", F.lit(3)) == 0, "close").otherwise("open").alias("kind"), micros_of(F.col("created_at")).alias("us"))
+    return markers.life(rows, micros_of(as_of()))
