@@ -28,9 +28,11 @@ def nearest(df: DataFrame, query: list[float], k: int, column: str = "embedding"
     return df.withColumn("score", cosine(F.col(column), vector(query))).filter("score is not null").drop(column).orderBy(F.desc("score"), key).limit(k)
 
 
-def full_text(df: DataFrame, query: str, k: int, text: str = "text", key: str = "id") -> DataFrame:
-    """The k best rows of those that match all terms."""
-    return df.withColumn("score", text_rank(F.col(text), query)).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+def full_text(df: DataFrame, query: str, k: int, text: str = "text", key: str = "id", places: int | None = None) -> DataFrame:
+    """The k best rows of those that match all terms; with ``places``, ranks are rounded before they are compared."""
+    x = df.withColumn("score", text_rank(F.col(text), query)).filter("score > 0")
+    x = x if places is None else x.withColumn("score", F.round("score", places))
+    return x.orderBy(F.desc("score"), key).limit(k)
 
 
 @dataclass(frozen=True)

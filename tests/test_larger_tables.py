@@ -27,6 +27,11 @@ def same(spark, name, sf):
     return differences(registry.QUERIES[name](spark, sf), connect(sf), registry.ORACLE_SQL[name]) == []
 
 
+def test_texts_whose_rounded_ranks_are_equal(spark, tmp_path):
+    sf = tables(tmp_path, documents="SELECT i AS doc_id, repeat('tion hand ', CAST(2000 + i AS INTEGER)) AS text, 'en' AS lang, 'a' AS source, CAST(10 AS BIGINT) AS n_chars FROM range(40) r(i)")
+    assert same(spark, "full_text_top", sf)
+
+
 def test_tree_of_more_levels_than_the_sql(spark, monkeypatch):
     """Five digits: the SQL ends with the 16 nodes that four levels leave."""
     monkeypatch.setattr(aggregates, "LEAF_ROWS", 0.002)
