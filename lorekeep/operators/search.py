@@ -23,9 +23,14 @@ def vector(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def nearest(df: DataFrame, query: list[float], k: int, column: str = "embedding", key: str = "id") -> DataFrame:
-    """The k rows of the greatest cosine; rows without a vector don't count.  A top-k needs no shuffle of vectors."""
-    return df.withColumn("score", cosine(F.col(column), vector(query))).filter("score is not null").drop(column).orderBy(F.desc("score"), key).limit(k)
+def nearest(df: DataFrame, query: list[float], k: int, column: str = "embedding", key: str = "id", places: int | None = None) -> DataFrame:
+    """The k rows of the greatest cosine; rows without a vector don't count.  A top-k needs no shuffle of vectors.
+
+    With ``places``, cosines are rounded before they are ranked: those that are equal then go by key.
+    """
+    score = cosine(F.col(column), vector(query))
+    score = score if places is None else F.round(score, places)
+    return df.withColumn("score", score).filter("score is not null").drop(column).orderBy(F.desc("score"), key).limit(k)
 
 
 def full_text(df: DataFrame, query: str, k: int, text: str = "text", key: str = "id", places: int | None = None) -> DataFrame:

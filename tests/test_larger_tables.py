@@ -27,6 +27,12 @@ def same(spark, name, sf):
     return differences(registry.QUERIES[name](spark, sf), connect(sf), registry.ORACLE_SQL[name]) == []
 
 
+def test_vectors_whose_rounded_cosines_are_equal(spark, tmp_path):
+    near = ", ".join(f"CAST({v} AS FLOAT)" for v in VECTOR[1:])
+    sf = tables(tmp_path, embeddings=f"SELECT i AS vec_id, [CAST({VECTOR[0]} + (30 - i) * 0.001 AS FLOAT), {near}] AS embedding, 1 AS label FROM range(30) r(i)")
+    assert same(spark, "vector_top", sf)
+
+
 def test_texts_whose_rounded_ranks_are_equal(spark, tmp_path):
     sf = tables(tmp_path, documents="SELECT i AS doc_id, repeat('tion hand ', CAST(2000 + i AS INTEGER)) AS text, 'en' AS lang, 'a' AS source, CAST(10 AS BIGINT) AS n_chars FROM range(40) r(i)")
     assert same(spark, "full_text_top", sf)
