@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.expr import similarity, trigrams
+from lorekeep.functions.recovery import written
 
 BLOCK = 2048  # prefix rows of one trigram and side that meet in one group
+LOOKS = (0.7,)  # thresholds by which ``fuzzy_of_all`` looks for a seed's best before it looks by the one asked for
 
 
-def _texts(df: DataFrame, text: Column) -> DataFrame:
-    return df.select(text.alias("text")).filter("text is not null").distinct()
+def _sets(df: DataFrame, text: Column) -> DataFrame:
+    """text, grams of each distinct text, written out: trigrams are cut once, whatever is done with them."""
+    return written(df.select(text.alias("text")).filter("text is not null").distinct().withColumn("grams", trigrams(F.col("text"))))
 
 
 def _ranks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """gram, rank: the rarest first.  Trigrams are of letters, digits and blanks, so there are at most 37 ** 3."""
-    n = left.unionByName(right).select(F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    return n.select("gram", F.row_number().over(Window.orderBy("n", "gram")).alias("rank"))
+    """gram, rank: those that the fewest pairs share first.  Trigrams are of letters, digits and blanks, so there are at most 37 ** 3."""
+    count = lambda df: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    n = count(left).withColumnRenamed("n", "l_n").join(count(right).withColumnRenamed("n", "r_n"), "gram", "full_outer")
+    pairs = F.coalesce(F.col("l_n").cast("double"), F.lit(0.0)) * F.coalesce(F.col("r_n").cast("double"), F.lit(0.0))
+    return n.select("gram", F.row_number().over(Window.orderBy(pairs, "gram")).alias("rank"))
 
 
-def _prefixes(texts: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
+def _prefixes(sets: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
     """text, grams (ranks, ascending), n, and a row (rank, at) for each gram that a similar text may share first."""
-    x = texts.select("text", F.explode(trigrams(F.col("text"))).alias("gram")).join(F.broadcast(ranks), "gram")
+    x = sets.select("text", F.explode("grams").alias("gram")).join(F.broadcast(ranks), "gram")
     x = x.groupBy("text").agg(F.sort_array(F.collect_list("rank")).alias("grams")).withColumn("n", F.size("grams"))
     length = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
     return x.select("text", "grams", "n", F.posexplode(F.slice("grams", F.lit(1), length)).alias("at", "rank"))
@@ -37,10 +44,14 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float, left_text: Co
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    lefts, rights = _texts(left, left_text), _texts(right, right_text)
-    ranks = _ranks(lefts, rights)
-    a = _prefixes(lefts, ranks, least).toDF("l_text", "l_grams", "l_n", "l_at", "rank")
-    b = _prefixes(rights, ranks, least).toDF("r_text", "r_grams", "r_n", "r_at", "rank")
+    return _similar(_sets(left, left_text), _sets(right, right_text), least, strict, block)
+
+
+def _similar(lefts: DataFrame, rights: DataFrame, least: float, strict: bool, block: int = BLOCK) -> DataFrame:
+    """``similar_texts`` of written sets of trigrams."""
+    ranks = written(_ranks(lefts, rights))
+    a = written(_prefixes(lefts, ranks, least).toDF("l_text", "l_grams", "l_n", "l_at", "rank"))
+    b = written(_prefixes(rights, ranks, least).toDF("r_text", "r_grams", "r_n", "r_at", "rank"))
     counts = a.groupBy("rank").agg(F.count("*").alias("l_rows")).join(b.groupBy("rank").agg(F.count("*").alias("r_rows")), "rank")
     blocks = F.broadcast(counts.select("rank", F.ceil(F.col("l_rows") / block).cast("int").alias("l_blocks"), F.ceil(F.col("r_rows") / block).cast("int").alias("r_blocks")))  # one row a trigram
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -49,7 +60,8 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float, left_text: Co
     b = b.join(blocks, "rank").withColumn("r_block", own("r_text", "r_blocks")).withColumn("l_block", every("l_blocks")).drop("l_blocks", "r_blocks")
     need = F.ceil((F.col("l_n") + F.col("r_n")) * (least / (1 + least)) - 1e-9)
     room = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= need
-    x = a.join(b, ["rank", "l_block", "r_block"]).filter(room)
+    # rows of alike sets shuffle to few bytes and unpack to many: neither side may be taken for small and sent through the driver
+    x = a.hint("merge").join(b, ["rank", "l_block", "r_block"]).filter(room)
     x = x.withColumn("shared", F.array_intersect("l_grams", "r_grams")).filter(F.array_min("shared") == F.col("rank"))
     s = F.size("shared") / (F.col("l_n") + F.col("r_n") - F.size("shared"))
     x = x.select(F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text"), s.alias("similarity"))
@@ -77,14 +89,24 @@ def fuzzy_of_all(facts: DataFrame, seeds: DataFrame, k: int, least: float = 0.3,
     """seed, place, sim_score and the columns of the k facts most like each seed (column seed), above the threshold: ``search.fuzzy`` for all seeds.
 
     Of facts of one text the least id speaks: a text that k others precede by it has none of the k best, so at most k texts a seed meet the facts.
+    Seeds look for texts above the thresholds of LOOKS first, and only those that find fewer than k there look lower: k texts above any
+    threshold hold the k best.
     """
     said = F.concat_ws(" ", "subject", "predicate", "object") if text is None else text
     f = facts.withColumn("said_text", said)
     least_id = f.groupBy("said_text").agg(F.min("id").alias("least_id"))
-    trimmed = F.trim(F.col("seed"))
-    pairs = similar_texts(seeds, least_id, least, trimmed, F.col("said_text"), strict=True)
+    asked, texts, parts = _sets(seeds, F.trim(F.col("seed"))), _sets(least_id, F.col("said_text")), []
     w = Window.partitionBy("left_text").orderBy(F.desc("similarity"), "least_id")
-    best = pairs.join(least_id, F.col("right_text") == F.col("said_text")).drop("said_text").withColumn("t_place", F.row_number().over(w)).filter(F.col("t_place") <= k)
-    x = f.join(best.select(F.col("left_text").alias("seed"), "right_text", F.col("similarity").alias("sim_score")), F.col("said_text") == F.col("right_text")).drop("said_text", "right_text")
+    for look in [*(x for x in LOOKS if x > least), least]:
+        pairs = _similar(asked, texts, look, strict=look == least)
+        best = pairs.join(least_id, F.col("right_text") == F.col("said_text")).drop("said_text").withColumn("t_place", F.row_number().over(w)).filter(F.col("t_place") <= k)
+        best = written(best.select(F.col("left_text").alias("seed"), "right_text", F.col("similarity").alias("sim_score")))
+        if look > least:
+            enough = best.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("seed")
+            parts.append(best.join(enough, "seed", "left_semi"))
+            asked = written(asked.join(enough, F.col("text") == F.col("seed"), "left_anti"))
+        else:
+            parts.append(best)
+    x = f.join(reduce(DataFrame.unionByName, parts), F.col("said_text") == F.col("right_text")).drop("said_text", "right_text")
     w = Window.partitionBy("seed").orderBy(F.desc("sim_score"), "id")
     return x.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

@@ -60,3 +60,12 @@ def test_hot_trigram_is_dealt_out_without_a_cross_join(spark):
     plan = x._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert x.filter("left_text = right_text").count() == 500
+
+
+def test_pairs_do_not_go_through_the_driver(spark):
+    """Small as both sides are, neither is broadcast: their rows shuffle to few bytes and unpack to many."""
+    n = spark.range(300).select(F.format_string("customer#%06d", "id").alias("x"))
+    x = names.similar_texts(n, n, 0.9, F.col("x"), F.col("x"), block=50)
+    x.collect()
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rank" in plan.split("Initial Plan")[0]
