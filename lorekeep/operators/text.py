@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -120,16 +121,35 @@ SECRETS = {
 DECODINGS = 5  # rounds of percent-decoding
 
 
-def secret_kinds(text: Column) -> Column:
-    """Kinds of secrets in a text, as it is, percent-decoded up to DECODINGS times, with plus signs as spaces too, or in base64 runs, sorted."""
-    raw = F.coalesce(text, F.lit(""))
+#: kind -> strings of which a text with a match has one: looked for first
+_SECRET_SIGNS = {"email": ("@",), "uuid": ("-",), "home_path": ("/home/", "/Users/", "C:\\Users\\"), "connection": ("://",), "token": ("sk", "pk", "ghp", "xox")}
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _every_form(raw: Column) -> Column:
+    """A text, its decoded forms if it has percent or plus signs, and its decoded base64 runs, as lines."""
     decoded_once = lambda v, _: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
+    spaced = lambda v: F.replace(v, F.lit("+"), F.lit(" "))
     percent = F.aggregate(F.sequence(F.lit(1), F.lit(DECODINGS)), raw, decoded_once)
-    plain = F.concat_ws("\n", percent, F.coalesce(F.try_url_decode(raw), raw), F.replace(percent, F.lit("+"), F.lit(" ")))
+    whole = _once(percent, lambda p: F.concat_ws("\n", raw, p, F.coalesce(F.try_url_decode(raw), raw), spaced(p)))
+    plain = F.when(F.contains(raw, F.lit("%")), whole).when(F.contains(raw, F.lit("+")), F.concat_ws("\n", raw, spaced(raw))).otherwise(raw)
     runs = F.regexp_extract_all(raw, F.lit(r"\b[A-Za-z0-9+/]{24,}={0,2}"), F.lit(0))
     decoded = F.array_join(F.transform(runs, lambda r: F.coalesce(F.try_validate_utf8(F.try_to_binary(r, F.lit("base64")).cast("string")), F.lit(""))), "\n")
-    every = F.concat_ws("\n", raw, plain, decoded)
-    return F.array_compact(F.array(*[F.when(every.rlike(p), F.lit(k)) for k, p in sorted(SECRETS.items())]))
+    return F.concat_ws("\n", plain, F.nullif(decoded, F.lit("")))
+
+
+def secret_kinds(text: Column) -> Column:
+    """Kinds of secrets in a text, as it is, percent-decoded up to DECODINGS times, with plus signs as spaces too, or in base64 runs, sorted."""
+
+    def kinds(every: Column) -> Column:
+        sign = lambda k: reduce(lambda a, b: a | b, [F.contains(every, F.lit(x)) for x in _SECRET_SIGNS[k]])
+        return F.array_compact(F.array(*[F.when(sign(k) & every.rlike(p), F.lit(k)) for k, p in sorted(SECRETS.items())]))
+
+    return _once(_once(F.coalesce(text, F.lit("")), _every_form), kinds)
 
 
 # fixed values: the words that count as function words

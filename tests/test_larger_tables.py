@@ -44,3 +44,13 @@ def test_tree_of_more_levels_than_the_sql(spark, monkeypatch):
     sql = registry.ORACLE_SQL["order_fingerprint"].replace("64.0", "0.002")
     got = registry.QUERIES["order_fingerprint"](spark, SF)
     assert got.count() == 16 and differences(got, connect(SF), sql) == []
+
+
+def test_texts_are_decoded_once(spark):
+    plan = registry.QUERIES["secrets_in_documents"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(sequence") == 1
+
+
+def test_function_words_are_counted_without_lambdas(spark):
+    plan = registry.QUERIES["function_word_ratios"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan
