@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lorekeep.functions.expr import similarity, trigrams
 from lorekeep.functions.recovery import written
 
-BLOCK = 2048  # prefix rows of one trigram and side that meet in one group
+BLOCK = 2048  # prefix rows of one trigram (of a hot one: with a further trigram) and side that meet in one group
+HOT = 16  # texts of the other side that a text meets by a trigram, from which on it meets them by two trigrams instead
+ALONE = -1  # what stands for the further trigram of a hot one, for texts that may be similar by it alone
 LOOKS = (0.7,)  # thresholds by which ``fuzzy_of_all`` looks for a seed's best before it looks by the one asked for
 
 
@@ -19,50 +21,70 @@ def _sets(df: DataFrame, text: Column) -> DataFrame:
     return written(df.select(text.alias("text")).filter("text is not null").distinct().withColumn("grams", trigrams(F.col("text"))))
 
 
-def _ranks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """gram, rank: those that the fewest pairs share first.  Trigrams are of letters, digits and blanks, so there are at most 37 ** 3."""
-    count = lambda df: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    n = count(left).withColumnRenamed("n", "l_n").join(count(right).withColumnRenamed("n", "r_n"), "gram", "full_outer")
-    pairs = F.coalesce(F.col("l_n").cast("double"), F.lit(0.0)) * F.coalesce(F.col("r_n").cast("double"), F.lit(0.0))
-    return n.select("gram", F.row_number().over(Window.orderBy(pairs, "gram")).alias("rank"))
+def _ranks(left: DataFrame, right: DataFrame, hot: int) -> DataFrame:
+    """gram, rank, hot of the trigrams that both sides have, those that the fewest pairs share first.  Trigrams are of letters, digits and blanks, so there are at most 37 ** 3."""
+    count = lambda df: df.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").cast("double").alias("n"))
+    n = count(left).withColumnRenamed("n", "l_n").join(count(right).withColumnRenamed("n", "r_n"), "gram")
+    pairs = F.col("l_n") * F.col("r_n")
+    return n.select("gram", F.row_number().over(Window.orderBy(pairs, "gram")).alias("rank"), (pairs > hot * (F.col("l_n") + F.col("r_n"))).alias("hot"))
 
 
 def _prefixes(sets: DataFrame, ranks: DataFrame, least: float) -> DataFrame:
-    """text, grams (ranks, ascending), n, and a row (rank, at) for each gram that a similar text may share first."""
-    x = sets.select("text", F.explode("grams").alias("gram")).join(F.broadcast(ranks), "gram")
-    x = x.groupBy("text").agg(F.sort_array(F.collect_list("rank")).alias("grams")).withColumn("n", F.size("grams"))
-    length = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    return x.select("text", "grams", "n", F.posexplode(F.slice("grams", F.lit(1), length)).alias("at", "rank"))
+    """text, grams (ranks of those that the other side has, ascending), n (of all), and rows (rank, next, at) of the grams that a similar text may share first.
 
-
-def similar_texts(left: DataFrame, right: DataFrame, least: float, left_text: Column, right_text: Column, strict: bool = False, block: int = BLOCK) -> DataFrame:
+    next is 0, but a hot gram has a row for each gram that may be the second that is shared, and one with ALONE if the text is so small that a
+    similar one may share no second.  at is the place of the row's last gram among all; those that the other side lacks come first.
+    """
+    x = sets.select("text", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(ranks), "gram")
+    x = x.groupBy("text").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "hot"))).alias("known"))
+    x = x.withColumn("need", F.ceil(F.col("n") * least - 1e-9).cast("int")).withColumn("lacks", F.col("n") - F.size("known"))
+    ahead = lambda shared: F.greatest(F.lit(0), F.col("n") - F.greatest("need", F.lit(shared)) + shared - F.col("lacks"))
+    x = x.select("text", F.col("known.rank").alias("grams"), "n", "need", "lacks", ahead(2).alias("ahead"), F.posexplode(F.slice("known", F.lit(1), ahead(1))).alias("place", "gram"))
+    none = F.array().cast("array<int>")
+    seconds = F.slice("grams", F.col("place") + 2, F.greatest(F.lit(0), F.col("ahead") - F.col("place") - 1))
+    nexts = F.when(F.col("gram.hot"), F.concat(seconds, F.when(F.col("need") <= 1, F.array(F.lit(ALONE))).otherwise(none))).otherwise(F.array(F.lit(0)))
+    x = x.select("text", "grams", "n", "lacks", "place", F.col("gram.rank").alias("rank"), F.explode(nexts).alias("next"))
+    at = F.when(F.col("next") > 0, F.array_position("grams", F.col("next")).cast("int") - 1).otherwise(F.col("place"))
+    return x.select("text", "grams", "n", (F.col("lacks") + at).alias("at"), "rank", "next")
+
+
+def similar_texts(left: DataFrame, right: DataFrame, least: float, left_text: Column, right_text: Column, strict: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """left_text, right_text, similarity of all pairs of distinct texts that share at least (strict: more than) ``least`` of their trigrams.
 
     Two such texts share one of their rarest trigrams; they meet on the rarest one that they share, if their sizes and its places leave room
-    for enough others, and then their whole sets are compared.  A trigram that many texts have is dealt out over blocks of texts of both
+    for enough others, and then their whole sets are compared.  By a trigram that is hot, by which texts would meet about ``hot`` others or more, only those meet
+    that share a second one, too, or are so small that they need none.  What many texts still share is dealt out over blocks of texts of both
     sides, so that no group holds more than about block * block pairs.  NULL texts and those without trigrams are similar to nothing.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    return _similar(_sets(left, left_text), _sets(right, right_text), least, strict, block)
+    return _similar(_sets(left, left_text), _sets(right, right_text), least, strict, block, hot)
 
 
-def _similar(lefts: DataFrame, rights: DataFrame, least: float, strict: bool, block: int = BLOCK) -> DataFrame:
+def _similar(lefts: DataFrame, rights: DataFrame, least: float, strict: bool, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """``similar_texts`` of written sets of trigrams."""
-    ranks = written(_ranks(lefts, rights))
-    a = written(_prefixes(lefts, ranks, least).toDF("l_text", "l_grams", "l_n", "l_at", "rank"))
-    b = written(_prefixes(rights, ranks, least).toDF("r_text", "r_grams", "r_n", "r_at", "rank"))
-    counts = a.groupBy("rank").agg(F.count("*").alias("l_rows")).join(b.groupBy("rank").agg(F.count("*").alias("r_rows")), "rank")
-    blocks = F.broadcast(counts.select("rank", F.ceil(F.col("l_rows") / block).cast("int").alias("l_blocks"), F.ceil(F.col("r_rows") / block).cast("int").alias("r_blocks")))  # one row a trigram
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda t, n: F.pmod(F.xxhash64(t), F.col(n)).cast("int")
-    a = a.join(blocks, "rank").withColumn("l_block", own("l_text", "l_blocks")).withColumn("r_block", every("r_blocks")).drop("l_blocks", "r_blocks")
-    b = b.join(blocks, "rank").withColumn("r_block", own("r_text", "r_blocks")).withColumn("l_block", every("l_blocks")).drop("l_blocks", "r_blocks")
+    ranks = written(_ranks(lefts, rights, hot))
+    a = written(_prefixes(lefts, ranks, least).toDF("l_text", "l_grams", "l_n", "l_at", "rank", "next"))
+    b = written(_prefixes(rights, ranks, least).toDF("r_text", "r_grams", "r_n", "r_at", "rank", "next"))
+    key = ["rank", "next"]
+    counts = a.groupBy(key).agg(F.count("*").alias("l_rows")).join(b.groupBy(key).agg(F.count("*").alias("r_rows")), key)
+    counts = counts.filter(F.greatest("l_rows", "r_rows") > block)  # one row a key of so many texts
+    blocks = F.broadcast(written(counts.select(*key, F.ceil(F.col("l_rows") / block).cast("int").alias("l_blocks"), F.ceil(F.col("r_rows") / block).cast("int").alias("r_blocks"))))
+    many = lambda n: F.coalesce(n, F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), many(n) - 1))
+    own = lambda t, n: F.pmod(F.xxhash64(t), many(n)).cast("int")
+    a = a.join(blocks, key, "left").withColumn("l_block", own("l_text", "l_blocks")).withColumn("r_block", every("r_blocks")).drop("l_blocks", "r_blocks")
+    b = b.join(blocks, key, "left").withColumn("r_block", own("r_text", "r_blocks")).withColumn("l_block", every("l_blocks")).drop("l_blocks", "r_blocks")
     need = F.ceil((F.col("l_n") + F.col("r_n")) * (least / (1 + least)) - 1e-9)
-    room = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= need
-    # rows of alike sets shuffle to few bytes and unpack to many: neither side may be taken for small and sent through the driver
-    x = a.hint("merge").join(b, ["rank", "l_block", "r_block"]).filter(room)
-    x = x.withColumn("shared", F.array_intersect("l_grams", "r_grams")).filter(F.array_min("shared") == F.col("rank"))
+    room = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) + (F.col("next") > 0).cast("int") >= need
+    # rows of alike sets shuffle to few bytes and unpack to many: neither side may be taken for small and sent through the driver, nor
+    # tasks made few by their bytes
+    met = [*key, "l_block", "r_block"]
+    parts = int(lefts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = a.repartition(parts, *met).hint("merge").join(b.repartition(parts, *met), met).filter(room)
+    x = x.withColumn("shared", F.array_intersect("l_grams", "r_grams"))  # in the order of l_grams
+    second = F.get("shared", F.lit(1))
+    x = x.filter((F.get("shared", F.lit(0)) == F.col("rank")) & F.when(F.col("next") > 0, second == F.col("next")).otherwise((F.col("next") == 0) | second.isNull()))
     s = F.size("shared") / (F.col("l_n") + F.col("r_n") - F.size("shared"))
     x = x.select(F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text"), s.alias("similarity"))
     return x.filter((F.col("similarity") > least) if strict else (F.col("similarity") >= least))

@@ -29,6 +29,32 @@ def test_pairs(spark, least, strict, block):
     assert {(r.left_text, r.right_text, round(r.similarity, 9)) for r in got} == brute(a, b.select("y"), least, strict)
 
 
+@pytest.mark.parametrize("least,strict,block", [(0.15, False, 2048), (0.15, True, 3), (0.4, False, 2), (0.5, True, 5), (1.0, False, 7)])
+@pytest.mark.parametrize("hot", [0, 1, 4])
+def test_pairs_by_two_trigrams(spark, least, strict, block, hot):
+    """All trigrams hot, or some: texts of one trigram and of few, which may share one only, and longer ones, each pair once."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ab1") for _ in range(n))
+    many = [" ".join(word(rng.randrange(1, 6)) for _ in range(rng.randrange(1, 4))) for _ in range(50)] + ["a", "b", "a b", "ab", "1"] + [f"customer#{k:04d}" for k in range(25)]
+    a = spark.createDataFrame([(t,) for t in many[::2] + ["a", None, "--"]], "x string")
+    b = spark.createDataFrame([(t,) for t in many[1::2] + many[:9]], "y string")
+    got = names.similar_texts(a, b, least, F.col("x"), F.col("y"), strict, block, hot).collect()
+    assert len(got) == len({(r.left_text, r.right_text) for r in got})
+    assert {(r.left_text, r.right_text, round(r.similarity, 9)) for r in got} == brute(a, b, least, strict)
+
+
+def test_few_pairs_meet_by_common_trigrams(spark, monkeypatch):
+    """Numbered names at a low threshold: far fewer pairs are compared than share a run of three digits."""
+    a = spark.range(3000).select(F.format_string("user_%d", F.col("id") * 7 % 9000).alias("x"))
+    b = spark.range(9000).select(F.format_string("customer#%09d", F.col("id") * 11 % 90000).alias("y"))
+    sides = []
+    real = names._prefixes
+    monkeypatch.setattr(names, "_prefixes", lambda *args: sides.append(real(*args)) or sides[-1])
+    names.similar_texts(a, b, 0.15, F.col("x"), F.col("y")).count()
+    l, r = (x.groupBy("rank", "next").agg(F.count("*").alias(n)) for x, n in zip(sides, "lr"))
+    assert l.join(r, ["rank", "next"]).agg(F.sum(F.col("l") * F.col("r"))).first()[0] < 3000 * 9000 / 20
+
+
 def test_no_names_and_thresholds(spark):
     none = spark.createDataFrame([], "x string")
     assert names.similar_texts(none, none, 0.5, F.col("x"), F.col("x")).count() == 0
