@@ -7,7 +7,8 @@ single nodes, which only join a connected part that stays put in that round, so
 The parts are the nodes of the next level.  What is left in the end is split into connected components.
 
 Joins that carry labels along links are dealt out over SALTS copies of a label, of which only those that some link asks for
-are made: a hub is no single key.  Lineage is cut every round, and only sums reach the driver.
+are made: a hub is no single key.  All joins are of sorted shuffles: what grows with the graph mustn't be broadcast while it is still
+small, as that goes through the driver in every round.  Lineage is cut every round, and only sums reach the driver.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ class _Level:
 
     def carried(self, label: DataFrame, of: str, name: str, links: DataFrame | None = None) -> DataFrame:
         """links with the label ``of`` of v as ``name``."""
-        copies = label.select("node", F.col(of).alias(name)).join(self.asked, F.col("node") == F.col("asked_v")).select("asked_v", "asked_salt", name)
+        copies = label.select("node", F.col(of).alias(name)).hint("merge").join(self.asked, F.col("node") == F.col("asked_v")).select("asked_v", "asked_salt", name)
         x = self.links if links is None else links
-        return x.join(copies, (F.col("v") == F.col("asked_v")) & (F.col("salt") == F.col("asked_salt"))).drop("asked_v", "asked_salt")
+        return x.hint("merge").join(copies, (F.col("v") == F.col("asked_v")) & (F.col("salt") == F.col("asked_salt"))).drop("asked_v", "asked_salt")
 
 
 def undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     w = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))
     e = edges.select(F.col("from_entity").alias("u"), F.col("to_entity").alias("v"), w.alias("w"))
     for side in ("u", "v"):
-        e = e.join(names.withColumnRenamed("name", "known"), F.col(side) == F.col("known"), "left_semi")
+        e = e.hint("merge").join(names.withColumnRenamed("name", "known"), F.col(side) == F.col("known"), "left_semi")
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
@@ -60,12 +61,12 @@ def _weighed(level: _Level, label: DataFrame, may: Column, moves: Column, links:
     x = level.carried(label, "community", "community", links)
     loop = F.col("u") == F.col("v")
     near = x.groupBy("u", "community").agg(F.sum(F.when(loop, 0.0).otherwise(F.col("w"))).alias("w"), F.sum(F.when(loop, F.col("w")).otherwise(0.0)).alias("loop"))
-    mine = label.join(level.nodes, "node").select(F.col("node").alias("u"), "k", F.col("community").alias("own"))
+    mine = label.hint("merge").join(level.nodes, "node").select(F.col("node").alias("u"), "k", F.col("community").alias("own"))
     near = near.unionByName(mine.select("u", F.col("own").alias("community"), F.lit(0.0).alias("w"), F.lit(0.0).alias("loop"))).groupBy("u", "community").agg(F.sum("w").alias("w"), F.sum("loop").alias("loop"))
     totals = mine.groupBy(F.col("own").alias("community")).agg(F.sum("k").alias("total"), F.count("*").alias("members"))
     own = F.col("community") == F.col("own")
     gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(own, F.col("k")).otherwise(0.0)) / level.total, 12)
-    x = near.join(mine, "u").join(totals, "community").withColumn("gain", gain)
+    x = near.hint("merge").join(mine, "u").hint("merge").join(totals, "community").withColumn("gain", gain)
     x = x.groupBy(F.col("u").alias("node")).agg(
         F.first("own").alias("own"),
         F.min(F.when(~own & may, F.struct((-F.col("gain")).alias("g"), "community"))).alias("best"),
@@ -109,7 +110,7 @@ def _moved(level: _Level, label: DataFrame) -> DataFrame:
 
 def _refined(level: _Level, label: DataFrame) -> DataFrame:
     """node, part: connected parts of each community, grown from single nodes."""
-    inside = level.carried(label, "community", "far").join(label.select(F.col("node").alias("u"), F.col("community").alias("near")), "u")
+    inside = level.carried(label, "community", "far").hint("merge").join(label.select(F.col("node").alias("u"), F.col("community").alias("near")), "u")
     inside = checkpoint(inside.filter((F.col("near") == F.col("far")) & (F.col("u") != F.col("v"))).select("u", "v", "w", "salt"))
     part, idle = label.select("node", F.col("node").alias("community")), 0
     for k in range(ROUNDS):
@@ -129,9 +130,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     root = checkpoint(nodes.select("node", F.col("node").alias("root")))
     while True:
         near = level.carried(root, "root", "far").groupBy(F.col("u").alias("u_")).agg(F.min("far").alias("far"))
-        x = root.join(near, F.col("node") == F.col("u_"), "left").select("node", "root", F.least("root", F.coalesce("far", "root")).alias("least"))
+        x = root.hint("merge").join(near, F.col("node") == F.col("u_"), "left").select("node", "root", F.least("root", F.coalesce("far", "root")).alias("least"))
         up = x.select(F.col("node").alias("up_node"), F.col("least").alias("up"))
-        x = written(x.join(up, F.col("least") == F.col("up_node")).select("node", F.least("least", "up").alias("root"), (F.least("least", "up") != F.col("root")).alias("moved")))
+        x = written(x.hint("merge").join(up, F.col("least") == F.col("up_node")).select("node", F.least("least", "up").alias("root"), (F.least("least", "up") != F.col("root")).alias("moved")))
         root = x.drop("moved")
         if x.filter("moved").isEmpty():
             return root
@@ -142,7 +143,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     level = _Level(undirected(edges, labels))
     if not level.total:
         return 0.0
-    label = labels.select(F.col("name").alias("node"), "community").join(level.nodes.select("node"), "node", "left_semi")
+    label = labels.select(F.col("name").alias("node"), "community").hint("merge").join(level.nodes.select("node"), "node", "left_semi")
     return _sums(_weighed(level, label, F.lit(True), F.lit(False)), level.total)[0]
 
 
@@ -162,21 +163,21 @@ def leiden(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         label = _moved(level, label)
         part = _refined(level, label)
-        final = checkpoint(where.join(label, "node").select("name", "community"))
+        final = checkpoint(where.hint("merge").join(label, "node").select("name", "community"))
         n, parts = level.nodes.count(), part.select("part").distinct().count()
         if parts == n:
             break
-        where = checkpoint(where.join(part, "node").select("name", F.col("part").alias("node")))
-        label = checkpoint(label.join(part, "node").select(F.col("part").alias("node"), "community").distinct())
+        where = checkpoint(where.hint("merge").join(part, "node").select("name", F.col("part").alias("node")))
+        label = checkpoint(label.hint("merge").join(part, "node").select(F.col("part").alias("node"), "community").distinct())
         far = level.carried(part, "part", "far").drop("salt")
         near = part.select(F.col("node").alias("u"), F.col("part").alias("near"))
-        level = _Level(far.join(near, "u").groupBy(F.col("near").alias("u"), F.col("far").alias("v")).agg(F.sum("w").alias("w")))
+        level = _Level(far.hint("merge").join(near, "u").groupBy(F.col("near").alias("u"), F.col("far").alias("v")).agg(F.sum("w").alias("w")))
     # parts of a community that aren't connected are communities of their own: that always gains
     of = final.select(F.col("name").alias("node"), "community")
     far = first.carried(of, "community", "far_community")
-    inside = far.join(of.select(F.col("node").alias("u"), F.col("community").alias("near_community")), "u").filter("near_community = far_community and u != v").select("u", "v")
+    inside = far.hint("merge").join(of.select(F.col("node").alias("u"), F.col("community").alias("near_community")), "u").filter("near_community = far_community and u != v").select("u", "v")
     found = components(inside, names).select(F.col("node").alias("name"), F.col("root").alias("community"))
     found = checkpoint(found)
-    label = found.withColumnRenamed("name", "node").join(first.nodes.select("node"), "node", "left_semi")
+    label = found.withColumnRenamed("name", "node").hint("merge").join(first.nodes.select("node"), "node", "left_semi")
     q = _sums(_weighed(first, label, F.lit(True), F.lit(False)), first.total)[0]
     return found.withColumn("modularity", F.lit(q))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.operators import graph, leiden
 from lorekeep.plans import registry
@@ -93,3 +94,16 @@ def test_all_entities(spark):
     assert len(label) == n.select("name").distinct().count() and is_connected(links, label)
     q = leiden.modularity(e, spark.createDataFrame(list(label.items()), "name string, community string"))
     assert abs(q - rows[0]["modularity"]) < 1e-8 and q >= leiden.modularity(e, graph.communities(e, n)) - 1e-12
+
+
+def test_no_rows_of_the_graph_go_through_the_driver(spark, monkeypatch):
+    """Small as the tables of a round are, none is broadcast."""
+    plans = []
+    for name in ("written", "checkpoint"):
+        real = getattr(leiden, name)
+        monkeypatch.setattr(leiden, name, lambda df, real=real: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    e = spark.createDataFrame([(f"n{k}", f"n{k // 4 * 4}", 1.0) for k in range(40)] + [("n0", "n4", 0.5)], "from_entity string, to_entity string, weight double")
+    got = leiden.leiden(e, e.select(F.col("from_entity").alias("name")))
+    assert got.select("community").distinct().count() > 1
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
