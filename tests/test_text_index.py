@@ -115,3 +115,18 @@ def test_no_rows(spark, tmp_path):
     assert text_index.stemmed_full_text(none, "hope", 5, key="doc_id").count() == 0
     text_index.write_index(none, "doc_id", "text", str(tmp_path / "x"))
     assert text_index.indexed_full_text(text_index.read_index(spark, str(tmp_path / "x")), "hope", 5).count() == 0
+
+
+def test_stems_are_made_once_for_some_texts(spark, tmp_path, monkeypatch):
+    """No step of the stemmer is worked out row by row, nor again to find ranges; texts are counted some words at a time, NULL and empty ones too."""
+    monkeypatch.setattr(text_index, "WORDS", 3)
+    plans, real = [], text_index.written
+    monkeypatch.setattr(text_index, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    rows = [("b", "Hopes hoping the 11 ponies"), ("a", None), ("a", "hope"), (None, "hoped"), ("c", ""), ("b", "pony hopes"), ("d", "the")]
+    d = spark.createDataFrame(rows, "name string, body string").coalesce(1)
+    path = str(tmp_path / "x")
+    text_index.write_index(d, "name", "body", path)
+    got = [tuple(r) for r in text_index.read_index(spark, path, "string").select("id", "term", "tf").collect()]
+    want = [(None, "hope", 1), ("a", "hope", 1), ("b", "11", 1), ("b", "hope", 3), ("b", "poni", 2)]
+    assert sorted(got, key=str) == sorted(want, key=str) == sorted((tuple(r) for r in text_index.postings(d, "name", "body").collect()), key=str)
+    assert len(plans) == 1 and "transform(" not in plans[0] and "MapInArrow" in plans[0]
