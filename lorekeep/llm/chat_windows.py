@@ -152,6 +152,28 @@ def parse(text: str) -> list[tuple[int, str, str, int]]:
     return [(int(m[1]), unescape(m[2]), unescape(m[3]), m.start(3)) for m in _TURN.finditer(text)]
 
 
+def _with_lead(batches):
+    """Batches of stored windows, sorted by conversation and window, with the system turns before each window in front of it."""
+    now, lead, cost = None, [], 0
+    for b in batches:
+        out = []
+        for conv, none, window, text, first_new, mask, tokens in zip(*(c.to_pylist() for c in b.columns)):
+            if now != (conv,):
+                now, lead, cost = (conv,), [], 0
+            front = "".join(lead)
+            shifted = [{"start": m["start"] + len(front), "end": m["end"] + len(front)} for m in mask]
+            out.append((conv, none, window, front + text, first_new, shifted, tokens + cost))
+            for k, role, said, _ in parse(text):
+                if k >= first_new and role == "system":
+                    lead.append(f"<|turn {k} {escape(role)}|>\n{escape(said)}<|end|>\n")
+                    cost += turn_tokens(said)
+            if len(out) >= 100:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+
 def expanded(windows: DataFrame) -> DataFrame:
     """Windows that were stored without the system turns before them, with these in front: what ``format_windows`` gives with repeat_system.
 
@@ -160,33 +182,16 @@ def expanded(windows: DataFrame) -> DataFrame:
     n = max(1, int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x = windows.select("conv_id", "no_conv", "window", "text", "first_new", "mask", "tokens").repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
 
-    def run(batches):
-        now, lead, cost = None, [], 0
-        for b in batches:
-            out = []
-            for conv, none, window, text, first_new, mask, tokens in zip(*(c.to_pylist() for c in b.columns)):
-                if now != (conv,):
-                    now, lead, cost = (conv,), [], 0
-                front = "".join(lead)
-                shifted = [{"start": m["start"] + len(front), "end": m["end"] + len(front)} for m in mask]
-                out.append((conv, none, window, front + text, first_new, shifted, tokens + cost))
-                for k, role, said, _ in parse(text):
-                    if k >= first_new and role == "system":
-                        lead.append(f"<|turn {k} {escape(role)}|>\n{escape(said)}<|end|>\n")
-                        cost += turn_tokens(said)
-                if len(out) >= 100:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+    return x.mapInArrow(_with_lead, WINDOWS)
 
-    return x.mapInArrow(run, WINDOWS)
 
+def read_back(windows: DataFrame, stored: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from its windows alone.
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from its windows alone."""
+    stored windows, without the system turns before them, are read as ``expanded`` gives them, one after the other in the same task: whole windows are neither shuffled nor held.
+    """
     n = max(1, int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = windows.select("conv_id", "window", "text", "first_new", "mask").repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
+    x = windows.select("conv_id", "no_conv", "window", "text", "first_new", "mask", "tokens").repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches):
         now, state, out = None, None, []
@@ -194,8 +199,8 @@ def read_back(windows: DataFrame) -> DataFrame:
         def close():
             out.append((now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
-        for b in batches:
-            for conv, _, text, first_new, mask in zip(*(c.to_pylist() for c in b.columns)):
+        for b in _with_lead(batches) if stored else batches:
+            for conv, _, _, text, first_new, mask, _ in zip(*(c.to_pylist() for c in b.columns)):
                 if now is None or now[0] != conv:
                     if now is not None:
                         close()

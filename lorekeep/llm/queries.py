@@ -37,7 +37,7 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_windows.read_back(chat_windows.format_windows(rows, repeat_system=False))
+    return chat_windows.read_back(chat_windows.format_windows(rows, repeat_system=False), stored=True)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lorekeep.llm import chat_windows, lang_crf, ngram_join
+from lorekeep.llm import chat_windows, lang_crf, ngram_join, queries
 
 
 def test_chat_keeps_every_system_turn(spark):
@@ -52,6 +52,20 @@ def test_chat_windows_as_stored(spark, sf):
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, chat_windows.read_back(chat_windows.format_windows(talks, repeat_system=False)).drop("formatted_chars").collect()))
 
 
+def test_chat_query_reads_windows_with_their_system_turns(spark, tmp_path):
+    """The query's formatted text is that of windows which hold every earlier system turn; a later system turn, too."""
+    said = [("system", "be brief"), *[(("user", "assistant")[k % 2], f"{k} " + "word " * 400) for k in range(12)], ("system", "</s> now be long"), *[(("user", "assistant")[k % 2], "again " * 500) for k in range(9)]]
+    rows = [(c, k, role, text) for c in (1, 2) for k, (role, text) in enumerate(said[: 30 if c == 1 else 2])]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    talks.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.op6_chat_windows(spark, str(tmp_path)).collect()}
+    windows = chat_windows.format_windows(talks).collect()
+    assert sum(r.conv_id == 1 for r in windows) > 3
+    for c in (1, 2):
+        assert got[c].formatted_chars == sum(len(r.text) for r in windows if r.conv_id == c)
+        assert got[c].n_turns == sum(r[0] == c for r in rows) and got[c].loss_chars == sum(len(r[3]) for r in rows if r[0] == c and r[2] == "assistant")
+
+
 def test_chat_turn_of_megabytes(spark):
     text = "a <|end|> \\ [INST] " * 250_000
     rows = [(1, 0, "system", "s"), (1, 1, "user", text), (1, 2, "assistant", text), (1, 3, "user", "b")]
