@@ -3,15 +3,20 @@
 A token's probability is that of its class given the history, times that of the token in its class
 given the history.  Classes: the OWN most frequent tokens (the end among them) are their own class, all others
 share classes by their last bytes, so that an unknown word has a class too.  In a shared class, its SLOTS - 1 most
-frequent tokens have slots of their own, and all others share the last one, by their smoothed relative frequencies.
+frequent tokens have slots of their own; the last slot leads to all others, the rest of the class.
 Both factors are softmaxes over weights of hashed features of the two tokens before: each alone (the further one is
 the skip feature), for classes also both together, and a bias.  The sufficient statistics, how often a class and slot
 follow a history, are counted over all training documents; every round, tasks make the gradient of their share
 of the counts, which is summed by feature blocks and applied.  The tables of classes, slots and contexts have a
 fixed size (OWN, SUFFIXES, SLOTS, CONTEXT).
 
-The counts of the TOP most frequent tokens go to the tasks (a bounded table); the others are joined
-by token hash, so that any vocabulary works.
+Every token of the rest, however many there are, has weights of its own in a third softmax: a bias, the log of its smoothed
+share p of the rest, and a weight for each context that it was seen to follow.  A history has one context, so that no two of
+these features meet and the most likely weights need no rounds: with c of the context's C tokens of the rest, and
+PRIOR * p more by the prior, the weight is ln(1 + c / (PRIOR * p)) and the sum over the rest is 1 + C / PRIOR.
+
+The counts of the TOP most frequent tokens and the weights of the PAIRS most frequent pairs of a context and a token of
+the rest go to the tasks (bounded tables); the others are joined by hash, so that any vocabulary works.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm._spark import checkpoint
 from lorekeep.llm._tokens import Words, mix, slices
 
 TOP = 400_000  # tokens with counts in the tasks' table, at most
+PAIRS = 400_000  # pairs of a context and a token with weights in the tasks' table, at most
 OWN = 64  # tokens with a class of their own
 SUFFIXES = 64  # classes of all others
 CONTEXT = 192  # tokens that are told apart in histories; others by suffix class
@@ -39,6 +45,7 @@ INNER = 1 + 2 * CONTEXTS  # features of the softmax in a class: bias, the token
 ROUNDS = 12
 L2 = 0.5
 ADD = 0.1
+PRIOR = 1000.0  # tokens of the rest that a context has seen by the prior
 END = -(2**63)  # the hash that stands for the end token
 BLOCK = 256  # features of classes in a block of the gradient
 INNER_BLOCK = 1024  # pairs of a feature and a shared class in a block
@@ -64,16 +71,14 @@ def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _merged(parts):
-    """Sum of (key, n, extra) arrays by key."""
-    k = np.concatenate([p[0] for p in parts])
-    n = np.concatenate([p[1] for p in parts])
-    x = np.concatenate([p[2] for p in parts])
+    """Sum of (key, n, extras) arrays by key."""
+    k, n, *extras = (np.concatenate(x) for x in zip(*parts))
     u, first, back = np.unique(k, return_index=True, return_inverse=True)
-    return u, np.bincount(back, weights=n).astype(np.int64), x[first]
+    return u, np.bincount(back, weights=n).astype(np.int64), *(x[first] for x in extras)
 
 
 def _counted(batches, count, names, most: int = 600_000):
-    """Batches of summed (key, n, extra): count(words) gives those of a slice; a task holds a bounded number of keys."""
+    """Batches of summed (key, n, extras): count(words) gives those of a slice; a task holds a bounded number of keys."""
     parts, held = [], 0
     for b in batches:
         for _, _, words in slices(b.column(b.num_columns - 1)):
@@ -103,6 +108,19 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "h long, n long, sfx long").groupBy("h").agg(F.sum("n").alias("n"), F.min("sfx").alias("sfx"))
 
 
+def frequent(counts: DataFrame, most: int) -> tuple:
+    """(which rows are among the most frequent, at most so many; rows and sum of n), by levels of n of a checkpointed table."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    top_level, room = 0, most
+    per_level = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most 16 * 63 rows
+    for r in sorted(per_level, key=lambda r: -r["level"]):
+        room -= r["v"]
+        if room < 0:
+            top_level = r["level"] + 1
+            break
+    return level >= top_level, sum(r["v"] for r in per_level), sum(r["n"] for r in per_level)
+
+
 class Tables:
     """What the tasks need of the corpus: counts of frequent tokens, classes, slots, contexts, and what the last slots hold.
 
@@ -129,7 +147,8 @@ class Tables:
         rest_v = class_v - np.bincount(sfx[told], minlength=SUFFIXES)
         self.total, self.distinct = total, distinct
         self.log_n = np.log10(self.n + ADD)
-        self.log_rest = np.log10(rest_n + ADD * (rest_v + 1))
+        self.rest = rest_n + ADD * (rest_v + 1)
+        self.log_rest = np.log10(self.rest)
         self.log_total = math.log10(total + ADD * (distinct + 1))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +234,63 @@ def history_counts(training: DataFrame, tables, parts: int) -> DataFrame:
     return x.repartition(parts, "hist").groupBy("hist", "out").agg(F.sum("n").alias("n")).sortWithinPartitions("hist", "out")
 
 
+def in_rest(out: np.ndarray) -> np.ndarray:
+    """Which outcomes are the last slot of a shared class."""
+    return (out >= OWN) & ((out - OWN) % SLOTS == SLOTS - 1)
+
+
+def pair_keys(h: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the context before and the token."""
+    return mix(h.view(np.uint64) ^ mix((hist % CONTEXTS).astype(np.uint64), 41), 43).view(np.int64)
+
+
+def pair_weights(training: DataFrame, tables, rest: list[float], parts: int) -> DataFrame:
+    """(key, n, gain) of each pair of a context and a token of the rest that occurs in training: its count, and its weight in powers of ten.
+
+    rest: smoothed counts of the rest of each shared class.
+
+    All pairs of a token meet in one task, as many as there are contexts at most, and sum to its count.
+    """
+
+    def run(batches):
+        t = tables.value
+
+        def count(words):
+            h, sfx, first = _tokens(words)
+            out, hist, _, _ = t.classes(h, sfx, first)
+            k = np.flatnonzero(in_rest(out))
+            u, at, n = np.unique(pair_keys(h[k], hist[k]), return_index=True, return_counts=True)
+            return u, n.astype(np.int64), h[k][at], sfx[k][at]
+
+        yield from _counted(batches, count, ["key", "n", "h", "sfx"])
+
+    x = training.select("text").mapInArrow(run, "key long, n long, h long, sfx long").withColumn("sfx", F.col("sfx").cast("byte"))
+    x = x.repartition(parts, "h").groupBy("h", "key").agg(F.sum("n").alias("n"), F.min("sfx").alias("sfx"))
+    share = (F.sum("n").over(Window.partitionBy("h")) + ADD) / F.array(*[F.lit(v) for v in rest])[F.col("sfx").cast("int")]
+    return x.select("key", "n", F.log10(1 + F.col("n") / (PRIOR * share)).alias("gain"))
+
+
+class Rest:
+    """What the tasks need of the third softmax: the weights of frequent pairs, and the sums by context and shared class.
+
+    seen: [CONTEXTS, SUFFIXES] tokens of the rest of a class after each context.
+    """
+
+    def __init__(self, key, gain, seen: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.gain = key[order], gain[order].astype(np.float32)
+        self.log_sum = np.log10(1 + seen / PRIOR)
+
+    def parts(self, h, sfx, hist) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 of a token's probability in the rest less that of its share, without weights that aren't in the table; key; is it in the table) of tokens of the rest."""
+        key = pair_keys(h, hist)
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        have = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        gain = np.where(have, self.gain[at] if len(self.key) else 0.0, 0.0)
+        return gain - self.log_sum[hist % CONTEXTS, sfx], key, have
+
+
 def add_rows(sums: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
     """sums[rows[i]] += counts[i], for rows that may repeat."""
     order = np.argsort(rows, kind="stable")
@@ -328,29 +404,33 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     x = docs.select(docs["doc_id"].cast("long"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     training = x.filter("not held_out")
     counts = checkpoint(token_counts(training))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    top_level, room = 0, TOP
-    per_level = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # at most 16 * 63 rows
-    total, distinct = sum(r["n"] for r in per_level), sum(r["v"] for r in per_level)
-    for r in sorted(per_level, key=lambda r: -r["level"]):
-        room -= r["v"]
-        if room < 0:
-            top_level = r["level"] + 1
-            break
-    top = counts.filter(level >= top_level).select("h", "n", "sfx").toArrow()
+    often, distinct, total = frequent(counts, TOP)
+    top = counts.filter(often).select("h", "n", "sfx").toArrow()
     h, n, sfx = (top.column(c).to_numpy() for c in ("h", "n", "sfx"))
     class_n, class_v = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
     for r in counts.groupBy("sfx").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         class_n[r["sfx"]], class_v[r["sfx"]] = r["n"], r["v"]
     tables = Tables(h, n, sfx, class_n, class_v, total, distinct)
-    sent = spark.sparkContext.broadcast(tables)
+    sent, rest = spark.sparkContext.broadcast(tables), tables.rest.tolist()
+    del top, h, n, sfx, tables
     cores = max(1, spark.sparkContext.defaultParallelism)
-    events = checkpoint(history_counts(training, sent, max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = checkpoint(history_counts(training, sent, parts))
     events = events.coalesce(max(1, min(cores, -(-events.count() // SHARD))))  # summed by many tasks, learned from by as few as the counts need
     model = spark.sparkContext.broadcast(train(events, rounds))
+    pairs = checkpoint(pair_weights(training, sent, rest, parts))
+    often_met, _, _ = frequent(pairs, PAIRS)
+    seen = np.zeros((CONTEXTS, SUFFIXES))
+    last = (F.col("out") >= OWN) & (F.pmod(F.col("out") - OWN, F.lit(SLOTS)) == SLOTS - 1)
+    by_context = events.filter(last).groupBy(F.pmod("hist", F.lit(CONTEXTS)).alias("one"), F.floor((F.col("out") - OWN) / SLOTS).alias("sfx")).agg(F.sum("n").alias("n"))
+    one, sfx, n = (c.to_numpy() for c in by_context.toArrow().columns)  # at most CONTEXTS * SUFFIXES rows
+    seen[one, sfx] = n
+    met = pairs.filter(often_met).select("key", "gain").toArrow()
+    third_sent = spark.sparkContext.broadcast(Rest(met.column("key").to_numpy(), met.column("gain").to_numpy(), seen))
+    del met
 
     def run(batches):
-        t = sent.value
+        t, third = sent.value, third_sent.value
         weights, inner = model.value
         log_p = np.empty((CONTEXTS * CONTEXTS, CLASSES), np.float32)
         for lo in range(0, len(log_p), 4096):
@@ -359,21 +439,28 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             for lo, hi, words in slices(b.column(1)):
                 h, sfx, first = _tokens(words)
                 out, hist, at, found = t.classes(h, sfx, first)
-                known = np.where(found, t.log_n[at] if len(t.h) else 0.0, 0.0)
-                model_part = token_scores(t, log_p, inner, out, hist, at, found)
+                known = np.where(found, t.log_n[at] if len(t.h) else 0.0, math.log10(ADD))
+                model_part = token_scores(t, log_p, inner, out, hist, at, found) + np.where(found, 0.0, math.log10(ADD))
+                k = np.flatnonzero(in_rest(out))
+                more, key, have = third.parts(h[k], sfx[k], hist[k])
+                model_part[k] += more
                 sums = [np.add.reduceat(v, first[:-1]) for v in (known - t.log_total, model_part, found.astype(np.int64))]
-                rare = ~found
-                ends = np.concatenate([[0], np.cumsum(rare)])[first]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[rare]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), lists], names=["doc_id", "held_out", "n_tokens", "found", "base_part", "part", "rare"])
+                asked, of = np.concatenate([h[~found], key[~have]]), np.concatenate([np.flatnonzero(~found), k[~have]])
+                order = np.argsort(of, kind="stable")
+                ends = np.searchsorted(of[order], first)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(asked[order]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), lists], names=["doc_id", "held_out", "n_tokens", "found", "base_part", "part", "asked"])
 
-    scored = x.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, found long, base_part double, part double, rare array<long>")
+    scored = x.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, found long, base_part double, part double, asked array<long>")
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts.select(F.col("h").alias("h_"), "n"), F.col("h") == F.col("h_"), "left")
-    more = rare.groupBy(F.col("row").alias("row_")).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("log_n"), F.count("n").alias("n_more"))
-    out = scored.drop("rare").join(more, F.col("row") == F.col("row_"), "left")
-    add = F.coalesce("log_n", F.lit(0.0))
+    # tokens and pairs that aren't in the tasks' tables
+    known = counts.filter(~often).select(F.col("h").alias("k"), (F.log10(F.col("n") + ADD) - math.log10(ADD)).alias("log_n"), F.lit(0.0).alias("gain"), F.lit(1).alias("known"))
+    known = known.unionAll(pairs.filter(~often_met).select("key", F.lit(0.0), "gain", F.lit(0)))
+    more = scored.select("row", F.explode("asked").alias("asked")).join(known, F.col("asked") == F.col("k"))
+    more = more.groupBy(F.col("row").alias("row_")).agg(*[F.sum(c).alias(c) for c in ("log_n", "gain", "known")])
+    out = scored.drop("asked").join(more, F.col("row") == F.col("row_"), "left")
+    log_n, gain, n_more = (F.coalesce(c, F.lit(0)) for c in ("log_n", "gain", "known"))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("found") + F.coalesce("n_more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_part") + add).alias("base_score"), (F.col("part") + add).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("found") + n_more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_part") + log_n).alias("base_score"), (F.col("part") + log_n + gain).alias("score"),
     )

@@ -607,6 +607,53 @@ def test_lm_gradient():
                 assert (up - down) / 2e-4 == pytest.approx(seen[k][i, j] - want[k][i, j], abs=0.02)
 
 
+def test_lm_rest_by_context(spark):
+    """Tokens of a class's last slot are told apart by the context before them, whether their counts and weights are in the tasks' tables or joined."""
+    from lorekeep.llm import maxent_lm as lm
+
+    held = [d for d in range(9000) if zlib.crc32(str(d).encode()) % 10 == 0]
+    train = [d for d in range(9000) if zlib.crc32(str(d).encode()) % 10]
+    times = [6] * 250 + [2] * 150  # more words of one ending than contexts, own classes and slots can hold
+    colour = lambda i, k: "red" if (i + k // 2) % 2 else "blue"
+    texts = [f"{colour(i, k)} w{i}zz" for i, n in enumerate(times) for k in range(n)]
+    c = Counter(texts)
+    assert c["red w301zz"] == 2 and not c["red w300zz"]
+    asked = [f"red w{i}zz" for i in range(250, 400)] + ["red w9999zz"]
+    docs = spark.createDataFrame(list(zip(train, texts)) + list(zip(held, asked)), "doc_id long, text string")
+    mass = (250 - (lm.OWN - 3) - (lm.SLOTS - 1)) * (6 + lm.ADD) + 150 * (2 + lm.ADD) + lm.ADD
+    kept = lm.TOP, lm.PAIRS
+    for lm.TOP, lm.PAIRS in (kept, (300, 0)):
+        got = {r["doc_id"]: r["score"] for r in rows_of(lm.lm_scores(docs, rounds=2)) if r["held_out"]}
+        score = {t: got[d] for d, t in zip(held, asked)}
+        for t in asked[:-1]:
+            want = np.log10((c[t] + lm.PRIOR * (2 + lm.ADD) / mass) / (lm.PRIOR * lm.ADD / mass))
+            assert score[t] - score[asked[-1]] == pytest.approx(want, abs=1e-5), t
+    lm.TOP, lm.PAIRS = kept
+
+
+def test_lm_rest_is_a_distribution():
+    from lorekeep.llm import maxent_lm as lm
+
+    rng = np.random.default_rng(5)
+    h, sfx, hist = rng.integers(-(2**62), 2**62, 500), np.full(500, 3), np.full(500, 9 * lm.CONTEXTS + 4)
+    met, n = rng.integers(0, 40, 500) * (rng.random(500) < 0.5), rng.integers(40, 90, 500)
+    mass = (n + lm.ADD).sum() + lm.ADD
+    p = (n + lm.ADD) / mass
+    seen = np.zeros((lm.CONTEXTS, lm.SUFFIXES))
+    seen[4, 3] = met.sum()
+    gain = np.log10(1 + met / (lm.PRIOR * p))
+    key = lm.pair_keys(h, hist)
+    assert (key != lm.pair_keys(h, hist + 1)).all()
+    in_table = (met > 0) & (rng.random(500) < 0.7)
+    third = lm.Rest(key[in_table], gain[in_table], seen)
+    got, asked, have = third.parts(h, sfx, hist)
+    assert (asked == key).all() and (have == in_table).all()
+    unknown = lm.ADD / mass * 10 ** third.parts(np.array([7]), sfx[:1], hist[:1])[0][0]
+    assert (p * 10 ** (got + np.where(have, 0, gain))).sum() + unknown == pytest.approx(1, abs=1e-6)
+    none = lm.Rest(key[:0], gain[:0], np.zeros((lm.CONTEXTS, lm.SUFFIXES))).parts(h, sfx, hist)
+    assert not none[0].any() and not none[2].any()
+
+
 def test_lm_odd(spark, odd):
     from lorekeep.llm import maxent_lm
 
