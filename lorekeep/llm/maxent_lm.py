@@ -133,11 +133,11 @@ class Tables:
         rank = np.lexsort((self.h, -self.n))
         ends = np.flatnonzero(self.h == END)
         rank = np.concatenate([ends, rank[~np.isin(rank, ends)]])  # the end has the first class
-        self.own = np.full(len(self.h), -1, np.int64)
+        self.own = np.full(len(self.h), -1, np.int16)  # small types: the tables are held by the driver, too
         self.own[rank[:OWN]] = np.arange(min(OWN, len(rank)))
-        self.context = np.full(len(self.h), -1, np.int64)
+        self.context = np.full(len(self.h), -1, np.int16)
         self.context[rank[:CONTEXT]] = np.arange(min(CONTEXT, len(rank)))
-        self.slot = np.full(len(self.h), SLOTS - 1, np.int64)
+        self.slot = np.full(len(self.h), SLOTS - 1, np.int16)
         shared = rank[self.own[rank] < 0]
         by_class = shared[np.argsort(sfx[shared], kind="stable")]
         place = np.arange(len(by_class)) - np.searchsorted(sfx[by_class], sfx[by_class])
@@ -348,9 +348,10 @@ def feature_counts(events: DataFrame, weights) -> tuple[np.ndarray, np.ndarray]:
     kind = "block long, counts binary"
     sent = events.sparkSession.sparkContext.broadcast(weights)
     out, inner = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((INNER * SUFFIXES, SLOTS), np.float32)
-    for r in events.mapInArrow(lambda batches: _count_rows(batches, sent.value), kind).groupBy("block").applyInArrow(_sum_blocks, kind).collect():
-        table, k = (out, r["block"] - 1) if r["block"] > 0 else (inner, -r["block"] - 1)
-        x = np.frombuffer(r["counts"], np.float32).reshape(-1, table.shape[1])
+    sums = events.mapInArrow(lambda batches: _count_rows(batches, sent.value), kind).groupBy("block").applyInArrow(_sum_blocks, kind).toArrow()
+    for block, counts in zip(sums.column("block").to_pylist(), sums.column("counts")):
+        table, k = (out, block - 1) if block > 0 else (inner, -block - 1)
+        x = np.frombuffer(counts.as_buffer(), np.float32).reshape(-1, table.shape[1])
         table[k : k + len(x)] = x
     sent.destroy()
     return out, inner
