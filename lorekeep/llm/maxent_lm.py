@@ -51,6 +51,7 @@ BLOCK = 256  # features of classes in a block of the gradient
 INNER_BLOCK = 1024  # pairs of a feature and a shared class in a block
 EVENTS = 200_000  # counts that a task works on at once
 SHARD = 1_000_000  # counts that a task learns from in a round: each sends a gradient, of a fixed size
+SALTS = np.random.default_rng(41).integers(-(2**63), 2**63, CONTEXTS)  # of the hashes of contexts and tokens
 
 
 def held_out(doc_id):
@@ -241,13 +242,13 @@ def in_rest(out: np.ndarray) -> np.ndarray:
 
 def pair_keys(h: np.ndarray, hist: np.ndarray) -> np.ndarray:
     """64-bit hashes of the context before and the token."""
-    return mix(h.view(np.uint64) ^ mix((hist % CONTEXTS).astype(np.uint64), 41), 43).view(np.int64)
+    return h ^ SALTS[hist % CONTEXTS]
 
 
 def pair_weights(training: DataFrame, tables, rest: list[float], parts: int) -> DataFrame:
     """(key, n, gain) of each pair of a context and a token of the rest that occurs in training: its count, and its weight in powers of ten.
 
-    rest: smoothed counts of the rest of each shared class.
+    rest: smoothed counts of the rest of each shared class.  Contexts and classes travel as one small number.
 
     All pairs of a token meet in one task, as many as there are contexts at most, and sum to its count.
     """
@@ -260,14 +261,16 @@ def pair_weights(training: DataFrame, tables, rest: list[float], parts: int) ->
             out, hist, _, _ = t.classes(h, sfx, first)
             k = np.flatnonzero(in_rest(out))
             u, at, n = np.unique(pair_keys(h[k], hist[k]), return_index=True, return_counts=True)
-            return u, n.astype(np.int64), h[k][at], sfx[k][at]
+            return u, n.astype(np.int64), h[k][at], (sfx[k] * CONTEXTS + hist[k] % CONTEXTS)[at].astype(np.int16)
 
-        yield from _counted(batches, count, ["key", "n", "h", "sfx"])
+        yield from _counted(batches, count, ["key", "n", "h", "place"])
 
-    x = training.select("text").mapInArrow(run, "key long, n long, h long, sfx long").withColumn("sfx", F.col("sfx").cast("byte"))
-    x = x.repartition(parts, "h").groupBy("h", "key").agg(F.sum("n").alias("n"), F.min("sfx").alias("sfx"))
-    share = (F.sum("n").over(Window.partitionBy("h")) + ADD) / F.array(*[F.lit(v) for v in rest])[F.col("sfx").cast("int")]
-    return x.select("key", "n", F.log10(1 + F.col("n") / (PRIOR * share)).alias("gain"))
+    x = training.select("text").mapInArrow(run, "key long, n long, h long, place short").select("h", "place", "n")
+    x = x.repartition(parts, "h").groupBy("h", "place").agg(F.sum("n").alias("n"))
+    of = lambda values, at: F.array(*[F.lit(v) for v in values])[at.cast("int")]
+    share = (F.sum("n").over(Window.partitionBy("h")) + ADD) / of(rest, F.floor(F.col("place") / CONTEXTS))
+    key = F.col("h").bitwiseXOR(of(SALTS.tolist(), F.col("place") % CONTEXTS))
+    return x.select(key.alias("key"), "n", F.log10(1 + F.col("n") / (PRIOR * share)).alias("gain"))
 
 
 class Rest:
